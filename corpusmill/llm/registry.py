@@ -6,7 +6,10 @@ import importlib
 
 #: query: (module, function)
 _WHERE = {
+    "op2_simhash": "simhash",
     "op3_secrets": "secrets",
+    "op4_mixing": "mixing",
+    "op5_sharding": "sharding",
     "op9_quality": "quality",
 }
 
