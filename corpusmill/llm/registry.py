@@ -10,6 +10,7 @@ _WHERE = {
     "op3_secrets": "secrets",
     "op4_mixing": "mixing",
     "op5_sharding": "sharding",
+    "op6_warc": "warc",
     "op8_decontamination": "decontamination",
     "op9_quality": "quality",
 }
