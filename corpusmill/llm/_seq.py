@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _B = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
@@ -58,7 +59,7 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
             col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.binary())
     col = col.cast(pa.large_binary())
     if col.null_count:
-        col = pa.compute.fill_null(col, b"")
+        col = pc.fill_null(col, b"")
     if not len(col):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]

@@ -51,7 +51,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 def pieces(df: DataFrame, mb: float, least: int = 8) -> int:
     """Number of pieces of about ``mb`` megabytes that ``df`` divides into."""
-    return int(min(1 << 20, max(least, plan_bytes(df) / (mb * 1e6))))
+    return int(min(1 << 24, max(least, plan_bytes(df) / (mb * 1e6))))
 
 
 def same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:

@@ -13,6 +13,7 @@ _WHERE = {
     "op6_warc": "warc",
     "op8_decontamination": "decontamination",
     "op9_quality": "quality",
+    "op10_lm_score": "lmscore",
 }
 
 
