@@ -126,7 +126,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     part = placed.select("row", "rank", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block_no"))
     part = part.select("row", "rank", "block_no", (F.greatest(F.col("block_no") * block, F.col("begin")) - F.col("begin")).alias("first"), (F.least((F.col("block_no") + 1) * block, F.col("begin") + F.col("size")) - F.col("begin")).alias("end"))
     drawn = draw_blocks(sources, block, slots, most, seed)
-    taken = part.join(drawn, ["rank", "block_no"]).select("row", "shard", "pass_no", "first", "end")
+    # Catalyst takes what comes from Python for as small as what went in; a broadcast would grow with the corpus
+    taken = part.join(drawn.hint("merge"), ["rank", "block_no"]).select("row", "shard", "pass_no", "first", "end")
     return rows_s, taken
 
 
