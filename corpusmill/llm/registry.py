@@ -6,11 +6,13 @@ import importlib
 
 #: query: (module, function)
 _WHERE = {
+    "op1_suffix_dedup": "substrings",
     "op2_simhash": "simhash",
     "op3_secrets": "secrets",
     "op4_mixing": "mixing",
     "op5_sharding": "sharding",
     "op6_warc": "warc",
+    "op7_substrings": "fingerprintlog",
     "op8_decontamination": "decontamination",
     "op9_quality": "quality",
     "op10_lm_score": "lmscore",
