@@ -102,14 +102,14 @@ def window_rows(kind: Kind, part: pa.Table, data: np.ndarray, offs: np.ndarray,
     return {k: np.concatenate(v) if v else np.zeros(0, bool if k == "single" else np.int64) for k, v in out.items()}
 
 
-COMPARE = "shard int, key long, content long, off int, a long, b long, many boolean, member boolean, text binary"
+COMPARE = "shard int, key long, content long, lo int, hi int, a long, b long, many boolean, member boolean, text binary"
 
 
 def compare_rows(cols: dict[str, np.ndarray], shards: int) -> pa.Table:
     """Window rows for :data:`COMPARE`, with equal windows of this chunk folded into one row.
 
     A window that is there once goes to the shard of its hash as a member. Of several, one row tells the shard that
-    there are many, and each member, decided, goes to a shard of its own; so no shard gets more
+    there are many, and the members, decided, go as runs of windows to shards of their own; so no shard gets more
     rows of one window than there are chunks.
     """
     n = len(cols["a"])
@@ -120,30 +120,34 @@ def compare_rows(cols: dict[str, np.ndarray], shards: int) -> pa.Table:
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
     many = np.repeat(size > 1, size)
-    lone, told = order[~many], order[first[size > 1]]
+    asked = np.concatenate([order[~many], order[first[size > 1]]]).astype(np.int64)
+    alone = np.arange(len(asked)) < (~many).sum()
     decided = order[many]
-    decided = decided[cols["single"][decided]]
-    take = np.concatenate([lone, told, decided]).astype(np.int64)
-    kinds = np.repeat([0, 1, 2], [len(lone), len(told), len(decided)])
-    own = cols["content"][take].view(np.uint64) ^ (cols["off"][take].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    shard = np.where(kinds == 2, _seq.mix(own), cols["a"][take].view(np.uint64)) % np.uint64(shards)
+    decided = decided[cols["single"][decided]].astype(np.int64)
+    runs = verdict_table(cols["key"][decided], cols["content"][decided], cols["off"][decided], cols["off"][decided] + 1)
+    key, content, lo, hi = (c.to_numpy() for c in runs.columns)
+    none = np.zeros(len(key), np.int64)
+    own = _seq.mix(content.view(np.uint64) ^ (lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    shard = np.concatenate([cols["a"][asked].view(np.uint64), own]) % np.uint64(shards)
+    at = cols["off"][asked].astype(np.int32)
     return pa.table(
         {
             "shard": pa.array(shard.astype(np.int32)),
-            "key": cols["key"][take],
-            "content": cols["content"][take],
-            "off": pa.array(cols["off"][take].astype(np.int32)),
-            "a": cols["a"][take],
-            "b": cols["b"][take],
-            "many": pa.array(kinds > 0),
-            "member": pa.array((kinds == 2) | ((kinds == 0) & cols["single"][take])),
-            "text": pa.nulls(len(take), pa.binary()),
+            "key": np.concatenate([cols["key"][asked], key]),
+            "content": np.concatenate([cols["content"][asked], content]),
+            "lo": pa.array(np.concatenate([at, lo])),
+            "hi": pa.array(np.concatenate([at + 1, hi]).astype(np.int32)),
+            "a": np.concatenate([cols["a"][asked], none]),
+            "b": np.concatenate([cols["b"][asked], none]),
+            "many": pa.array(np.concatenate([~alone, none == 0])),
+            "member": pa.array(np.concatenate([alone & cols["single"][asked], none == 0])),
+            "text": pa.nulls(len(shard), pa.binary()),
         }
     )
 
 
-def decided_windows(t: pa.Table) -> dict[str, np.ndarray]:
-    """The members, among the window rows of a shard, that repeat: arrays key, content, lo."""
+def decided_windows(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The members, among the window rows of a shard, that repeat: key, content, lo, hi."""
     a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
     many, member = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("many", "member"))
     order = np.lexsort((b, a))
@@ -153,21 +157,21 @@ def decided_windows(t: pa.Table) -> dict[str, np.ndarray]:
     group[order] = np.cumsum(new) - 1
     weight = np.bincount(group, np.where(many, 2, 1)) if len(a) else np.zeros(0)
     hit = member & (many | (weight[group] > 1)) if len(a) else member
-    return {"key": t.column("key").to_numpy()[hit], "content": t.column("content").to_numpy()[hit], "lo": t.column("off").to_numpy()[hit]}
+    return tuple(t.column(c).to_numpy()[hit] for c in ("key", "content", "lo", "hi"))
 
 
 VERDICT = "key long, content long, lo int, hi int"
 
 
-def verdict_table(key: np.ndarray, content: np.ndarray, lo: np.ndarray) -> pa.Table:
-    """Runs of consecutive windows out of single ones."""
+def verdict_table(key: np.ndarray, content: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
+    """Ranges of windows, those that touch made one; they do not overlap."""
     order = np.lexsort((lo, content, key))
-    k, c, o = key[order], content[order], lo[order].astype(np.int64)
+    k, c, a, z = key[order], content[order], lo[order], hi[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (o[1:] > o[:-1] + 1)
+    new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1]) | (a[1:] > z[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(k)) - 1 if len(k) else first
-    return pa.table({"key": pa.array(k[first], pa.int64()), "content": pa.array(c[first], pa.int64()), "lo": pa.array(o[first].astype(np.int32)), "hi": pa.array((o[last] + 1).astype(np.int32))})
+    return pa.table({"key": pa.array(k[first], pa.int64()), "content": pa.array(c[first], pa.int64()), "lo": pa.array(a[first].astype(np.int32)), "hi": pa.array(z[last].astype(np.int32))})
 
 
 def finish(docs: DataFrame, cand: DataFrame, verdicts: DataFrame, kind: Kind, chunks: int, out: str, build: Callable) -> DataFrame:

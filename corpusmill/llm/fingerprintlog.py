@@ -80,8 +80,7 @@ def _windows(kind: R.Kind, shards: int):
 
 
 def _verify(t: pa.Table) -> pa.Table:
-    got = R.decided_windows(t)
-    return R.verdict_table(got["key"], got["content"], got["lo"])
+    return R.verdict_table(*R.decided_windows(t))
 
 
 def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, stable: bool = False) -> DataFrame:

@@ -50,7 +50,8 @@ def _fetch(kind: R.Kind, shards: int, hot: int):
                 "shard": pa.array((key.view(np.uint64) % np.uint64(shards)).astype(np.int32)),
                 "key": key,
                 "content": cold.column("content").to_numpy(),
-                "off": pa.array(np.zeros(n, np.int32)),
+                "lo": pa.array(np.zeros(n, np.int32)),
+                "hi": pa.array(np.zeros(n, np.int32)),
                 "a": pa.array(np.zeros(n, np.int64)),
                 "b": pa.array(np.zeros(n, np.int64)),
                 "many": pa.array(np.zeros(n, bool)),
@@ -74,7 +75,7 @@ def _sort(window: int):
         n = np.array([len(f) for f in found], np.int64)
         spread = lambda c: np.repeat(own.column(c).to_numpy(), n)
         at = np.concatenate([*found, np.zeros(0, np.int64)])
-        return R.verdict_table(np.concatenate([spread("key"), by_hash["key"]]), np.concatenate([spread("content"), by_hash["content"]]), np.concatenate([at, by_hash["lo"]]))
+        return R.verdict_table(*(np.concatenate(x) for x in zip((spread("key"), spread("content"), at, at + 1), by_hash, strict=True)))
 
     return run
 
