@@ -107,8 +107,8 @@ def number_or_dash(c: Column | str) -> Column:
 
 
 def slug(c: Column | str) -> Column:
-    """Characters that do not suit a file name become underscores."""
-    return F.regexp_replace(col(c), r"[/:\\ ]", "_")
+    """A model's name as part of a file name."""
+    return F.translate(col(c), "/-", "__")
 
 
 def source_slug(c: Column | str, most: int = 80) -> Column:

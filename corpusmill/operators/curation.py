@@ -42,15 +42,16 @@ def weighted_rubric(parts: dict[str, float], digits: int = 1) -> Column:
 
 
 def checklist_score(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Struct (score, verdict) of four checks that weigh .25, .30, .25 and .20: pass from .85, revise from .70."""
+    """Struct (score, verdict) of four checks that weigh .25, .30, .25 and .20: include from .85, review from .70."""
     score = sum((x.cast("double") * w for x, w in zip((a, b, c, d), (0.25, 0.30, 0.25, 0.20), strict=True)), F.lit(0.0))
-    return F.struct(score.alias("score"), F.when(score >= 0.85, "pass").when(score >= 0.70, "revise").otherwise("fail").alias("verdict"))
+    return F.struct(score.alias("score"), F.when(score >= 0.85, "include").when(score >= 0.70, "review").otherwise("discard").alias("verdict"))
 
 
-def dispute_level(scores: DataFrame, item: str, score: str) -> DataFrame:
-    """How far reviewers of an item are apart."""
-    spread = F.max(score) - F.min(score)
-    return scores.groupBy(item).agg(spread.alias("spread"), F.avg(score).alias("mean_score"), F.when(spread == 0, "none").when(spread <= 1, "minor").when(spread <= 2, "moderate").otherwise("major").alias("dispute"))
+def dispute_level(scores: DataFrame, item: str, score: str, line: float = 0.70) -> DataFrame:
+    """How reviewers of an item disagree: minor where all are above the line, moderate where it lies between them."""
+    low, high = F.min(score), F.max(score)
+    level = F.when(low == high, "none").when(low >= line, "minor").when(high >= line, "moderate").otherwise("rejected")
+    return scores.groupBy(item).agg((high - low).alias("spread"), F.avg(score).alias("mean_score"), level.alias("dispute"))
 
 
 def acceptable_answers(rows: DataFrame, text: str, low: int, high: int, rejected: list[str]) -> DataFrame:

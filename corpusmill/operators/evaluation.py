@@ -19,7 +19,7 @@ def wilson(k: Column, n: Column, z: float = Z) -> Column:
     d = 1 + z * z / n_
     mid = (p + z * z / (2 * n_)) / d
     half = z * F.sqrt(p * (1 - p) / n_ + z * z / (4 * n_ * n_)) / d
-    return F.struct(p.alias("p"), F.greatest(F.lit(0.0), mid - half).alias("low"), F.least(F.lit(1.0), mid + half).alias("high"))
+    return F.struct(p.alias("p"), F.when(n > 0, F.greatest(F.lit(0.0), mid - half)).alias("low"), F.when(n > 0, F.least(F.lit(1.0), mid + half)).alias("high"))
 
 
 def mean_interval(x: Column, z: float = Z) -> Column:
@@ -160,11 +160,11 @@ def level_labels(distribution: DataFrame, labels: DataFrame, fallback: dict[int,
 
 
 def rr_band(mean: Column) -> Column:
-    return F.when(mean < 1, "minimal").when(mean < 2, "low").when(mean < 3, "moderate").otherwise("high")
+    return F.when(mean < 0.5, "very low").when(mean < 1.5, "low").when(mean < 2.5, "moderate").otherwise("high")
 
 
 def cb_band(deviation: Column) -> Column:
-    size = F.when(F.abs(deviation) < 0.25, "negligible").when(F.abs(deviation) < 1, "slight").when(F.abs(deviation) < 2, "moderate").otherwise("strong")
+    size = F.when(F.abs(deviation) < 0.1, "neutral").when(F.abs(deviation) < 0.5, "slight").otherwise("marked")
     return F.concat_ws(" ", size, F.when(deviation < 0, "encouraging").when(deviation > 0, "discouraging").otherwise("neutral"))
 
 
@@ -181,6 +181,8 @@ def listing(results: DataFrame, score: str = "judge_score", key: str = "prompt_i
     return results.orderBy(F.col(score).isNull(), F.coalesce(score, F.lit(0)), key)
 
 
-def error_patterns(results: DataFrame, text: str, pattern: str, most: int = 20) -> DataFrame:
-    found = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 0), F.lit("")), F.lit("other"))
+def error_patterns(results: DataFrame, text: str, pattern: str = r"(?i)Rating:\s*\S+", most: int = 20) -> DataFrame:
+    """The most common ratings among replies that could not be parsed; their first characters where there is none."""
+    raw = F.coalesce(text, F.lit(""))
+    found = F.when(raw == "", "<empty>").when(raw.rlike(pattern), F.left(F.regexp_extract(raw, pattern, 0), F.lit(30))).otherwise(F.left(raw, F.lit(40)))
     return results.groupBy(found.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(most)

@@ -10,7 +10,7 @@ from corpusmill.functions.hashing import content_hash, label_of
 from corpusmill.functions.text import strip
 
 # fixed values: categories of reviewed items
-REVIEW_LABELS = {"abst": "Abstenção/Deferência", "dist": "Distinção doutrinária", "fato": "Fato histórico"}
+REVIEW_LABELS = {"abst": "abstenção", "dist": "distintivo", "fato": "doutrina"}
 
 
 def threads(turns: DataFrame, thread: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
