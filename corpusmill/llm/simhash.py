@@ -8,9 +8,12 @@ so pairs of flips within a half suffice: 65 rows, and 992 more for half the fing
 its least fingerprint of at most one flip with all others there: links grow with rows, not with pairs, and a
 point has at most 2,081 distinct fingerprints around it. Each link is verified by its bit count.
 
-Before that, the same idea on halves tells which fingerprints can link at all: of 3 bits, one half
-has at most one, so one half is equal or one flip away (halves of even parity emit their 32 flips).
-The filter drops no link.
+Before that, blocks of bits tell which fingerprints can link at all: 3 flips leave two of five blocks
+equal, so a fingerprint emits its ten pairs of blocks, and one that shares no pair with another is out. The
+filter drops no link.
+
+``near_documents`` is for pipelines: it fingerprints single words with several independent families of hashes, so that
+a near copy that is 4 bits off in one family is likely to be closer in another, and verifies each link by the whole signature.
 
 Cases: a null text is an empty one, with fingerprint zero; equal fingerprints are one node, however many
 documents carry it; null ids are never a component's id, unless there is no other (then null); repeated rows stay; other columns are not read.
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.llm import _seq
 from corpusmill.llm._spark import components, materialize
 
 
@@ -64,15 +68,13 @@ def _flip(bit: Column) -> Column:
 
 
 def may_link(nodes: DataFrame) -> DataFrame:
-    """The fingerprints with another one that is equal or one flip away in either half."""
-    low = F.col("fp").bitwiseAND(F.lit((1 << 32) - 1))
-    high = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(32))
-    halves = nodes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), low.alias("v")), F.struct(F.lit(1).alias("side"), high.alias("v")))).alias("h")).select("fp", "h.side", "h.v")
-    flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.col("v").bitwiseXOR(_flip(b)))
-    ball = F.when(F.bit_count("v") % 2 == 0, flips).otherwise(F.array().cast("array<long>"))
-    rows = halves.select("fp", "side", (F.col("v")).alias("at"), F.lit(True).alias("point")).unionByName(halves.select("fp", "side", F.explode(ball).alias("at"), F.lit(False).alias("point")))
-    met = rows.groupBy("side", "at").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.max("point").alias("p")).where("p AND a <> b").select("side", "at")
-    return rows.join(met, ["side", "at"], "left_semi").select("fp").distinct()
+    """The fingerprints that agree with another one in two of five blocks of bits."""
+    cut = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+    part = [F.call_function("shiftrightunsigned", F.col("fp"), F.lit(at)).bitwiseAND(F.lit((1 << n) - 1)) for at, n in cut]
+    pairs = [F.lit((5 * i + j) << 26).bitwiseOR(F.call_function("shiftleft", part[i], F.lit(13))).bitwiseOR(part[j]) for i in range(5) for j in range(i + 1, 5)]
+    rows = nodes.select("fp", F.explode(F.array(*pairs)).alias("at"))
+    met = rows.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("at")
+    return rows.join(met, "at", "left_semi").select("fp").distinct()
 
 
 def links(nodes: DataFrame) -> DataFrame:
@@ -91,12 +93,92 @@ def links(nodes: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(key, fp, component): component is the smallest key among all rows that links lead to."""
     prints = materialize(fingerprints(df, key, text, shingle, seed), "simhash")
-    nodes = prints.select("fp").distinct()
-    some = materialize(may_link(nodes), "simhash-candidates")
+    nodes = prints.groupBy("fp").agg(F.min("key").alias("key"))
+    some = materialize(may_link(nodes.select("fp")), "simhash-candidates")
     roots = components(links(some), "simhash-links").select(F.col("node").alias("fp"), "root")
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("key").alias("component"))
-    return rooted.join(names, "root").select("key", "fp", "component")
+    named = materialize(rooted.join(names, "root").select("fp", "component"), "simhash-components")
+    return prints.join(named, "fp").select("key", "fp", "component")
+
+
+def signatures(df: DataFrame, key: str, text: str, families: int) -> DataFrame:
+    """(key, f0, f1, ..., h): for each family a fingerprint of the single words of the text, repeats included; a hash of their sequence."""
+    names = [f"f{k}" for k in range(families)] + ["h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = _seq.buffers(b.column(1))
+            out = np.zeros((families + 1, b.num_rows), np.int64)
+            for a, z in _seq.cuts(offs, 1 << 20):
+                w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
+                has = np.flatnonzero(np.diff(w.off))
+                if not len(has):
+                    continue
+                values, n = w.values(0), np.diff(w.off)[has]
+                out[-1, a + has] = _seq.Rolling(values, 0).of(w.off[:-1][has], w.off[1:][has]).view(np.int64)
+                for k in range(families):
+                    bits = np.unpackbits(_seq.mix(values ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    ones = np.add.reduceat(bits, w.off[:-1][has], axis=0, dtype=np.int64)
+                    out[k, a + has] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], names=["key", *names])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", families: int = 4, most_bits: int = 6, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component), keys being unique longs: documents linked by their words and verified by their shingles.
+
+    Candidates are at most 3 bits apart in a family and ``most_bits`` in the mean of all; a link is a candidate whose
+    texts share ``least`` of their ``shingle``-word shingles (Jaccard). Of the nodes that share a family's fingerprint,
+    the least is a candidate with the others, so candidates grow with rows. Texts of the same words in the same order are one node.
+    """
+    names = [f"f{k}" for k in range(families)]
+    rows = materialize(signatures(df, key, text, families), "simhash-signatures")
+    nodes = materialize(rows.groupBy(*names, "h").agg(F.min("key").alias("node")), "simhash-nodes")
+    found = None
+    for name in names:
+        own = nodes.select(F.col(name).alias("fp"), "node")
+        hubs = own.groupBy("fp").agg(F.min("node").alias("hub"))
+        inside = own.join(hubs.hint("merge"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        near = links(may_link(hubs.select("fp")))
+        between = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
+        part = inside.unionByName(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        part = materialize(part, "simhash-family")
+        found = part if found is None else found.unionByName(part)
+    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
+    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    close = found.distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits * families).select("a", "b")
+    close = materialize(close, "simhash-candidates")
+    asked = close.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    sets = materialize(shingle_sets(df.join(asked.hint("merge"), key, "left_semi"), key, text, shingle), "simhash-shingles")
+    of = lambda c: sets.select(F.col("key").alias(c), F.col("s").alias(f"{c}s"))
+    both = close.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    common = F.size(F.array_intersect("as", "bs"))
+    verified = both.where(common >= least * (F.size("as") + F.size("bs") - common)).select("a", "b")
+    roots = components(verified, "simhash-links")
+    named = materialize(nodes.join(roots, "node", "left").select(*names, "h", F.coalesce("root", "node").alias("component")), "simhash-components")
+    return rows.join(named.hint("merge"), [*names, "h"]).select("key", "component")
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, s): hashes of the distinct shingles of the lower-cased words; of all words where there are fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = _seq.buffers(b.column(1))
+            for a, z in _seq.cuts(offs, 1 << 20):
+                w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
+                roll = _seq.Rolling(w.values(0), 0)
+                sets = []
+                for x, y in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True):
+                    at = np.arange(x, max(x + 1, y - shingle + 1)) if y > x else np.zeros(0, np.int64)
+                    sets.append(np.unique(roll.of(at, np.minimum(at + shingle, y)).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, s array<long>")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
