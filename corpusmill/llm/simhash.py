@@ -12,8 +12,9 @@ Before that, blocks of bits tell which fingerprints can link at all: 3 flips lea
 equal, so a fingerprint emits its ten pairs of blocks, and one that shares no pair with another is out. The
 filter drops no link.
 
-``near_documents`` is for pipelines: it fingerprints single words with several independent families of hashes, so that
-a near copy that is 4 bits off in one family is likely to be closer in another, and verifies each link by the whole signature.
+``near_documents`` is for pipelines: it fingerprints the distinct words with several independent families of hashes, so
+that a near copy that is 4 bits off in one family is likely to be within 2 in another (half that radius is one flip, 65 rows),
+and verifies each link by five-word shingles.
 
 Cases: a null text is an empty one, with fingerprint zero; equal fingerprints are one node, however many
 documents carry it; null ids are never a component's id, unless there is no other (then null); repeated rows stay; other columns are not read.
@@ -67,27 +68,32 @@ def _flip(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
-def may_link(nodes: DataFrame) -> DataFrame:
-    """The fingerprints that agree with another one in two of five blocks of bits."""
-    cut = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-    part = [F.call_function("shiftrightunsigned", F.col("fp"), F.lit(at)).bitwiseAND(F.lit((1 << n) - 1)) for at, n in cut]
-    pairs = [F.lit((5 * i + j) << 26).bitwiseOR(F.call_function("shiftleft", part[i], F.lit(13))).bitwiseOR(part[j]) for i in range(5) for j in range(i + 1, 5)]
-    rows = nodes.select("fp", F.explode(F.array(*pairs)).alias("at"))
-    met = rows.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("at")
-    return rows.join(met, "at", "left_semi").select("fp").distinct()
+def may_link(nodes: DataFrame, radius: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """The fingerprints that agree with another one (of equal ``by``) in two of radius + 2 blocks of bits."""
+    n = radius + 2
+    edge = [64 * k // n for k in range(n + 1)]
+    part = [F.call_function("shiftrightunsigned", F.col("fp"), F.lit(x)).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(edge, edge[1:], strict=False)]
+    which = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    pairs = [F.struct(F.lit(k).alias("k"), F.call_function("shiftleft", part[i], F.lit(32)).bitwiseOR(part[j]).alias("v")) for k, (i, j) in enumerate(which)]
+    rows = nodes.select(*by, "fp", F.explode(F.array(*pairs)).alias("at")).select(*by, "fp", "at.k", "at.v")
+    met = rows.groupBy(*by, "k", "v").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(*by, "k", "v")
+    return rows.join(met, [*by, "k", "v"], "left_semi").select(*by, "fp").distinct()
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b), enough to connect all fingerprints at 3 bits or fewer."""
+def links(nodes: DataFrame, radius: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Verified links (a, b), enough to connect all fingerprints (of equal ``by``) at ``radius`` bits or fewer; 2 or 3."""
+    if radius not in (2, 3):
+        raise ValueError("radius must be 2 or 3")
     one = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), _flip))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.transform(F.sequence(i + 1, F.lit(31)), lambda j: _flip(i).bitwiseOR(_flip(j)))))
-    two = F.concat(pairs, F.transform(pairs, lambda m: F.call_function("shiftleft", m, F.lit(32))))
-    near = nodes.select("fp", F.lit(1).alias("flips"), F.explode(one).alias("m"))
-    far = nodes.where(F.bit_count("fp") % 2 == 0).select("fp", F.lit(2).alias("flips"), F.explode(two).alias("m"))
-    rows = near.unionByName(far).select("fp", "flips", F.col("fp").bitwiseXOR(F.col("m")).alias("at"))
-    hub = F.min(F.when(F.col("flips") == 1, F.col("fp"))).over(Window.partitionBy("at"))
-    met = rows.withColumn("hub", hub).where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3)
+    rows = nodes.select(*by, "fp", F.lit(1).alias("flips"), F.explode(one).alias("m"))
+    if radius == 3:
+        pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.transform(F.sequence(i + 1, F.lit(31)), lambda j: _flip(i).bitwiseOR(_flip(j)))))
+        two = F.concat(pairs, F.transform(pairs, lambda m: F.call_function("shiftleft", m, F.lit(32))))
+        rows = rows.unionByName(nodes.where(F.bit_count("fp") % 2 == 0).select(*by, "fp", F.lit(2).alias("flips"), F.explode(two).alias("m")))
+    rows = rows.select(*by, "fp", "flips", F.col("fp").bitwiseXOR(F.col("m")).alias("at"))
+    hub = F.min(F.when(F.col("flips") == 1, F.col("fp"))).over(Window.partitionBy(*by, "at"))
+    met = rows.withColumn("hub", hub).where("hub <> fp").select(*by, F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -103,63 +109,68 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 def signatures(df: DataFrame, key: str, text: str, families: int) -> DataFrame:
-    """(key, f0, f1, ..., h): for each family a fingerprint of the single words of the text, repeats included; a hash of their sequence."""
-    names = [f"f{k}" for k in range(families)] + ["h"]
+    """(key, prints, h): a fingerprint of the distinct words of the text for each family; a hash of the sequence of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = _seq.buffers(b.column(1))
-            out = np.zeros((families + 1, b.num_rows), np.int64)
+            prints, h = np.zeros((b.num_rows, families), np.int64), np.zeros(b.num_rows, np.int64)
             for a, z in _seq.cuts(offs, 1 << 20):
                 w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
                 has = np.flatnonzero(np.diff(w.off))
                 if not len(has):
                     continue
-                values, n = w.values(0), np.diff(w.off)[has]
-                out[-1, a + has] = _seq.Rolling(values, 0).of(w.off[:-1][has], w.off[1:][has]).view(np.int64)
+                values = w.values(0)
+                h[a + has] = _seq.Rolling(values, 0).of(w.off[:-1][has], w.off[1:][has]).view(np.int64)
+                doc = np.repeat(np.arange(len(has)), np.diff(w.off)[has])
+                order = np.lexsort((values, doc))
+                doc, values = doc[order], values[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
+                doc, values = doc[new], values[new]
+                first = np.searchsorted(doc, np.arange(len(has)))
+                n = np.diff(np.append(first, len(doc)))
                 for k in range(families):
                     bits = np.unpackbits(_seq.mix(values ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, w.off[:-1][has], axis=0, dtype=np.int64)
-                    out[k, a + has] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out)], names=["key", *names])
+                    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+                    prints[a + has, k] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, families * (b.num_rows + 1), families, np.int32)), pa.array(prints.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(h)], names=["key", "prints", "h"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, " + ", ".join(f"{n} long" for n in names))
+    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, prints array<long>, h long")
 
 
-def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", families: int = 4, most_bits: int = 6, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", families: int = 16, most_bits: int = 8, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component), keys being unique longs: documents linked by their words and verified by their shingles.
 
-    Candidates are at most 3 bits apart in a family and ``most_bits`` in the mean of all; a link is a candidate whose
+    Candidates are at most 2 bits apart in a family and ``most_bits`` in the mean of all; a link is a candidate whose
     texts share ``least`` of their ``shingle``-word shingles (Jaccard). Of the nodes that share a family's fingerprint,
     the least is a candidate with the others, so candidates grow with rows. Texts of the same words in the same order are one node.
     """
-    names = [f"f{k}" for k in range(families)]
     rows = materialize(signatures(df, key, text, families), "simhash-signatures")
-    nodes = materialize(rows.groupBy(*names, "h").agg(F.min("key").alias("node")), "simhash-nodes")
-    found = None
-    for name in names:
-        own = nodes.select(F.col(name).alias("fp"), "node")
-        hubs = own.groupBy("fp").agg(F.min("node").alias("hub"))
-        inside = own.join(hubs.hint("merge"), "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        near = links(may_link(hubs.select("fp")))
-        between = near.join(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(hubs.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b")
-        part = inside.unionByName(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        part = materialize(part, "simhash-family")
-        found = part if found is None else found.unionByName(part)
-    side = lambda c: nodes.select(F.col("node").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    close = found.distinct().join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits * families).select("a", "b")
+    nodes = materialize(rows.groupBy("prints", "h").agg(F.min("key").alias("node")), "simhash-nodes")
+    own = nodes.select(F.posexplode("prints").alias("family", "fp"), "node")
+    hubs = materialize(own.groupBy("family", "fp").agg(F.min("node").alias("hub")), "simhash-hubs")
+    inside = own.join(hubs.hint("merge"), ["family", "fp"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    some = materialize(may_link(hubs.select("family", "fp"), 2, ("family",)), "simhash-some")
+    near = links(some, 2, ("family",))
+    end = lambda c, n: hubs.select("family", F.col("fp").alias(c), F.col("hub").alias(n)).hint("merge")
+    between = near.join(end("a", "x"), ["family", "a"]).join(end("b", "y"), ["family", "b"])
+    found = materialize(inside.unionByName(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "simhash-found")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("prints").alias(f"{c}p")).hint("merge")
+    apart = F.aggregate(F.zip_with("ap", "bp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    close = found.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits * families).select("a", "b")
     close = materialize(close, "simhash-candidates")
     asked = close.select(F.explode(F.array("a", "b")).alias(key)).distinct()
     sets = materialize(shingle_sets(df.join(asked.hint("merge"), key, "left_semi"), key, text, shingle), "simhash-shingles")
-    of = lambda c: sets.select(F.col("key").alias(c), F.col("s").alias(f"{c}s"))
-    both = close.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
+    of = lambda c: sets.select(F.col("key").alias(c), F.col("s").alias(f"{c}s")).hint("merge")
+    both = close.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("as", "bs"))
     verified = both.where(common >= least * (F.size("as") + F.size("bs") - common)).select("a", "b")
     roots = components(verified, "simhash-links")
-    named = materialize(nodes.join(roots, "node", "left").select(*names, "h", F.coalesce("root", "node").alias("component")), "simhash-components")
-    return rows.join(named.hint("merge"), [*names, "h"]).select("key", "component")
+    named = materialize(nodes.join(roots, "node", "left").select("prints", "h", F.coalesce("root", "node").alias("component")), "simhash-components")
+    return rows.join(named.hint("merge"), ["prints", "h"]).select("key", "component")
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
