@@ -15,6 +15,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once: an expression is otherwise computed wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), f"(?U)^{WS}+|{WS}+\\z", "")
 
@@ -125,6 +130,10 @@ def half_even(x: Column, digits: int = 0) -> Column:
     Spark's ``bround`` takes the shortest decimal text of a double for its value. Where that is a tie, the sign of
     2 * 10**digits * x - n decides, summed exactly: each term is x times a power of two, less a whole number.
     """
+    return let(x.cast("double"), lambda v: _half_even(v, digits))
+
+
+def _half_even(x: Column, digits: int) -> Column:
     scale = 2 * 10**digits
     n = F.rint(x * scale)
     powers = [1 << k for k in range(scale.bit_length()) if scale >> k & 1][::-1]
