@@ -24,6 +24,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    from corpusmill.llm import oracles
     from corpusmill.llm.quality import ORACLE as quality
 
-    return {"op9_quality": quality}
+    return {"op6_warc": oracles.WARC, "op7_substrings": oracles.SUBSTRINGS, "op8_decontamination": oracles.DECONTAMINATION, "op9_quality": quality}
