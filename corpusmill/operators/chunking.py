@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.hashing import chunk_hash
-from corpusmill.functions.text import half_even, strip
+from corpusmill.functions.text import half_even, let, strip
 
 
 def windows(text: Column, size: int = 4000, overlap: int = 500, least: int = 200) -> Column:
@@ -22,6 +22,10 @@ def windows(text: Column, size: int = 4000, overlap: int = 500, least: int = 200
 
 def evenly(items: Column, most: int) -> Column:
     """At most ``most`` items, evenly spaced from the first to the last; the first alone if ``most`` is 1."""
+    return let(items, lambda x: _evenly(x, most))
+
+
+def _evenly(items: Column, most: int) -> Column:
     n = F.size(items)
     if most == 1:
         some = F.slice(items, 1, 1)
@@ -34,6 +38,6 @@ def evenly(items: Column, most: int) -> Column:
 def chunks(docs: DataFrame, key: str, text: str, size: int = 4000, overlap: int = 500, least: int = 200, most: int | None = None) -> DataFrame:
     """(key, chunk_idx, chunk, chunk_hash) of every document, sampled evenly where it has more than ``most``."""
     w = windows(F.col(text), size, overlap, least)
-    w = F.get(F.transform(F.array(w), lambda a: evenly(a, most)), 0) if most else w
+    w = evenly(w, most) if most else w
     x = docs.select(key, F.posexplode(w).alias("chunk_idx", "chunk"))
     return x.withColumn("chunk_hash", chunk_hash(F.col(key).cast("string"), "chunk_idx", "chunk"))
