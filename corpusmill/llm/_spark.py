@@ -66,16 +66,16 @@ def running_offset(df: DataFrame, group: list[str], order: list[str], value: Col
     many tasks: sums by bucket, an offset for each bucket, and a running sum within each bucket.
     The order is that of (bucket, ``order``): fixed, but not that of ``order`` alone.
     """
-    x = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_v", value)
-    sums = x.groupBy(*group, "_b").agg(F.sum("_v").alias("_sum"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    base = base.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_b").alias("_gb"), "_base")
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)], F.col("_b") == F.col("_gb"))
-    within = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_in", F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    drop = ["_b", "_v", "_gb", "_base", "_in", *[f"_g{i}" for i in range(len(group))]]
-    return x.join(base, on).withColumn(out, (F.col("_base") + F.col("_in")).cast("long")).drop(*drop)
+    x = df.withColumn("_off_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_off_value", value)
+    sums = x.groupBy(*group, "_off_bucket").agg(F.sum("_off_value").alias("_off_sum"))
+    before = Window.partitionBy(*group).orderBy("_off_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("_off_base", F.coalesce(F.sum("_off_sum").over(before), F.lit(0)))
+    base = base.select(*[F.col(c).alias(f"_off_g{i}") for i, c in enumerate(group)], F.col("_off_bucket").alias("_off_gb"), "_off_base")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_off_g{i}")) for i, c in enumerate(group)], F.col("_off_bucket") == F.col("_off_gb"))
+    within = Window.partitionBy(*group, "_off_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_off_in", F.coalesce(F.sum("_off_value").over(within), F.lit(0)))
+    drop = ["_off_bucket", "_off_value", "_off_gb", "_off_base", "_off_in", *[f"_off_g{i}" for i in range(len(group))]]
+    return x.join(base, on).withColumn(out, (F.col("_off_base") + F.col("_off_in")).cast("long")).drop(*drop)
 
 
 def components(edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
