@@ -25,7 +25,7 @@ from corpusmill.llm._spark import SPACE, materialize
 RATIOS = {
     "word_length": ("q_word_chars", "q_words", 1500),
     "symbols": ("q_symbols", "q_words", 150),
-    "dup_lines": ("q_dup_lines", "q_lines", 250),
+    "dup_lines": ("q_dup_lines", "q_lines", 400),
     "repeats": ("q_repeat_words", "q_words", 300),
 }
 SPACES = " \t\n\x0b\x0c\r"
@@ -160,7 +160,7 @@ k AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, r ORDER BY cell) AS upto
 q AS (SELECT lang, source, r, min(cell) FILTER (upto * 4 >= total) AS p1, min(cell) FILTER (upto * 4 >= total * 2) AS p2, min(cell) FILTER (upto * 4 >= total * 3) AS p3 FROM k GROUP BY ALL),
 f AS (SELECT lang, source,
         max(p3 + 4 * (p3 - p2) + 1500) FILTER (r = 1) AS h1, max(p1 - 4 * (p2 - p1) - 1500) FILTER (r = 1) AS l1,
-        max(p3 + 4 * (p3 - p2) + 150) FILTER (r = 2) AS h2, max(p3 + 4 * (p3 - p2) + 250) FILTER (r = 3) AS h3,
+        max(p3 + 4 * (p3 - p2) + 150) FILTER (r = 2) AS h2, max(p3 + 4 * (p3 - p2) + 400) FILTER (r = 3) AS h3,
         max(p3 + 4 * (p3 - p2) + 300) FILTER (r = 4) AS h4 FROM q GROUP BY ALL),
 j AS (SELECT m.*, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,
         coalesce(m1 <= h1 AND m1 >= l1 AND m2 <= h2 AND m3 <= h3 AND m4 <= h4, false) AS inside
