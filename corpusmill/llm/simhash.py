@@ -68,16 +68,21 @@ def _flip(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
-def may_link(nodes: DataFrame, radius: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
-    """The fingerprints that agree with another one (of equal ``by``) in two of radius + 2 blocks of bits."""
+def may_link(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """The fingerprints that agree with another one, of the same ``family`` if there are families, in two of radius + 2 blocks of bits."""
     n = radius + 2
     edge = [64 * k // n for k in range(n + 1)]
     part = [F.call_function("shiftrightunsigned", F.col("fp"), F.lit(x)).bitwiseAND(F.lit((1 << (y - x)) - 1)) for x, y in zip(edge, edge[1:], strict=False)]
+    family = F.col("family").cast("long") if "family" in nodes.columns else F.lit(0).cast("long")
+    # one number: family, pair of blocks (6 bits), the blocks (16 bits each)
     which = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    pairs = [F.struct(F.lit(k).alias("k"), F.call_function("shiftleft", part[i], F.lit(32)).bitwiseOR(part[j]).alias("v")) for k, (i, j) in enumerate(which)]
-    rows = nodes.select(*by, "fp", F.explode(F.array(*pairs)).alias("at")).select(*by, "fp", "at.k", "at.v")
-    met = rows.groupBy(*by, "k", "v").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(*by, "k", "v")
-    return rows.join(met, [*by, "k", "v"], "left_semi").select(*by, "fp").distinct()
+    pairs = [F.call_function("shiftleft", family * 64 + k, F.lit(32)).bitwiseOR(F.call_function("shiftleft", part[i], F.lit(16))).bitwiseOR(part[j]) for k, (i, j) in enumerate(which)]
+    rows = nodes.select("fp", F.explode(F.array(*pairs)).alias("at"))
+    met = rows.groupBy("at").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("at")
+    some = rows.join(met, "at", "left_semi")
+    if "family" in nodes.columns:
+        return some.select(F.call_function("shiftright", "at", F.lit(38)).cast("int").alias("family"), "fp").distinct()
+    return some.select("fp").distinct()
 
 
 def links(nodes: DataFrame, radius: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
@@ -153,7 +158,7 @@ def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", famil
     own = nodes.select(F.posexplode("prints").alias("family", "fp"), "node")
     hubs = materialize(own.groupBy("family", "fp").agg(F.min("node").alias("hub")), "simhash-hubs")
     inside = own.join(hubs.hint("merge"), ["family", "fp"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    some = materialize(may_link(hubs.select("family", "fp"), 2, ("family",)), "simhash-some")
+    some = materialize(may_link(hubs.select("family", "fp"), 2), "simhash-some")
     near = links(some, 2, ("family",))
     end = lambda c, n: hubs.select("family", F.col("fp").alias(c), F.col("hub").alias(n)).hint("merge")
     between = near.join(end("a", "x"), ["family", "a"]).join(end("b", "y"), ["family", "b"])
