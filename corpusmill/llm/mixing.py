@@ -136,14 +136,14 @@ def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     A document of which a pass takes every word keeps its text as it is; otherwise its taken words are joined by spaces.
     """
-    numbered = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
-    rows, taken = mix(numbered.withColumn("_key", F.col("_row")), "_key", text, source, **options)
-    spans = taken.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("_spans"), F.sum(F.col("end") - F.col("first")).alias("_taken"))
-    spans = spans.join(rows.select("row", F.col("key").alias("_row"), F.col("size").alias("_size")), "row").drop("row", "pass_no")
-    x = numbered.join(spans, "_row")
+    numbered = materialize(df.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-input")
+    rows, taken = mix(numbered.withColumn("_mix_key", F.col("_mix_row")), "_mix_key", text, source, **options)
+    spans = taken.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("_mix_spans"), F.sum(F.col("end") - F.col("first")).alias("_mix_taken"))
+    spans = spans.join(rows.select("row", F.col("key").alias("_mix_row"), F.col("size").alias("_mix_size")), "row").drop("row", "pass_no")
+    x = numbered.join(spans, "_mix_row")
     words = F.filter(F.split(F.col(text), SPACE), lambda w: w != "")
-    some = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), " ")), 0)
-    return x.withColumn(text, F.when(F.col("_taken") == F.col("_size"), F.col(text)).otherwise(some)).drop("_row", "_spans", "_taken", "_size")
+    some = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_mix_spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), " ")), 0)
+    return x.withColumn(text, F.when(F.col("_mix_taken") == F.col("_mix_size"), F.col(text)).otherwise(some)).drop("_mix_row", "_mix_spans", "_mix_taken", "_mix_size")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

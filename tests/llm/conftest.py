@@ -54,7 +54,7 @@ def folder(spark, docs, tmp_path_factory):
 
     d = tmp_path_factory.mktemp("tables")
     df = spark.createDataFrame(docs, DOC_SCHEMA)
-    df = df.withColumns({"n_chars": F.length("text").cast("long"), "row": F.lit("r"), "key": F.lit(1), "chunk": F.lit(2), "n": F.lit(3), "shard": F.lit(4), "fp": F.lit(5), "_b": F.lit(6)})
+    df = df.withColumns({"n_chars": F.length("text").cast("long"), "row": F.lit("r"), "key": F.lit(1), "chunk": F.lit(2), "n": F.lit(3), "shard": F.lit(4), "fp": F.lit(5), "_b": F.lit(6), "component": F.lit(7), "size": F.lit("s"), "rank": F.lit(8), "_row": F.lit(9), "family": F.lit(10), "h": F.lit(11)})
     df.repartition(3).write.parquet(str(d / "documents.parquet"))
     df.limit(0).write.parquet(str(d / "none.parquet"))
     spark.createDataFrame(BENCHMARK, "item_id long, text string").withColumn("words", F.lit(0)).write.parquet(str(d / "benchmark.parquet"))
