@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def first_wins(rows: DataFrame, key: Column, pos: list[str], keep_empty: bool = False) -> DataFrame:
@@ -79,6 +78,3 @@ def semantic_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "
 
     return sides.groupBy("x", "y").applyInArrow(near, "a long, b long, cosine double")
 
-
-def nth(rows: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
