@@ -39,7 +39,7 @@ class Kind:
         return _seq.BYTE[which][buf], off
 
 
-def segments_of(docs: DataFrame, kind: Kind, most: int = 1 << 21) -> DataFrame:
+def segments_of(docs: DataFrame, kind: Kind, most: int = 1 << 20) -> DataFrame:
     """Segments of all texts of ``docs(row, text)``, see SEGMENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
