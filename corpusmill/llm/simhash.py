@@ -12,9 +12,8 @@ Before that, blocks of bits tell which fingerprints can link at all: 3 flips lea
 equal, so a fingerprint emits its ten pairs of blocks, and one that shares no pair with another is out. The
 filter drops no link.
 
-``near_documents`` is for pipelines: it fingerprints the distinct words with several independent families of hashes, so
-that a near copy that is 4 bits off in one family is likely to be within 2 in another (half that radius is one flip, 65 rows),
-and verifies each link by five-word shingles.
+``near_documents`` is for pipelines: it links texts by the similarity of their five-word shingles. Fingerprints would miss
+part of the texts near the limit, so candidates come from an exact prefix-filter join.
 
 Cases: a null text is an empty one, with fingerprint zero; equal fingerprints are one node, however many
 documents carry it; null ids are never a component's id, unless there is no other (then null); repeated rows stay; other columns are not read.
@@ -23,6 +22,7 @@ documents carry it; null ids are never a component's id, unless there is no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import components, materialize
+from corpusmill.llm._spark import components, discard, materialize, plan_bytes
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, batch: int = 1 << 16) -> int:
@@ -113,88 +113,159 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return prints.join(named, "fp").select("key", "fp", "component")
 
 
-def signatures(df: DataFrame, key: str, text: str, families: int) -> DataFrame:
-    """(key, prints, h): a fingerprint of the distinct words of the text for each family; a hash of the sequence of its words."""
+def _shingles(b: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For ranges a..z of the batch's texts: the distinct shingle hashes of each, sorted, and their text counted from a.
+
+    Shingles are of lower-cased words; a text of fewer words has one of them all, and one of none has none.
+    """
+    data, offs = _seq.buffers(b.column(1))
+    for a, z in _seq.cuts(offs, 1 << 20):
+        w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
+        words = np.diff(w.off)
+        n = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
+        doc = np.repeat(np.arange(z - a), n)
+        at = w.off[:-1][doc] + np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+        h = _seq.Rolling(w.values(0), 0).of(at, np.minimum(at + shingle, w.off[1:][doc])).view(np.int64)
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+        yield a, z, doc[new], h[new]
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, s): hashes of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = _seq.buffers(b.column(1))
-            prints, h = np.zeros((b.num_rows, families), np.int64), np.zeros(b.num_rows, np.int64)
-            for a, z in _seq.cuts(offs, 1 << 20):
-                w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
-                has = np.flatnonzero(np.diff(w.off))
-                if not len(has):
-                    continue
-                values = w.values(0)
-                h[a + has] = _seq.Rolling(values, 0).of(w.off[:-1][has], w.off[1:][has]).view(np.int64)
-                doc = np.repeat(np.arange(len(has)), np.diff(w.off)[has])
-                order = np.lexsort((values, doc))
-                doc, values = doc[order], values[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (values[1:] != values[:-1])
-                doc, values = doc[new], values[new]
-                first = np.searchsorted(doc, np.arange(len(has)))
-                n = np.diff(np.append(first, len(doc)))
-                for k in range(families):
-                    bits = np.unpackbits(_seq.mix(values ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-                    prints[a + has, k] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<i8").ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, families * (b.num_rows + 1), families, np.int32)), pa.array(prints.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(h)], names=["key", "prints", "h"])
+            for a, z, doc, h in _shingles(b, shingle):
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(z - a + 1)).astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), lists], names=["key", "s"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, prints array<long>, h long")
+    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, s array<long>")
 
 
-def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", families: int = 16, most_bits: int = 8, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, component), keys being unique longs: documents linked by their words and verified by their shingles.
+def common_shingles(df: DataFrame, key: str, text: str, shingle: int, sample_bytes: int = 16 << 20, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur often in a sample of about a fixed size, sorted, and how often. They only order shingles: no result hangs on them."""
+    some = df.where(F.pmod(F.xxhash64(key), F.lit(max(1, plan_bytes(df) // sample_bytes))) == 0)
+    sets = shingle_sets(some, key, text, shingle)
+    t = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()
+    h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
-    Candidates are at most 2 bits apart in a family and ``most_bits`` in the mean of all; a link is a candidate whose
-    texts share ``least`` of their ``shingle``-word shingles (Jaccard). Of the nodes that share a family's fingerprint,
-    the least is a candidate with the others, so candidates grow with rows. Texts of the same words in the same order are one node.
-    """
-    rows = materialize(signatures(df, key, text, families), "simhash-signatures")
-    nodes = materialize(rows.groupBy("prints", "h").agg(F.min("key").alias("node")), "simhash-nodes")
-    own = nodes.select(F.posexplode("prints").alias("family", "fp"), "node")
-    hubs = materialize(own.groupBy("family", "fp").agg(F.min("node").alias("hub")), "simhash-hubs")
-    inside = own.join(hubs.hint("merge"), ["family", "fp"]).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    some = materialize(may_link(hubs.select("family", "fp"), 2), "simhash-some")
-    near = links(some, 2, ("family",))
-    end = lambda c, n: hubs.select("family", F.col("fp").alias(c), F.col("hub").alias(n)).hint("merge")
-    between = near.join(end("a", "x"), ["family", "a"]).join(end("b", "y"), ["family", "b"])
-    found = materialize(inside.unionByName(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct(), "simhash-found")
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("prints").alias(f"{c}p")).hint("merge")
-    apart = F.aggregate(F.zip_with("ap", "bp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    close = found.join(side("a"), "a").join(side("b"), "b").where(apart <= most_bits * families).select("a", "b")
-    close = materialize(close, "simhash-candidates")
-    asked = close.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    sets = materialize(shingle_sets(df.join(asked.hint("merge"), key, "left_semi"), key, text, shingle), "simhash-shingles")
-    of = lambda c: sets.select(F.col("key").alias(c), F.col("s").alias(f"{c}s")).hint("merge")
-    both = close.join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("as", "bs"))
-    verified = both.where(common >= least * (F.size("as") + F.size("bs") - common)).select("a", "b")
-    roots = components(verified, "simhash-links")
-    named = materialize(nodes.join(roots, "node", "left").select("prints", "h", F.coalesce("root", "node").alias("component")), "simhash-components")
-    return rows.join(named.hint("merge"), ["prints", "h"]).select("key", "component")
 
+def prefixes(df: DataFrame, key: str, text: str, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, id, n, prefix): a 64-bit hash of the set of shingles, its size, and its prefix in the order rare to common.
 
-def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, s): hashes of the distinct shingles of the lower-cased words; of all words where there are fewer."""
+    Sets of Jaccard similarity ``least`` or more have ``least`` of either one's shingles in common, so the shingles
+    left over in one, and one more, must hold a shared one; in one order for all, both prefixes hold the first of those.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, times = shared.value
         for b in batches:
-            data, offs = _seq.buffers(b.column(1))
-            for a, z in _seq.cuts(offs, 1 << 20):
-                w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
-                roll = _seq.Rolling(w.values(0), 0)
-                sets = []
-                for x, y in zip(w.off[:-1].tolist(), w.off[1:].tolist(), strict=True):
-                    at = np.arange(x, max(x + 1, y - shingle + 1)) if y > x else np.zeros(0, np.int64)
-                    sets.append(np.unique(roll.of(at, np.minimum(at + shingle, y)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(sets, pa.list_(pa.int64()))], names=["key", "s"])
+            for a, z, doc, h in _shingles(b, shingle):
+                first = np.searchsorted(doc, np.arange(z - a + 1))
+                n = np.diff(first)
+                has = np.flatnonzero(n)
+                ids = np.zeros(z - a, np.uint64)
+                if len(has):
+                    ids[has] = np.add.reduceat(_seq.mix(h.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][has])
+                rank = np.zeros(len(h), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+                    rank = np.where(often[at] == h, times[at], 0)
+                order = np.lexsort((h, rank, doc))
+                most = np.where(n > 0, n - np.ceil(least * n - 1e-6).astype(np.int64) + 1, 0)
+                take = np.arange(len(h)) - first[:-1][doc] < most[doc]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(h[order][take]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["key", "id", "n", "prefix"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, s array<long>")
+    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, id long, n long, prefix array<long>")
+
+
+BITS = 1 << 26
+
+
+def only(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text) of the rows whose key is in ``keys``, and of some others: by a bitmap of fixed size, so that no text is shuffled."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
+    word = keys.select(bit(key).alias("bit")).groupBy(F.expr("bit div 32").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("m")).toArrow()
+    words = np.zeros(BITS // 32, np.uint32)
+    words[word.column("w").to_numpy()] = word.column("m").to_numpy().astype(np.uint32)
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy()
+            hit = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)
+            yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
+
+    return df.select(key, F.col(text).cast("binary").alias(text), bit(key).alias("_bit")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {text} binary")
+
+
+def similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float, parts: int = 4) -> list[DataFrame]:
+    """The pairs (a, b) of sets that have ``least`` of their shingles in common (Jaccard); ``names``: (node, key), a text for each set.
+
+    In ``parts`` one after another, so that the sets of one part at a time are on disk.
+    """
+    return [_similar(pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k), names, df, key, text, shingle, least) for k in range(parts)]
+
+
+def _similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = materialize(names.join(asked.hint("merge"), "node").select("node", F.col("key").alias(key)), "near-asked")
+    sets = materialize(shingle_sets(only(df, asked, key, text), key, text, shingle), "near-shingles")
+    named = sets.join(asked.select("node", F.col(key).alias("key")).hint("merge"), "key").select("node", "s")
+    of = lambda c: named.select(F.col("node").alias(c), F.col("s").alias(f"{c}s")).hint("merge")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    common = F.size(F.array_intersect("as", "bs"))
+    out = materialize(both.where(common >= least * (F.size("as") + F.size("bs") - common)).select("a", "b"), "near-links")
+    discard(sets)
+    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of jobs that are over go with the driver's garbage
+    return out
+
+
+def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component), keys being unique longs: the components of all pairs that share ``least`` of their shingles (Jaccard), exactly.
+
+    Texts with the same set of shingles are one node. All others that can be linked meet at a shingle of their prefixes.
+    Of the nodes at a shingle one hub is compared with the others of other components; it is then done with, as what it was not compared with
+    is linked to it already. Rounds go on, with more hubs a shingle each, until all nodes left at a shingle are of
+    one component: no pair goes unverified, and a large group of near copies costs rows, not pairs.
+    """
+    found = materialize(prefixes(df, key, text, shingle, least, common_shingles(df, key, text, shingle)), "near-prefixes")
+    rows = materialize(found.select("key", "id"), "near-ids")
+    names = materialize(rows.groupBy(F.col("id").alias("node")).agg(F.min("key").alias("key")), "near-nodes")
+    at = Window.partitionBy("at")
+    own = found.select(F.explode("prefix").alias("at"), F.col("id").alias("node"), "n").withColumns({"lo": F.min("node").over(at), "hi": F.max("node").over(at)})
+    here = materialize(own.where("lo <> hi").select("at", "node", "n").distinct().withColumn("comp", F.col("node")), "near-rows")
+    discard(found)
+    links, roots, hubs = [], None, 1
+    while not here.isEmpty():
+        salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
+        hub = materialize(here.groupBy("at", salt.alias("salt")).agg(F.min(F.struct("node", "n", "comp")).alias("hub")).select("at", "hub"), "near-hubs")
+        x = here.join(hub.hint("merge"), "at").where((F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") >= least * F.greatest("n", "hub.n") - 1e-6))
+        pairs = materialize(x.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-pairs")
+        links += similar(pairs, names, df, key, text, shingle, least, 4 if hubs == 1 else 1)
+        roots = materialize(components(reduce(DataFrame.unionByName, links), "near-links"), "near-roots")
+        rest = here.join(hub.select("at", F.col("hub.node").alias("node")).hint("merge"), ["at", "node"], "left_anti")
+        left = materialize(rest.join(roots, "node", "left").select("at", "node", "n", F.coalesce("root", "comp").alias("comp")), "near-left")
+        open_ = left.groupBy("at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("at")
+        last, here = here, materialize(left.join(open_.hint("merge"), "at", "left_semi"), "near-open")
+        for t in (last, left, hub, pairs):
+            discard(t)
+        hubs *= 32
+    named = names.select(F.col("node").alias("id"), F.col("key").alias("component"))
+    if roots is not None:
+        least_key = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = least_key.groupBy("root").agg(F.min("key").alias("component"))
+        named = least_key.join(first.hint("merge"), "root").select(F.col("node").alias("id"), "component")
+    return rows.join(materialize(named, "near-components").hint("merge"), "id").select("key", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,43 @@ def test_near_documents_need_five_word_shingles(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6, 7: 6, 8: 8}
 
 
+def _grouped(rows, spark):
+    """Components of near_documents, and those of all pairs at a Jaccard similarity of 0.8 compared by brute force."""
+    got = dict(map(tuple, simhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return got, {i: find(i) for i in sets}
+
+
+def test_near_documents_find_truncated_extended_and_edited_copies(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randrange(100, 300))]
+        m = int(len(base) * rng.choice([0.18, 0.2, 0.22, 0.24]))
+        k = rng.randrange(len(base))
+        edited = list(base)
+        for j in rng.sample(range(len(base)), max(1, len(base) // 50)):
+            edited[j] = word()
+        texts = [base, base + [word() for _ in range(m)], base[: len(base) - int(0.19 * len(base))], base[:k] + [word() for _ in range(m)] + base[k:], edited]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    got, want = _grouped(rows, spark)
+    assert got == want
+    assert sum(got[i] != i for i in got) > 50
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.arange(5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for n in (1, 2, 16):
