@@ -148,6 +148,21 @@ def test_near_documents_find_truncated_extended_and_edited_copies(spark):
     assert sum(got[i] != i for i in got) > 50
 
 
+def test_near_documents_compare_the_pairs_behind_a_hub_that_fails(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(300)]
+    other = list(base)
+    rng.shuffle(other)
+    moved = base[20:150] + base[:20] + base[150:]
+    rows = [(1, " ".join(other)), (2, " ".join(base)), (3, " ".join(moved))]
+    common = [word() for _ in range(170)]  # alike, but most pairs below the limit
+    rows += [(10 + i, " ".join(common + [word() for _ in range(30)])) for i in range(40)]
+    rows += [(60 + i, t + " " + word()) for i, (_, t) in enumerate(rows[20:30])]
+    got, want = _grouped(rows, spark)
+    assert got == want and got[3] == 2 and got[65] == rows[25][0]
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.arange(5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for n in (1, 2, 16):
