@@ -199,11 +199,10 @@ def chunked(docs: DataFrame, chunks: int) -> DataFrame:
     return docs.select(chunk_of(F.col("row"), chunks).alias("chunk"), "row", "id", "text")
 
 
-def numbered(df: DataFrame, key: str, text: str, stable: bool) -> DataFrame:
-    """(row, id, text): every row of ``df`` with a number of its own."""
+def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, id, text): every row of ``df`` with a number of its own, written once: a scan planned again may number rows otherwise."""
     x = df.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
-    x = x if stable else materialize(x, "repeat-input")
-    return x.withColumn("row", F.monotonically_increasing_id())
+    return materialize(x.withColumn("row", F.monotonically_increasing_id()), "repeat-input")
 
 
 def texts_of(left: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:

@@ -83,14 +83,10 @@ def _verify(t: pa.Table) -> pa.Table:
     return R.verdict_table(*R.decided_windows(t))
 
 
-def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, stable: bool = False) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256) of every row; the table goes into the index in ``batches`` parts.
-
-    ``stable``: ``df`` gives the same rows in the same order whenever it is evaluated, as a scan of
-    files does; anything else is written once before, so that rows keep their numbers.
-    """
+def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+    """(key, n_words, n_removed, kept_sha256) of every row; the table goes into the index in ``batches`` parts."""
     kind = R.Kind(True, window, min(gram, window))
-    docs = R.numbered(df, key, text, stable)
+    docs = R.numbered(df, key, text)
     segments = materialize(R.segments_of(docs, kind), "log-segments")
     log = FingerprintLog()
     for k in range(batches):
@@ -110,4 +106,4 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), stable=True)
+    return repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -80,14 +80,10 @@ def _sort(window: int):
     return run
 
 
-def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 200, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, stable: bool = False) -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row.
-
-    ``stable``: ``df`` gives the same rows in the same order whenever it is evaluated, as a scan of
-    files does; anything else is written once before, so that rows keep their numbers.
-    """
+def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 200, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     kind = R.Kind(False, window, min(gram, window))
-    docs = R.numbered(df, key, text, stable)
+    docs = R.numbered(df, key, text)
     segments = materialize(R.segments_of(docs, kind), "suffix-segments")
     keys = materialize(segments.groupBy("key").agg(F.sum(F.when(F.col("inner"), 2).otherwise(1)).alias("n")).where("n > 1").select("key"), "suffix-anchors")
     cand = R.candidates(segments, keys)
@@ -104,4 +100,4 @@ def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", windo
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), stable=True)
+    return repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -97,6 +97,19 @@ def test_ball_hashing_finds_all_links_to_three_bits(spark):
     assert all(got.get(x, x) == find(x) for x in signed) and len(got) > 30
 
 
+def test_rows_keep_their_numbers_when_a_scan_is_planned_anew(spark, folder):
+    docs = _repeats.numbered(spark.read.parquet(str(folder / "documents.parquet")), "doc_id", "text")
+    get = lambda: sorted(map(tuple, docs.select("row", "id", "text").collect()), key=repr)
+    before = get()
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert get() == before and len({r[0] for r in before}) == len(before)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_near_documents_need_five_word_shingles(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
