@@ -4,6 +4,9 @@ A sequence is the bytes, or the words, of a text. Windows that are equal have eq
 ``_seq.segments``), so only segments whose anchor occurs twice matter. Of these, equal segments are
 one group: all its windows repeat. Where an anchor has several different segments, or recurs within
 one, one segment of each group is fetched from its text and its windows are compared with the others'.
+
+Anchors are hashed by a fast rolling polynomial, which only brings windows together. What counts as equal is decided by
+XXH3 over all bytes: segments of one anchor by 64 bits, windows by 128.
 """
 
 from __future__ import annotations
@@ -31,12 +34,24 @@ class Kind:
     window: int
     gram: int
 
-    def read(self, buf: np.ndarray, off: np.ndarray, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hash values of the items of all texts, and where each text's items begin."""
+    def segments(self, buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
+        """The segments of texts laid end to end, with ``content``, a hash of all their bytes."""
         if self.words:
             w = _seq.Words(buf, off, _seq.NOT_SPACE)
-            return w.values(which), w.off
-        return _seq.BYTE[which][buf], off
+            s = _seq.segments(w.values(0), w.off, self.window, self.gram)
+            data, first, end = w.joined()
+            content = _seq.strong64(data, first[s["first"]], end[s["end"] - 1]) if len(first) else np.zeros(0, np.int64)
+        else:
+            s = _seq.segments(_seq.BYTE[0][buf], off, self.window, self.gram)
+            content = _seq.strong64(buf.tobytes(), s["first"], s["end"])
+        return s | {"content": content}
+
+    def windows(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of 128 bits of the windows of one text that start at the items ``at``."""
+        if self.words:
+            data, first, end = _seq.Words(buf, np.array([0, len(buf)]), _seq.NOT_SPACE).joined()
+            return _seq.strong(data, first[at], end[at + self.window - 1])
+        return _seq.strong(buf.tobytes(), at, at + self.window)
 
 
 def segments_of(docs: DataFrame, kind: Kind, most: int = 1 << 20) -> DataFrame:
@@ -47,9 +62,8 @@ def segments_of(docs: DataFrame, kind: Kind, most: int = 1 << 20) -> DataFrame:
             rows = b.column(0).to_numpy()
             data, offs = _seq.buffers(b.column(1))
             for a, z in _seq.cuts(offs, most):
-                values, off = kind.read(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
-                s = _seq.segments(values, off, kind.window, kind.gram)
-                cols = [rows[a:z][s["seq"]], s["start"].astype(np.int32), s["windows"].astype(np.int32), s["key"].view(np.int64), s["content"].view(np.int64), s["inner"]]
+                s = kind.segments(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
+                cols = [rows[a:z][s["seq"]], s["start"].astype(np.int32), s["windows"].astype(np.int32), s["key"].view(np.int64), s["content"], s["inner"]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "start", "windows", "key", "content", "inner"])
 
     return docs.select("row", "text").mapInArrow(run, SEGMENT)
@@ -82,20 +96,18 @@ def number_of_chunks(docs: DataFrame) -> int:
 
 
 def window_rows(kind: Kind, part: pa.Table, data: np.ndarray, offs: np.ndarray, place: dict[int, int]) -> dict[str, np.ndarray]:
-    """Hashes of all windows of the segments in ``part``: arrays key, content, off, single, a, b (two hashes of 64 bits)."""
+    """Hashes of all windows of the segments in ``part``: arrays key, content, off, single, a, b (two halves of 128 bits)."""
     out: dict[str, list] = {k: [] for k in ("key", "content", "off", "single", "a", "b")}
     key, content, single = part.column("key").to_numpy(), part.column("content").to_numpy(), part.column("single").to_numpy(zero_copy_only=False)
     row, start, windows = part.column("row").to_numpy(), part.column("start").to_numpy().astype(np.int64), part.column("windows").to_numpy().astype(np.int64)
     order = np.argsort(row, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else ():
         d = place[int(row[own[0]])]
-        buf = data[offs[d] : offs[d + 1]]
-        span = np.array([0, len(buf)])
         n = windows[own]
         at = np.repeat(start[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        for which, name in ((0, "a"), (1, "b")):
-            values, _ = kind.read(buf, span, which)
-            out[name].append(_seq.Rolling(values, which).of(at, at + kind.window).view(np.int64))
+        h = kind.windows(data[offs[d] : offs[d + 1]], at)
+        out["a"].append(h[:, 0])
+        out["b"].append(h[:, 1])
         out["off"].append((at - np.repeat(start[own], n)).astype(np.int32))
         for name, v in (("key", key), ("content", content), ("single", single)):
             out[name].append(np.repeat(v[own], n))

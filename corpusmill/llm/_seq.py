@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
+ALL = U(0xFFFFFFFFFFFFFFFF)
 _B = (U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -39,7 +41,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any range of ``values``, from prefix sums."""
+    """Hashes of any range of ``values``, from prefix sums: a polynomial modulo 2**64.
+
+    For ranges of bounded length only. On sequences of two values that alternate as Thue and Morse's does, ranges of
+    1,024 items and more collide; what is longer, or decides that sequences are equal, is hashed by :func:`strong`.
+    """
 
     def __init__(self, values: np.ndarray, which: int):
         n = len(values)
@@ -51,6 +57,18 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.q[start] + (end - start).astype(U) * U(0x2545F4914F6CDD1D))
 
 
+def strong(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of 128 bits of every range of ``data``, as rows of two signed longs."""
+    of = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([of(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+
+
+def strong64(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of 64 bits of every range of ``data``, as signed longs."""
+    of = xxhash.xxh3_64_intdigest
+    return np.array([of(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], U).view(np.int64)
+
+
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column, nulls as empty, and where each value starts and ends."""
     if isinstance(col, pa.ChunkedArray):
@@ -92,10 +110,34 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.off = np.searchsorted(self.start, off)
-        self.buf = buf
+        self.buf, self.inside = buf, w
 
     def values(self, which: int) -> np.ndarray:
-        return Rolling(BYTE[which][self.buf], which).of(self.start, self.end)
+        """A hash of every word: eight bytes at a time go through a bijective mixer; words over 256 bytes by XXH3."""
+        size = self.end - self.start
+        h = mix(size.astype(U) + _B[which])
+        pad = np.concatenate([self.buf, np.zeros(16, np.uint8)])
+        eight = np.ndarray(len(pad) - 8, "<u8", pad, strides=(1,))
+        at = np.flatnonzero(size <= 256)
+        for k in range(0, 256, 8):
+            if not len(at):
+                break
+            left = np.minimum(size[at] - k, 8).astype(U)
+            h[at] = mix((h[at] ^ (eight[self.start[at] + k] & (ALL >> (U(64) - left * U(8))))) * _B[which])
+            at = at[size[at] > k + 8]
+        for i in np.flatnonzero(size > 256):
+            h[i] = xxhash.xxh3_64_intdigest(self.buf[self.start[i] : self.end[i]].tobytes(), which)
+        return h
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All words, each with one space behind it; where each begins and ends."""
+        size = self.end - self.start
+        end = np.cumsum(size + 1) - 1
+        own = np.ones(int(end[-1]) + 1 if len(end) else 0, bool)
+        own[end] = False
+        out = np.full(len(own), 0x20, np.uint8)
+        out[own] = self.buf[self.inside]
+        return out.tobytes(), end - size, end
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -112,9 +154,9 @@ def segments(values: np.ndarray, off: np.ndarray, window: int, gram: int) -> dic
     The anchor of a window is the leftmost of its ``gram``-item pieces with the least hash, so equal
     windows have equal anchors, at equal places, wherever they occur. A run holds consecutive windows
     with one anchor hash. Gives arrays: seq, start (item within the sequence), windows, key (the anchor's hash),
-    content (hash of all items of the run), inner (the anchor recurs: windows may repeat within the run).
+    first and end (items of the run, over all sequences), inner (the anchor recurs: windows may repeat within the run).
     """
-    none = {k: np.zeros(0, t) for k, t in (("seq", np.int64), ("start", np.int64), ("windows", np.int64), ("key", U), ("content", U), ("inner", bool))}
+    none = {k: np.zeros(0, t) for k, t in (("seq", np.int64), ("start", np.int64), ("windows", np.int64), ("key", U), ("first", np.int64), ("end", np.int64), ("inner", bool))}
     n = len(values)
     if n < window:
         return none
@@ -137,7 +179,7 @@ def segments(values: np.ndarray, off: np.ndarray, window: int, gram: int) -> dic
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(seq)) - 1
     first, last = pos[a], pos[b]
-    return {"seq": seq[a], "start": first - begin[a], "windows": last - first + 1, "key": key[a], "content": roll.of(first, last + window), "inner": best[a] != best[b]}
+    return {"seq": seq[a], "start": first - begin[a], "windows": last - first + 1, "key": key[a], "first": first, "end": last + window, "inner": best[a] != best[b]}
 
 
 def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

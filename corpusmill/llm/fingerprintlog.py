@@ -3,7 +3,7 @@
 The index keeps fingerprints of historical windows: the anchors that ``_repeats`` chooses, at least one in every
 window of 35 words. A run is an immutable table sorted by fingerprint: (key, n). A new batch becomes a run;
 it is merge-joined with the runs before it, which tells what has occurred before, and runs are compacted when
-there are ``fanout`` of them. What the index reports is verified by the windows themselves: all 35 words of each candidate, by two hashes of 64 bits.
+there are ``fanout`` of them. What the index reports is verified by the windows themselves: all 35 words of each candidate, by a hash of 128 bits of their bytes.
 
 Cases: a null text has no words; texts of fewer words than a window stay as they are; repeated rows are copies of each other; very
 long texts are cut like others; an empty batch makes an empty run; an empty table gives no rows; other columns are not read.

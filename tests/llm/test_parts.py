@@ -4,7 +4,9 @@ import collections
 import gzip
 import random
 
+import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,3 +267,35 @@ def test_verdict_ranges_merge():
     z = np.zeros(4, np.int64)
     t = _repeats.verdict_table(z, z, np.array([0, 2, 1, 7]), np.array([1, 4, 2, 8]))
     assert list(zip(t.column("lo").to_pylist(), t.column("hi").to_pylist(), strict=True)) == [(0, 4), (7, 8)]
+
+
+def _thue_morse(n, a, b):
+    return "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+
+
+def test_thue_morse_words_and_texts_do_not_collide(spark):
+    words = [_thue_morse(4096, "a", "b"), _thue_morse(4096, "b", "a"), _thue_morse(200, "a", "b"), _thue_morse(200, "b", "a")]
+    buf, off = _seq.buffers(pa.array([" ".join(words)]))
+    for which in (0, 1):
+        assert len(set(_seq.Words(buf, off, _seq.NOT_SPACE).values(which).tolist())) == 4
+    rng = random.Random(2)
+    side = [f"x{rng.randrange(10**6)}" for _ in range(34)]
+    two = [(k, " ".join([*side[:17], words[k], *side[17:]])) for k in (0, 1)]
+    df = spark.createDataFrame(two, "doc_id long, text string")
+    assert [r.n_removed for r in fingerprintlog.repeated_words(df).collect()] == [0, 0]
+    texts = [(k, _thue_morse(6000, *("ab" if k % 2 else "ba"))) for k in range(2)] + [(2, _thue_morse(3000, "ab", "ba"))]
+    got = {r.doc_id: r[1:] for r in substrings.repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {r[0]: tuple(r[1:]) for r in brute.op1(texts)}
+    assert got == want
+
+
+def test_words_of_any_bytes_and_lengths():
+    rng = random.Random(4)
+    words = {bytes(rng.choice(b"ab\0\xff") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 900]))) for _ in range(400)}
+    words = sorted(words)
+    buf, off = _seq.buffers(pa.array([b"  ".join(words), b"", b"\n".join(words[:5])], pa.binary()))
+    w = _seq.Words(buf, off, _seq.NOT_SPACE)
+    h = w.values(0)
+    assert len(set(h.tolist())) == len(words) and h[: len(words)][:5].tolist() == h[len(words) :].tolist()
+    data, first, end = w.joined()
+    assert [data[a:b] for a, b in zip(first, end, strict=True)] == words + words[:5]
