@@ -1,4 +1,4 @@
-"""DuckDB SQL of the queries whose contract fixes every column."""
+"""DuckDB SQL of the queries."""
 
 WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
@@ -34,3 +34,29 @@ t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS it
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
 """
+
+SECRETS = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT rid, 'assign' AS kind, 0 AS rank, regexp_extract_all(t, '((?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS x,
+        regexp_extract_all(t, '((?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS g,
+        string_split_regex(t, '((?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gap FROM d
+      UNION ALL SELECT rid, 'access', 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+      UNION ALL SELECT rid, 'hex', 2, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+') FROM d
+      UNION ALL SELECT rid, 'entropy', 3, regexp_extract_all(t, '[A-Za-z0-9+/_=-]+'), regexp_extract_all(t, '[A-Za-z0-9+/_=-]+'), string_split_regex(t, '[A-Za-z0-9+/_=-]+') FROM d),
+m AS (SELECT rid, kind, rank, x[k] AS x, g[k] AS g, sum(length(gap[k]) + CASE WHEN k > 1 THEN length(x[k - 1]) ELSE 0 END) OVER (PARTITION BY rid, rank ORDER BY k) AS s
+      FROM (SELECT *, unnest(range(1, len(x) + 1)) AS k FROM a)),
+base AS (SELECT rid, kind, rank, s, s + length(x) AS e FROM m
+         WHERE (kind = 'assign' AND length(g) >= 12) OR (kind = 'access' AND length(x) >= 18) OR (kind = 'hex' AND length(x) >= 16)),
+c AS (SELECT row_number() OVER () AS cid, rid, s, x, regexp_replace(x, '0123456789|abcdefghij|ABCDEFGHIJ', 'aaaaaaaaaa', 'g') AS y,
+        CASE WHEN regexp_full_match(x, '[0-9a-fA-F]+') THEN 3.2 ELSE 3.9 END::DOUBLE AS bits FROM m
+      WHERE kind = 'entropy' AND length(x) >= 20 AND NOT regexp_full_match(x, '[A-Za-z]+|[a-z]+([_/-]+[a-z]+)*[0-9]{0,4}|[0-9]+([_/-][0-9]+)*|[=_+/-]+')
+        AND NOT regexp_full_match(x, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}')),
+h AS (SELECT cid, min(i) AS a, max(i) AS z FROM (SELECT cid, y, bits, unnest(range(0, length(y) - 19)) AS i FROM c)
+      WHERE list_aggregate(string_split(substr(y, (i + 1)::INT, 20), ''), 'entropy') >= bits GROUP BY cid),
+every AS (SELECT * FROM base UNION ALL SELECT rid, 'entropy', 3, s + a, s + z + 20 FROM c JOIN h USING (cid)),
+r AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n1, count(*) FILTER (kind = 'access') AS n2, count(*) FILTER (kind = 'hex') AS n3,
+        string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank, e) FILTER (rank < 3) AS b,
+        string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank, e) AS spans FROM every GROUP BY rid)
+SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_assign, coalesce(n2, 0)::BIGINT AS n_access, coalesce(n3, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (rid)
+"""

@@ -76,6 +76,23 @@ def op3(docs):
     return out
 
 
+ALLOWED = re.compile(r"[A-Za-z]+|[a-z]+([_/-]+[a-z]+)*[0-9]{0,4}|[0-9]+([_/-][0-9]+)*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[=_+/-]+")
+
+
+def entropy_spans(t, w=20):
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % w, t or ""):
+        x = m[0]
+        if ALLOWED.fullmatch(x):
+            continue
+        bits = 3.2 if re.fullmatch("[0-9a-fA-F]+", x) else 3.9
+        x = re.sub("0123456789|abcdefghij|ABCDEFGHIJ", "a" * 10, x)
+        hot = [k for k in range(len(x) - w + 1) if -sum(n / w * math.log2(n / w) for n in collections.Counter(x[k : k + w]).values()) >= bits]
+        if hot:
+            out.append((m.start() + hot[0], m.start() + hot[-1] + w))
+    return out
+
+
 def op7(docs, w=35):
     words = [(i, re.findall(SPACE, t or "")) for i, t in docs]
     n = collections.Counter(tuple(x[k : k + w]) for _, x in words for k in range(len(x) - w + 1))

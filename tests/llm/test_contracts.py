@@ -1,13 +1,15 @@
 """Every query of the subpackage against a plain version, over odd texts; and over empty tables."""
 
 import collections
+import random
 import re
 import zlib
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
-from corpusmill.llm import registry
+from corpusmill.llm import registry, secrets
 
 QUERIES = registry.queries()
 
@@ -42,16 +44,26 @@ def test_op3(spark, folder, pairs):
     got = QUERIES["op3_secrets"](spark, str(folder))
     want = brute.op3(pairs)
     assert rows(got, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]) == sorted((r[:5] for r in want), key=repr)
-    base = collections.defaultdict(list)
-    for r in want:
-        base[r[0]].append(r[5])
-    for r in got.collect():
-        assert any(set(filter(None, b.split(","))) <= set(r.spans.split(",")) for b in base[r.doc_id])
-    spans = {r.doc_id: r.spans for r in got.collect()}
-    text = dict(pairs)
-    found = {i: [text[i][int(a) : int(b)] for _, a, b in (s.split(":") for s in spans[i].split(",") if s.startswith("entropy"))] for i in text if "entropy" in spans.get(i, "")}
-    assert any("Kx9+vQ2" in x for v in found.values() for x in v)
-    assert not any("z" * 20 in x for v in found.values() for x in v)
+    full = []
+    for (i, t), r in zip(pairs, want, strict=True):
+        spans = sorted([(int(x.split(":")[1]), ("assign", "access", "hex").index(x.split(":")[0]), int(x.split(":")[2])) for x in filter(None, r[5].split(","))] + [(a, 3, z) for a, z in brute.entropy_spans(t)])
+        full.append((i, ",".join(f"{('assign', 'access', 'hex', 'entropy')[k]}:{a}:{z}" for a, k, z in spans)))
+    assert rows(got, ["doc_id", "spans"]) == sorted(full, key=repr)
+    assert sum("entropy" in x for _, x in full) == 2
+
+
+def test_op3_over_long_texts_of_any_shape(spark):
+    rng = random.Random(3)
+    n = 350_000
+    texts = ["ab-" * n + "ab", "12-" * n + "12", "=_" * n, " ".join(f"{rng.getrandbits(72):018x}" for _ in range(50_000)), "".join(rng.choice("ABCdef0123+/xyzXYZ") for _ in range(3 * n)), "id=0123456789/Kx9+vQ2/zR7pLm4TnW8sYb3u"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    x = secrets.scan_secrets(df)
+    got = {r[0]: r[1:] for r in x.select("doc_id", F.size("secret_base"), F.expr("transform(filter(secret_spans, s -> s.kind = 'entropy'), s -> struct(s.s, s.e))")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == sum(brute.op3([(i, t)])[0][1:4])
+        if i != 4:
+            assert [tuple(s) for s in got[i][1]] == brute.entropy_spans(t)
+    assert len(got[4][1]) == 1
 
 
 def test_op9(spark, folder, pairs, docs):
