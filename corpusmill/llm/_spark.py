@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,14 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is configured (tests)."""
+    """The shared folder of the cluster; where none is set, one below the warehouse, which all executors share too."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
@@ -32,6 +36,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    made = _made.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -44,6 +51,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def evaluated(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``build()``, written; the scratch tables that it made on the way are deleted."""
+    token = _made.set([])
+    try:
+        out = materialize(build(), name)
+        for t in _made.get()[:-1]:
+            discard(t)
+    finally:
+        _made.reset(token)
+    return out
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: file bytes for a scan, with no job run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -208,15 +208,20 @@ def only(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.col(text).cast("binary").alias(text), bit(key).alias("_bit")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {text} binary")
 
 
-def similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float, parts: int = 4) -> list[DataFrame]:
-    """The pairs (a, b) of sets that have ``least`` of their shingles in common (Jaccard); ``names``: (node, key), a text for each set.
+def possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose prefixes leave open that ``least`` of their shingles are in common; ``sets``: (node, n, prefix).
 
-    In ``parts`` one after another, so that the sets of one part at a time are on disk.
+    Of two sets, take that whose prefix ends first in the common order: what it shares of its prefix lies in the other's
+    prefix too. So no more is shared than the prefixes share and one of them leaves over.
     """
-    return [_similar(pairs.where(F.pmod(F.xxhash64("a"), F.lit(parts)) == k), names, df, key, text, shingle, least) for k in range(parts)]
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p")).hint("merge")
+    most = F.size(F.array_intersect("ap", "bp")) + F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(most * (1 + least) >= least * (F.col("an") + F.col("bn")) - 1e-6).select("a", "b")
 
 
-def _similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
+def similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of sets that have ``least`` of their shingles in common (Jaccard); ``names``: (node, key), a text for each set."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = materialize(names.join(asked.hint("merge"), "node").select("node", F.col("key").alias(key)), "near-asked")
     sets = materialize(shingle_sets(only(df, asked, key, text), key, text, shingle), "near-shingles")
@@ -244,6 +249,8 @@ def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     at = Window.partitionBy("at")
     own = found.select(F.explode("prefix").alias("at"), F.col("id").alias("node"), "n").withColumns({"lo": F.min("node").over(at), "hi": F.max("node").over(at)})
     here = materialize(own.where("lo <> hi").select("at", "node", "n").distinct().withColumn("comp", F.col("node")), "near-rows")
+    asked = names.join(here.select("node").distinct().hint("merge"), "node")
+    sets = materialize(found.join(asked.hint("merge"), "key").select("node", "n", "prefix"), "near-sets")
     discard(found)
     links, roots, hubs = [], None, 1
     while not here.isEmpty():
@@ -251,7 +258,8 @@ def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shing
         hub = materialize(here.groupBy("at", salt.alias("salt")).agg(F.min(F.struct("node", "n", "comp")).alias("hub")).select("at", "hub"), "near-hubs")
         x = here.join(hub.hint("merge"), "at").where((F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") >= least * F.greatest("n", "hub.n") - 1e-6))
         pairs = materialize(x.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-pairs")
-        links += similar(pairs, names, df, key, text, shingle, least, 4 if hubs == 1 else 1)
+        pairs = materialize(possible(pairs, sets, least), "near-possible")
+        links.append(similar(pairs, names, df, key, text, shingle, least))
         roots = materialize(components(reduce(DataFrame.unionByName, links), "near-links"), "near-roots")
         rest = here.join(hub.select("at", F.col("hub.node").alias("node")).hint("merge"), ["at", "node"], "left_anti")
         left = materialize(rest.join(roots, "node", "left").select("at", "node", "n", F.coalesce("root", "comp").alias("comp")), "near-left")
@@ -260,6 +268,7 @@ def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shing
         for t in (last, left, hub, pairs):
             discard(t)
         hubs *= 32
+    discard(sets)
     named = names.select(F.col("node").alias("id"), F.col("key").alias("component"))
     if roots is not None:
         least_key = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
