@@ -63,6 +63,27 @@ def evaluated(build: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` are those of Parquet files, one by one."""
+    plan = df._jdf.queryExecution().analyzed()
+    if "_metadata" in df.columns or not plan.deterministic():
+        return False
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation")) and plan.toString().rstrip().endswith("parquet")
+
+
+def with_place(df: DataFrame, out: str, name: str) -> DataFrame:
+    """Add ``out``, a struct of two longs that stays a row's own in every job: its file (hashed) and its place in the file.
+
+    Numbers that follow partitions would not: a scan planned again, on more or fewer executors, is cut otherwise. What is not a plain
+    scan of Parquet files (each named once) is written once, with numbers.
+    """
+    if _scans_files(df):
+        return df.withColumn(out, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return materialize(df.withColumn(out, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: file bytes for a scan, with no job run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -78,14 +99,14 @@ def same(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in cols])
 
 
-def running_offset(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int) -> DataFrame:
+def running_offset(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int, deal: list[str] | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that come earlier.
 
     Rows of a group are dealt over ``buckets`` by a hash, so a group of any size is worked on by
     many tasks: sums by bucket, an offset for each bucket, and a running sum within each bucket.
-    The order is that of (bucket, ``order``): fixed, but not that of ``order`` alone.
+    The order is that of (bucket, ``order``): fixed, but not that of ``order`` alone. Buckets go by the columns ``deal``, else by ``order``.
     """
-    x = df.withColumn("_off_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_off_value", value)
+    x = df.withColumn("_off_bucket", F.pmod(F.xxhash64(*(deal or order)), F.lit(buckets)).cast("int")).withColumn("_off_value", value)
     sums = x.groupBy(*group, "_off_bucket").agg(F.sum("_off_value").alias("_off_sum"))
     before = Window.partitionBy(*group).orderBy("_off_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("_off_base", F.coalesce(F.sum("_off_sum").over(before), F.lit(0)))

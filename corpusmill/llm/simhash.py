@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import components, discard, materialize, plan_bytes
+from corpusmill.llm._spark import components, discard, materialize
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, batch: int = 1 << 16) -> int:
@@ -146,21 +146,37 @@ def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, s array<long>")
 
 
-def common_shingles(df: DataFrame, key: str, text: str, shingle: int, sample_bytes: int = 16 << 20, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur often in a sample of about a fixed size, sorted, and how often. They only order shingles: no result hangs on them."""
-    some = df.where(F.pmod(F.xxhash64(key), F.lit(max(1, plan_bytes(df) // sample_bytes))) == 0)
-    sets = shingle_sets(some, key, text, shingle)
-    t = sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()
-    h, n = t.column("h").to_numpy(), t.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+def common_shingles(df: DataFrame, key: str, text: str, shingle: int, least: float, passes: int = 3, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur most in prefixes, sorted, and how often; ``most`` of them at most. They only order shingles: no result hangs on them.
+
+    Prefixes are first taken in hash order; then again with the common ones put last, which brings up others that are common.
+    """
+    often = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _ in range(passes):
+        found = prefixes(df, key, text, shingle, least, often).select(F.explode("prefix").alias("h"))
+        found = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 3"), "near-common")
+        times = found.groupBy("n").agg(F.count("*").alias("m")).toArrow()  # as many rows as there are counts
+        n, m = times.column("n").to_numpy(), times.column("m").to_numpy()
+        order = np.argsort(-n)
+        enough = n[order][np.cumsum(m[order]) <= most]
+        t = found.where(F.col("n") >= (int(enough[-1]) if len(enough) else 1 << 62)).toArrow()
+        discard(found)
+        h = np.concatenate([t.column("h").to_numpy(), often[0]])
+        n = np.concatenate([t.column("n").to_numpy(), often[1]])
+        h, first = np.unique(h, return_index=True)
+        keep = np.argsort(-n[first], kind="stable")[:most]
+        keep.sort()
+        often = h[keep], n[first][keep]
+    return often
 
 
 def prefixes(df: DataFrame, key: str, text: str, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, n, prefix): a 64-bit hash of the set of shingles, its size, and its prefix in the order rare to common.
+    """(key, id, n, sketch, prefix): a 64-bit hash of the set of shingles, its size, sketch, and prefix in the order rare to common.
 
     Sets of Jaccard similarity ``least`` or more have ``least`` of either one's shingles in common, so the shingles
     left over in one, and one more, must hold a shared one; in one order for all, both prefixes hold the first of those.
+    A sketch is 512 parities of how many shingles fall to each of 512 places. Sketches of two sets differ in no more places than the
+    sets differ in shingles.
     """
     shared = df.sparkSession.sparkContext.broadcast(common)
 
@@ -174,6 +190,13 @@ def prefixes(df: DataFrame, key: str, text: str, shingle: int, least: float, com
                 ids = np.zeros(z - a, np.uint64)
                 if len(has):
                     ids[has] = np.add.reduceat(_seq.mix(h.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][has])
+                sketch = np.zeros((z - a, 8), np.uint64)
+                if len(has):
+                    place = _seq.mix(h.view(np.uint64))
+                    bit = np.uint64(1) << (place & np.uint64(63))
+                    for k in range(8):
+                        own = np.where((place >> np.uint64(6)) & np.uint64(7) == k, bit, np.uint64(0))
+                        sketch[has, k] = np.bitwise_xor.reduceat(own, first[:-1][has])
                 rank = np.zeros(len(h), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
@@ -182,13 +205,15 @@ def prefixes(df: DataFrame, key: str, text: str, shingle: int, least: float, com
                 most = np.where(n > 0, n - np.ceil(least * n - 1e-6).astype(np.int64) + 1, 0)
                 take = np.arange(len(h)) - first[:-1][doc] < most[doc]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(h[order][take]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), lists], names=["key", "id", "n", "prefix"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * (z - a) + 1, 8, np.int32)), pa.array(sketch.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), flat, lists], names=["key", "id", "n", "sketch", "prefix"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, id long, n long, prefix array<long>")
+    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, id long, n long, sketch array<long>, prefix array<long>")
 
 
 BITS = 1 << 26
+HUBS = 32
 
 
 def only(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
@@ -208,16 +233,14 @@ def only(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.col(text).cast("binary").alias(text), bit(key).alias("_bit")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {text} binary")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose prefixes leave open that ``least`` of their shingles are in common; ``sets``: (node, n, prefix).
+def least_common(n: str, m: str, least: float) -> Column:
+    """What sets of sizes ``n`` and ``m`` have in common at the least if their Jaccard similarity is ``least``."""
+    return F.ceil(least / (1 + least) * (F.col(n) + F.col(m)) - 1e-6)
 
-    Of two sets, take that whose prefix ends first in the common order: what it shares of its prefix lies in the other's
-    prefix too. So no more is shared than the prefixes share and one of them leaves over.
-    """
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("prefix").alias(f"{c}p")).hint("merge")
-    most = F.size(F.array_intersect("ap", "bp")) + F.greatest(F.col("an") - F.size("ap"), F.col("bn") - F.size("bp"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where(most * (1 + least) >= least * (F.col("an") + F.col("bn")) - 1e-6).select("a", "b")
+
+def differ(a: str, b: str) -> Column:
+    """What two sketches tell of how many shingles the sets differ in, at the least."""
+    return reduce(Column.__add__, [F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in map(F.lit, range(8))])
 
 
 def similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
@@ -236,39 +259,39 @@ def similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: s
 
 
 def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, component), keys being unique longs: the components of all pairs that share ``least`` of their shingles (Jaccard), exactly.
+    """(key, component), keys being unique: the components of all pairs that share ``least`` of their shingles (Jaccard), exactly.
 
-    Texts with the same set of shingles are one node. All others that can be linked meet at a shingle of their prefixes.
+    Texts with the same set of shingles are one node. All others that can be linked meet at the first shingle that they share, which
+    lies in both prefixes, and so far in front that what comes after it suffices; and their sketches differ in few enough places.
     Of the nodes at a shingle one hub is compared with the others of other components; it is then done with, as what it was not compared with
     is linked to it already. Rounds go on, with more hubs a shingle each, until all nodes left at a shingle are of
     one component: no pair goes unverified, and a large group of near copies costs rows, not pairs.
     """
-    found = materialize(prefixes(df, key, text, shingle, least, common_shingles(df, key, text, shingle)), "near-prefixes")
+    found = materialize(prefixes(df, key, text, shingle, least, common_shingles(df, key, text, shingle, least)), "near-prefixes")
     rows = materialize(found.select("key", "id"), "near-ids")
     names = materialize(rows.groupBy(F.col("id").alias("node")).agg(F.min("key").alias("key")), "near-nodes")
     at = Window.partitionBy("at")
-    own = found.select(F.explode("prefix").alias("at"), F.col("id").alias("node"), "n").withColumns({"lo": F.min("node").over(at), "hi": F.max("node").over(at)})
-    here = materialize(own.where("lo <> hi").select("at", "node", "n").distinct().withColumn("comp", F.col("node")), "near-rows")
-    asked = names.join(here.select("node").distinct().hint("merge"), "node")
-    sets = materialize(found.join(asked.hint("merge"), "key").select("node", "n", "prefix"), "near-sets")
+    own = found.select("n", "sketch", F.col("id").alias("node"), F.posexplode("prefix").alias("pos", "at"))
+    own = own.withColumns({"lo": F.min("node").over(at), "hi": F.max("node").over(at), "near": F.max(F.col("pos") <= F.col("n") - least_common("n", "n", least)).over(at)})
+    here = materialize(own.where("lo <> hi AND near").select("at", "node", "n", "pos", "sketch").dropDuplicates(["at", "node"]).withColumn("comp", F.col("node")), "near-rows")
     discard(found)
     links, roots, hubs = [], None, 1
     while not here.isEmpty():
         salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        hub = materialize(here.groupBy("at", salt.alias("salt")).agg(F.min(F.struct("node", "n", "comp")).alias("hub")).select("at", "hub"), "near-hubs")
-        x = here.join(hub.hint("merge"), "at").where((F.col("comp") != F.col("hub.comp")) & (F.least("n", "hub.n") >= least * F.greatest("n", "hub.n") - 1e-6))
+        hub = materialize(here.groupBy("at", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", "sketch", "comp")).alias("hub")).select("at", "hub"), "near-hubs")
+        need = least_common("n", "hub.n", least)
+        x = here.join(hub.hint("merge"), "at").where((F.col("comp") != F.col("hub.comp")) & (F.col("pos") <= F.col("n") - need) & (F.col("hub.pos") <= F.col("hub.n") - need) & (differ("sketch", "hub.sketch") <= F.col("n") + F.col("hub.n") - 2 * need))
         pairs = materialize(x.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-pairs")
-        pairs = materialize(possible(pairs, sets, least), "near-possible")
         links.append(similar(pairs, names, df, key, text, shingle, least))
         roots = materialize(components(reduce(DataFrame.unionByName, links), "near-links"), "near-roots")
         rest = here.join(hub.select("at", F.col("hub.node").alias("node")).hint("merge"), ["at", "node"], "left_anti")
-        left = materialize(rest.join(roots, "node", "left").select("at", "node", "n", F.coalesce("root", "comp").alias("comp")), "near-left")
-        open_ = left.groupBy("at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("at")
+        left = materialize(rest.join(roots, "node", "left").select("at", "node", "n", "pos", "sketch", F.coalesce("root", "comp").alias("comp")), "near-left")
+        near = F.max(F.col("pos") <= F.col("n") - least_common("n", "n", least))
+        open_ = left.groupBy("at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), near.alias("near")).where("lo <> hi AND near").select("at")
         last, here = here, materialize(left.join(open_.hint("merge"), "at", "left_semi"), "near-open")
         for t in (last, left, hub, pairs):
             discard(t)
-        hubs *= 32
-    discard(sets)
+        hubs *= HUBS
     named = names.select(F.col("node").alias("id"), F.col("key").alias("component"))
     if roots is not None:
         least_key = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
