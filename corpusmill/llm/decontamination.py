@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import plan_bytes
+from corpusmill.llm._spark import plan_bytes, with_place
 
 
 class Index:
@@ -111,7 +111,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
 
     if len(blocks) == 1:
         return scanned(blocks[0], df, len(kept), schema)
-    numbered = df.withColumn("_hit_row", F.monotonically_increasing_id())
+    numbered = with_place(df, "_hit_row", "hit-input")
     wide = numbered.withColumns({n: F.lit(None).cast(schema[n].dataType) for n in names}).schema
     parts = [scanned(b, numbered, len(kept) + 1, wide).select("_hit_row", *names) for b in blocks]
     merged = parts[0]

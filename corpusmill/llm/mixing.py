@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm._spark import SPACE, materialize, pieces, running_offset
+from corpusmill.llm._spark import SPACE, materialize, pieces, running_offset, with_place
 
-BLOCK, SLOTS, MOST, SEED = 32, 1 << 14, 3, 17
+BLOCK, SLOTS, MOST, SEED, STRETCH = 32, 1 << 14, 3, 17, 1024
 
 
 def permuted(index: np.ndarray, n: int, seed: int, rounds: int = 4) -> np.ndarray:
@@ -100,35 +100,37 @@ def hash_seed(*parts: int) -> int:
     return int(np.random.SeedSequence([int(x) for x in parts]).generate_state(1, np.uint64)[0])
 
 
-def draw_blocks(sources: DataFrame, block: int, slots: int, most: int, seed: int) -> DataFrame:
+def draw_blocks(sources: DataFrame, block: int, slots: int, most: int, seed: int, parts: int) -> DataFrame:
     """(rank, shard, pass_no, block_no) for every slot of the mix."""
     s = sources.where("source_size > 0").withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
     s = s.withColumn("slots", F.col("target") * F.col("n_blocks") / F.col("source_size"))
     s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / slots)).cast("long"))
-    each = s.select("rank", "n_blocks", (F.col("slots") / F.col("shards")).alias("expected"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    drawn = each.groupBy("shard").applyInPandas(_draw(seed), "shard long, rank long, count long, n_blocks long")
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("begin", F.coalesce(F.sum("count").over(before), F.lit(0))).repartition("rank", "shard")
-    return drawn.mapInPandas(_slots(seed, most), "rank long, shard long, pass_no int, block_no long")
+    # shards in two steps, so that no row holds a list of all and tasks share the work
+    s = s.select("rank", "n_blocks", "shards", (F.col("slots") / F.col("shards")).alias("expected"), F.explode(F.expr(f"sequence(0L, (shards - 1) div {STRETCH})")).alias("stretch"))
+    each = s.repartition(parts, "rank", "stretch").withColumn("shard", F.explode(F.expr(f"sequence(stretch * {STRETCH}, least((stretch + 1) * {STRETCH}, shards) - 1)")))
+    drawn = each.select("rank", "n_blocks", "expected", "shard").groupBy("shard").applyInPandas(_draw(seed), "shard long, rank long, count long, n_blocks long")
+    drawn = running_offset(drawn, ["rank"], ["shard"], F.col("count"), "begin", parts)
+    return drawn.repartition(parts, "rank", "shard").mapInPandas(_slots(seed, most), "rank long, shard long, pass_no int, block_no long")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, slots: int = SLOTS, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, slots: int = SLOTS, most: int = MOST, seed: int = SEED, order: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, taken).
 
-    rows: row (a number for each row of ``df``, in file order), key, size, source, rank, source_size, target.
+    rows: row (a number for each row of ``df``), key, size, source, rank, source_size, target. Documents of a source follow each other in
+    the order of a hash, ``order`` or that of key and text, so that a rerun on other files takes the same.
     taken: row, shard, pass_no, first and end (words of the document, from 0): the parts of it that the mix takes.
     """
     words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")).cast("long")
-    rows = materialize(df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size")), "mix-sizes")
+    rows = materialize(df.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), words.alias("size"), (F.xxhash64(key, text) if order is None else order).alias("sort")), "mix-sizes")
     sources = materialize(targets(rows, most), "mix-targets")
     rows_s = rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = running_offset(rows_s.where("size > 0").select("row", "rank", "size"), ["rank"], ["row"], F.col("size"), "begin", pieces(df, 4, 256))
+    placed = running_offset(rows_s.where("size > 0").select("row", "rank", "size", "sort"), ["rank"], ["sort", "row"], F.col("size"), "begin", pieces(df, 4, 256), ["sort"])
     part = placed.select("row", "rank", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block_no"))
     part = part.select("row", "rank", "block_no", (F.greatest(F.col("block_no") * block, F.col("begin")) - F.col("begin")).alias("first"), (F.least((F.col("block_no") + 1) * block, F.col("begin") + F.col("size")) - F.col("begin")).alias("end"))
-    drawn = draw_blocks(sources, block, slots, most, seed)
+    drawn = draw_blocks(sources, block, slots, most, seed, pieces(df, 8, 16))
     # Catalyst takes what comes from Python for as small as what went in; a broadcast would grow with the corpus
     taken = part.join(drawn.hint("merge"), ["rank", "block_no"]).select("row", "shard", "pass_no", "first", "end")
-    return rows_s, taken
+    return rows_s.drop("sort"), taken
 
 
 def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -136,8 +138,8 @@ def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     A document of which a pass takes every word keeps its text as it is; otherwise its taken words are joined by spaces.
     """
-    numbered = materialize(df.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-input")
-    rows, taken = mix(numbered.withColumn("_mix_key", F.col("_mix_row")), "_mix_key", text, source, **options)
+    numbered = with_place(df, "_mix_row", "mix-input")
+    rows, taken = mix(numbered.withColumn("_mix_key", F.col("_mix_row")), "_mix_key", text, source, order=F.xxhash64(key, text), **options)
     spans = taken.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("_mix_spans"), F.sum(F.col("end") - F.col("first")).alias("_mix_taken"))
     spans = spans.join(rows.select("row", F.col("key").alias("_mix_row"), F.col("size").alias("_mix_size")), "row").drop("row", "pass_no")
     x = numbered.join(spans, "_mix_row")
