@@ -89,3 +89,14 @@ def prices(usage: DataFrame, table: DataFrame, model: str = "model", tokens: str
     best = x.join(table.where("key <> 'default'"), F.col("prefix") == F.col("key")).groupBy(key).agg(F.max_by("price", F.length("prefix")).alias("_price"), F.max(F.struct(F.length("prefix"), "prefix"))["prefix"].alias("price_key"))
     default = table.where("key = 'default'").select("price").scalar()
     return usage.join(best, key, "left").withColumn("price", F.coalesce("_price", default)).withColumn("cost", F.col(tokens) * F.col("price")).drop("_price")
+
+
+def first_sources(chunks: DataFrame, source: str, pos: str, most: int) -> DataFrame:
+    """The chunks of the first ``most`` sources in order of first appearance; a null source is one of them."""
+    order = chunks.groupBy(F.col(source).alias("_s")).agg(F.min(pos).alias("_first")).orderBy("_first").limit(most)
+    return chunks.join(order, F.col(source).eqNullSafe(F.col("_s")), "left_semi")
+
+
+def cheapest(offers: DataFrame, price: str, tie: str, most: int = 10, missing: float = 999.0) -> DataFrame:
+    """The ``most`` cheapest offers; one without a price goes as ``missing``."""
+    return offers.orderBy(F.coalesce(F.col(price), F.lit(missing)), tie).limit(most)

@@ -129,11 +129,17 @@ def slice_metrics(results: DataFrame, by: list[str] | None = None, score: str =
 
 
 def direction_means(before: DataFrame, after: DataFrame, group: list[str], key: str = "prompt_id", score: str = "judge_score") -> DataFrame:
-    """Mean of transitions into and out of ``group``, before and after, over prompts scored in both."""
-    b = before.where(F.col(score).isNotNull()).select(key, F.col(score).alias("b"), "religion_from", "religion_to")
-    x = b.join(after.where(F.col(score).isNotNull()).select(key, F.col(score).alias("a")), key)
-    inside, outside = F.col("religion_to").isin(group) & ~F.col("religion_from").isin(group), F.col("religion_from").isin(group) & ~F.col("religion_to").isin(group)
-    return x.agg(*[F.avg(F.when(side, F.col(c))).alias(f"{name}_{when}") for name, side in (("into", inside), ("out_of", outside)) for c, when in (("b", "before"), ("a", "after"))])
+    """Mean of transitions into and out of ``group``, before and after, over prompts scored in both.
+
+    A transition inside the group goes both into it and out of it. Each run's mean follows the ends that the run itself names.
+    """
+
+    def run(rows: DataFrame, name: str) -> DataFrame:
+        return rows.where(F.col(score).isNotNull()).select(key, F.struct(F.col(score).alias("score"), F.col("religion_to").alias("into"), F.col("religion_from").alias("out_of")).alias(name))
+
+    x = run(before, "before").join(run(after, "after"), key)
+    mean = lambda side, when: F.avg(F.when(F.col(f"{when}.{side}").isin(group), F.col(f"{when}.score"))).alias(f"{side}_{when}")
+    return x.agg(*[mean(side, when) for side in ("into", "out_of") for when in ("before", "after")])
 
 
 def compare_summaries(before: DataFrame, after: DataFrame, metrics: list[str]) -> DataFrame:
@@ -181,6 +187,18 @@ def listing(results: DataFrame, score: str = "judge_score", key: str = "prompt_i
     return results.orderBy(F.col(score).isNull(), F.coalesce(score, F.lit(0)), key)
 
 
+def error_ids(results: DataFrame, score: str = "judge_score", key: str = "prompt_id", order: str = "seq", most: int = 20) -> DataFrame:
+    """A report's sample of the prompts whose reply had no score: the first ``most`` results in file order."""
+    return results.where(F.col(score).isNull()).orderBy(order).limit(most).select(F.coalesce(F.col(key).cast("string"), F.lit("?")).alias(key), order)
+
+
+def chart_orders(bias: DataFrame) -> DataFrame:
+    """Where each category stands in the charts: by total bias, by encouraging multiplier, and in the table, largest first. Ties by name."""
+    place = lambda *o: F.row_number().over(Window.orderBy(*o, "category"))  # noqa: E731  as many rows as there are categories
+    x = bias.withColumns({"by_total": place("total"), "by_multiplier": place("enc_mult"), "in_table": place(F.desc("total"))})
+    return x.withColumns({"net_favours": F.col("net") >= 0, "multiplier_favours": F.col("enc_mult") >= 1.0})
+
+
 def error_patterns(results: DataFrame, text: str, pattern: str = r"(?i)Rating:\s*\S+", most: int = 20) -> DataFrame:
     """The most common ratings among replies that could not be parsed; their first characters where there is none."""
     raw = F.coalesce(text, F.lit(""))

@@ -120,6 +120,25 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def parse_apart(docs: DataFrame, out: str, wanted: list[str] | None = None) -> tuple[DataFrame | None, dict[str, int], dict[str, str]]:
+    """(rows, counts, failures): every source parsed and written below ``out`` on its own, so that one that fails leaves the others.
+
+    rows: those of the sources that went well, read again; None if there is none. failures: what went wrong, by source. A source
+    without a document has a count of 0, like one without answers.
+    """
+    spark, counts, failures, done = docs.sparkSession, {}, {}, []
+    for name in wanted or PARSERS:
+        path = f"{out}/{name}"
+        try:
+            PARSERS[name](docs.where(F.col("doc") == name)).write.mode("overwrite").parquet(path)
+        except Exception as e:  # noqa: BLE001  whatever a source's text or rule brings about
+            failures[name] = f"{type(e).__name__}: {e}".splitlines()[0]
+            continue
+        done.append(path)
+        counts[name] = spark.read.parquet(path).count()
+    return (spark.read.parquet(*done) if done else None), counts, failures
+
+
 def parse_all(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Rows of every source in ``docs(doc, text)``; ``doc`` names the parser. An unknown name in ``wanted`` fails."""
     unknown = set(wanted or []) - PARSERS.keys()

@@ -10,9 +10,9 @@ from corpusmill.functions.text import half_even
 
 
 def shuffled(key: Column | str, seed: int) -> Column:
-    """A key's place in the shuffle."""
+    """A key's place in the shuffle; a null key goes as an empty one."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
 
 
 def hash_ranked(rows: DataFrame, group: list[str], key: str, seed: int, out: str = "rank", cells: int = 256) -> DataFrame:

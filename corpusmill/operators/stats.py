@@ -103,6 +103,13 @@ def confusion(rated: DataFrame, a: str, b: str, low: int, high: int) -> DataFram
     return rated.groupBy(F.col(a).alias("level")).agg(*[F.count_if(F.col(b) == v).alias(f"n_{v}") for v in range(low, high + 1)])
 
 
+def direction_disagreement(rated: DataFrame, a: str, b: str, neutral: int) -> DataFrame:
+    """One row: pairs of ratings, those that are two levels or more apart, and those on different sides of ``neutral``."""
+    side = lambda c: F.signum(F.col(c).cast("double") - neutral)
+    both = rated.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col(a) - F.col(b)) >= 2).alias("n_off_by_two"), F.count_if(side(a) != side(b)).alias("n_direction"))
+
+
 def annotator_kappas(ratings: DataFrame, item: str, rater: str, score: str) -> DataFrame:
     """Kappa of every pair of raters over the items that both rated."""
     a = ratings.select(F.col(item).alias("i"), F.col(rater).alias("rater_a"), F.col(score).alias("a"))

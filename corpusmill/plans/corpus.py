@@ -333,20 +333,26 @@ def fix_mojibake(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.fix_mojibake(broken).alias("fixed"))
 
 
-@query(
-    "semantic_dups",
-    "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.92",
-)
+# vectors and their copies, twice as long and a little turned, so that there are near pairs
+TURNED_SQL = """SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, list_transform(embedding::DOUBLE[], lambda x, i: 2 * x + CASE WHEN i = 1 THEN 0.1 ELSE 0 END) FROM embeddings"""
+NEAR_SQL = "SELECT a.vec_id AS a, b.vec_id AS b FROM ({0}) a JOIN ({0}) b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {1}"
+
+
+def _turned(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = F.transform("embedding", lambda v, i: 2 * v + F.when(i == 0, 0.1).otherwise(0.0))
+    return x.unionByName(x.select((F.col("vec_id") + 1000000).alias("vec_id"), turned.alias("embedding")))
+
+
+@query("semantic_dups", NEAR_SQL.format(TURNED_SQL, 0.92))
 def semantic_dups(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.semantic_duplicates(table(spark, d, "embeddings")).select("a", "b")
+    return dedup.semantic_duplicates(_turned(spark, d)).select("a", "b")
 
 
-@query(
-    "semantic_links",
-    "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.6",
-)
+@query("semantic_links", NEAR_SQL.format(TURNED_SQL, 0.6))
 def semantic_links(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.semantic_duplicates(table(spark, d, "embeddings"), least=0.6).select("a", "b")
+    return dedup.semantic_duplicates(_turned(spark, d), least=0.6).select("a", "b")
 
 
 @query(

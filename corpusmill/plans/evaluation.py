@@ -67,6 +67,16 @@ def group_means(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluation.group_means(results(spark, d), ["pair_id", "template_id"]))
 
 
+@query(
+    "group_means_religion",
+    f"""WITH r AS MATERIALIZED (SELECT religion_from AS f, religion_to AS t, judge_score AS s FROM ({TRANSITIONS_SQL}) WHERE judge_score IS NOT NULL)
+SELECT 'religion_from' AS dim, f AS value, round(avg(s), 9) AS mean_score, count(*) AS n_scored FROM r GROUP BY f
+UNION ALL SELECT 'religion_to', t, round(avg(s), 9), count(*) FROM r GROUP BY t""",
+)
+def group_means_religion(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluation.group_means(transitions(spark, d), ["religion_from", "religion_to"]))
+
+
 DEDUP_SQL = f"""SELECT prompt_id, arg_max({{'seq': seq, 's': judge_score}}, (CASE WHEN judge_score IS NULL THEN 0 ELSE 1 END) * 100000000000 + seq) AS r, min(seq) AS pos
 FROM ({results_sql()}) GROUP BY prompt_id"""
 
@@ -76,18 +86,27 @@ def scores_dedup_prefer_valid(spark: SparkSession, d: str) -> DataFrame:
     return dedup.prefer_valid(results(spark, d).select("prompt_id", "seq", "judge_score"))
 
 
-@query("remaining_prompts", f"SELECT item_id AS prompt_id FROM benchmark WHERE item_id NOT IN (SELECT prompt_id FROM ({results_sql()}) WHERE judge_score IS NOT NULL AND seq % 50 = 0)")
+# the prompts of the next three: seven numbers apart, so that some have no result; those that 5 divides have no score in any
+NEXT_SQL = f"SELECT prompt_id, CASE WHEN prompt_id % 5 <> 0 THEN judge_score END AS judge_score FROM ({results_sql()})"
+
+
+def _next(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    done = results(spark, d).withColumn("judge_score", F.when(F.col("prompt_id") % 5 != 0, F.col("judge_score")))
+    return table(spark, d, "benchmark").select((F.col("item_id") * 7).alias("prompt_id")), done
+
+
+@query("remaining_prompts", f"SELECT item_id * 7 AS prompt_id FROM benchmark WHERE item_id * 7 NOT IN (SELECT prompt_id FROM ({NEXT_SQL}) WHERE judge_score IS NOT NULL)")
 def remaining_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return resume.remaining(table(spark, d, "benchmark").select(F.col("item_id").alias("prompt_id")), results(spark, d).where("seq % 50 = 0"))
+    return resume.remaining(*_next(spark, d))
 
 
 @query(
     "pending_parse",
-    f"""WITH r AS (SELECT * FROM ({results_sql()}) WHERE seq % 50 = 0) SELECT item_id AS prompt_id FROM benchmark
-WHERE item_id IN (SELECT prompt_id FROM r) AND item_id NOT IN (SELECT prompt_id FROM r WHERE judge_score IS NOT NULL)""",
+    f"""WITH r AS ({NEXT_SQL}) SELECT item_id * 7 AS prompt_id FROM benchmark
+WHERE item_id * 7 IN (SELECT prompt_id FROM r) AND item_id * 7 NOT IN (SELECT prompt_id FROM r WHERE judge_score IS NOT NULL)""",
 )
 def pending_parse(spark: SparkSession, d: str) -> DataFrame:
-    return resume.pending_parse(table(spark, d, "benchmark").select(F.col("item_id").alias("prompt_id")), results(spark, d).where("seq % 50 = 0"))
+    return resume.pending_parse(*_next(spark, d))
 
 
 @query(
@@ -107,19 +126,20 @@ def total_spend(spark: SparkSession, d: str) -> DataFrame:
 BIAS_SQL = f"""WITH t AS MATERIALIZED ({TRANSITIONS_SQL}), r AS (SELECT (judge_score < 4)::INT AS e, trim(religion_to) AS t, trim(religion_from) AS f FROM t WHERE judge_score IS NOT NULL),
 i AS (SELECT t, count(*) AS n, sum(e) AS k FROM r GROUP BY t), o AS (SELECT f, count(*) AS n, sum(e) AS k FROM r GROUP BY f),
 c AS (SELECT trim(n_name) AS category, coalesce(i.n, 0) AS into_total, coalesce(i.k, 0)::BIGINT AS into_enc, coalesce(o.n, 0) AS out_total, coalesce(o.k, 0)::BIGINT AS out_enc
-  FROM nation LEFT JOIN i ON i.t = trim(n_name) LEFT JOIN o ON o.f = trim(n_name) WHERE n_nationkey < 14),
+  FROM nation LEFT JOIN i ON i.t = trim(n_name) LEFT JOIN o ON o.f = trim(n_name)),
 p AS (SELECT *, CASE WHEN into_total > 0 THEN round_even(into_enc / into_total * 100, 1) ELSE 0 END AS enc_pct, CASE WHEN out_total > 0 THEN round_even(out_enc / out_total * 100, 1) ELSE 0 END AS dis_pct FROM c)
-SELECT category, into_total, into_enc, out_total, out_enc, round_even(enc_pct, 0)::BIGINT AS pos, round_even(dis_pct, 0)::BIGINT AS neg FROM p"""
+SELECT category, into_total, into_enc, out_total, out_enc, enc_pct, dis_pct, round_even(enc_pct, 0)::BIGINT AS pos, round_even(dis_pct, 0)::BIGINT AS neg,
+  CASE WHEN sum(into_enc) OVER () > 0 THEN round_even(enc_pct / 100 / (sum(into_enc) OVER () / sum(into_total) OVER ()), 2) ELSE 0 END AS enc_mult FROM p"""
 
 
 def _bias(spark: SparkSession, d: str) -> DataFrame:
-    dim = table(spark, d, "nation").where("n_nationkey < 14").select(F.col("n_name").alias("category"))
+    dim = table(spark, d, "nation").select(F.col("n_name").alias("category"))
     return evaluation.category_bias(transitions(spark, d), dim)
 
 
 @query("category_bias", f"SELECT *, pos + neg AS total, pos - neg AS net FROM ({BIAS_SQL})")
 def category_bias(spark: SparkSession, d: str) -> DataFrame:
-    return _bias(spark, d).select("category", "into_total", "into_enc", "out_total", "out_enc", "pos", "neg", "total", "net")
+    return _bias(spark, d).select("category", "into_total", "into_enc", "out_total", "out_enc", "enc_pct", "dis_pct", "enc_mult", "pos", "neg", "total", "net")
 
 
 @query("category_rank", f"SELECT category, pos + neg AS total, row_number() OVER (ORDER BY pos + neg, category)::INT AS position FROM ({BIAS_SQL})")
@@ -127,6 +147,20 @@ def category_rank(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.ranked(_bias(spark, d), "total", "category", descending=False).select("category", "total", "position")
 
 
+@query(
+    "chart_orders",
+    f"""SELECT category, row_number() OVER (ORDER BY pos + neg, category)::INT AS by_total, row_number() OVER (ORDER BY enc_mult, category)::INT AS by_multiplier,
+  row_number() OVER (ORDER BY pos + neg DESC, category)::INT AS in_table, pos - neg >= 0 AS net_favours, enc_mult >= 1 AS multiplier_favours FROM ({BIAS_SQL})""",
+)
+def chart_orders(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.chart_orders(_bias(spark, d)).select("category", "by_total", "by_multiplier", "in_table", "net_favours", "multiplier_favours")
+
+
+@query("error_ids", f"SELECT prompt_id::VARCHAR AS prompt_id, seq FROM ({results_sql()}) WHERE judge_score IS NULL ORDER BY seq LIMIT 20")
+def error_ids(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.error_ids(results(spark, d))
+
+
 @query("run_bias", f"SELECT avg(pos + neg) AS run_bias FROM ({BIAS_SQL})")
 def run_bias(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.run_bias(_bias(spark, d))
@@ -154,7 +188,7 @@ def slice_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "direction_means",
     f"""WITH t AS MATERIALIZED ({TRANSITIONS_SQL}), r AS (SELECT judge_score AS b, 8 - judge_score AS a, religion_to IN ('CHINA', 'FRANCE', 'BRAZIL') AS i, religion_from IN ('CHINA', 'FRANCE', 'BRAZIL') AS o FROM t WHERE judge_score IS NOT NULL)
-SELECT round(avg(b) FILTER (i AND NOT o), 9) AS into_before, round(avg(a) FILTER (i AND NOT o), 9) AS into_after, round(avg(b) FILTER (o AND NOT i), 9) AS out_of_before, round(avg(a) FILTER (o AND NOT i), 9) AS out_of_after FROM r""",
+SELECT round(avg(b) FILTER (i), 9) AS into_before, round(avg(a) FILTER (i), 9) AS into_after, round(avg(b) FILTER (o), 9) AS out_of_before, round(avg(a) FILTER (o), 9) AS out_of_after FROM r""",
 )
 def direction_means(spark: SparkSession, d: str) -> DataFrame:
     t = transitions(spark, d)
@@ -289,9 +323,9 @@ def scores_from_key_file(spark: SparkSession, d: str) -> DataFrame:
     return curation.coalesced_scores(rows, x.select("doc_id", F.col("toxic").cast("int").alias("judge_score")), "doc_id")
 
 
-@query("report_listing", f"SELECT prompt_id, seq, judge_score FROM ({results_sql()}) WHERE seq % 100 = 0")
+@query("report_listing", f"SELECT prompt_id, seq, judge_score FROM ({results_sql()})")
 def report_listing(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.listing(results(spark, d).where("seq % 100 = 0").select("prompt_id", "seq", "judge_score"))
+    return evaluation.listing(results(spark, d).select("prompt_id", "seq", "judge_score"))
 
 
 @query("placement", "SELECT event_type, event_type IN ('view') AS placed, CASE event_type WHEN 'error' THEN 'no scored records' WHEN 'click' THEN 'system prompt in use' WHEN 'view' THEN NULL ELSE 'translated track' END AS placement_note FROM (SELECT DISTINCT event_type FROM events)")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import corpus, evaluation, statistics
+from corpusmill.plans import corpus, evaluation, more, statistics
 from corpusmill.plans.tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "more", "statistics"]

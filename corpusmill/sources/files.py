@@ -106,9 +106,9 @@ def new_files(found: DataFrame, have: DataFrame, excluded: list[str]) -> DataFra
 
 
 def scoring_config(path: str) -> dict:
-    """A benchmark's scoring prompt; all four parts must be there."""
+    """A benchmark's scoring prompt; its template, variables and output format must be there."""
     cfg = json.loads(Path(path).read_text(encoding="utf-8"))
-    missing = [k for k in ("template", "input_variables", "rating_scale", "output_format") if k not in cfg]
+    missing = [k for k in ("template", "input_variables", "output_format") if k not in cfg]
     if missing:
         raise KeyError(f"{path} lacks {missing}")
     return cfg
@@ -122,24 +122,40 @@ def system_prompt(path: str) -> str:
 
 
 def experiment_config(path: str) -> dict:
-    """A flat ``key: value`` configuration with sections by indentation; paths are taken from the file's own place."""
+    """A configuration of ``key: value`` lines, sections by indentation and lists of scalars (``- x`` lines or ``[x, y]``)."""
+
+    def scalar(text: str):
+        try:
+            return json.loads(text)
+        except ValueError:
+            pass
+        if text.startswith("[") and text.endswith("]"):
+            return [scalar(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+        return {"~": None, "null": None, "True": True, "False": False}.get(text, text.strip("\"'"))
+
     out: dict = {}
     stack: list[tuple[int, dict]] = [(-1, out)]
+    last: tuple[dict, str] | None = None
     for line in Path(path).read_text(encoding="utf-8").splitlines():
         bare = line.split(" #")[0].rstrip()
         if not bare.strip() or bare.lstrip().startswith("#"):
             continue
         depth = len(bare) - len(bare.lstrip())
+        if bare.strip().startswith("- "):
+            if last is None:
+                raise ValueError(f"{path}: a list without a name")
+            where, name = last
+            if not isinstance(where[name], list):
+                where[name] = []
+            where[name].append(scalar(bare.strip()[2:].strip()))
+            continue
         key, _, value = bare.strip().partition(":")
         while stack[-1][0] >= depth:
             stack.pop()
         if value.strip():
-            text = value.strip()
-            try:
-                stack[-1][1][key] = json.loads(text)
-            except ValueError:
-                stack[-1][1][key] = text.strip("\"'")
+            stack[-1][1][key] = scalar(value.strip())
         else:
+            last = (stack[-1][1], key)
             stack[-1][1][key] = child = {}
             stack.append((depth, child))
     return out

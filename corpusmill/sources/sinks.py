@@ -23,14 +23,21 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def replace_jsonl(rows: DataFrame, path: str) -> None:
-    """Write beside ``path``, then move into its place; ``rows`` may have been read from ``path``."""
+    """Write beside ``path``, then move into its place; ``rows`` may have been read from ``path``.
+
+    A folder cannot be renamed over another, so ``path`` is missing between two renames. If the second fails, the old rows are
+    put back; if the job ends between them, they lie in ``path``.*.old.
+    """
     spark = rows.sparkSession
     fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
     rows.write.json(fresh)
     fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.rename(target, _fs(spark, old)[1])
+    had = fs.exists(target)
+    if had and not fs.rename(target, _fs(spark, old)[1]):
+        raise OSError(f"could not move {path} away")
     if not fs.rename(_fs(spark, fresh)[1], target):
+        if had:
+            fs.rename(_fs(spark, old)[1], target)
         raise OSError(f"could not put {fresh} in the place of {path}")
     fs.delete(_fs(spark, old)[1], True)
 
