@@ -17,11 +17,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import materialize, pieces
+from corpusmill.llm._spark import bit, bitmap, marked, materialize, numbered_rows, pieces
 
 SEGMENT = "row long, start int, windows int, key long, content long, inner boolean"
 
@@ -204,17 +205,42 @@ def finish(docs: DataFrame, cand: DataFrame, verdicts: DataFrame, kind: Kind, ch
         cols = list(zip(*got, strict=True)) if got else [()] * (len(names) - 1)
         return pa.Table.from_arrays([left.column("id"), *[pa.array(c, pa.string() if isinstance((c or [0])[0], str) else pa.int64()) for c in cols]], names=names)
 
-    return chunked(docs, chunks).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, out)
+    # only texts with spans are shuffled; the others are read where they are
+    shared = bitmap(spans, "row")
+    kinds = {n: pa.string() if t == "string" else pa.int64() for n, t in (c.split() for c in out.split(", ")[1:])}
+    none = np.zeros(0, np.int64)
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~marked(shared.value, b.column(2).to_numpy())))
+            cols = list(zip(*[build(t.as_py() or b"", none, none) for t in b.column(1)], strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)]], names=names)
+
+    with_spans = chunked(docs, chunks, shared).groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(run, out)
+    return with_spans.unionByName(docs.select("id", "text", bit("row")).mapInArrow(plain, out))
+
+
+def fetch(docs: DataFrame, asked: DataFrame, chunks: int, run: Callable) -> DataFrame:
+    """``run`` over the texts of the rows asked for, in chunks, with what is asked of them; other texts are not shuffled."""
+    asked = asked.withColumn("chunk", chunk_of(F.col("row"), chunks))
+    return chunked(docs, chunks, bitmap(asked, "row")).groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, COMPARE)
+
+
+def chunked(docs: DataFrame, chunks: int, shared: Broadcast) -> DataFrame:
+    """The rows of ``docs`` that are in the bitmap, with their chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.select([0, 1, 2]).filter(pa.array(marked(shared.value, b.column(3).to_numpy())))
 
-def chunked(docs: DataFrame, chunks: int) -> DataFrame:
-    return docs.select(chunk_of(F.col("row"), chunks).alias("chunk"), "row", "id", "text")
+    kind = docs.schema["id"].dataType.simpleString()
+    some = docs.select("row", "id", "text", bit("row")).mapInArrow(run, f"row long, id {kind}, text binary")
+    return some.select(chunk_of(F.col("row"), chunks).alias("chunk"), "row", "id", "text")
 
 
 def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, id, text): every row of ``df`` with a number of its own, written once: a scan planned again may number rows otherwise."""
-    x = df.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
-    return materialize(x.withColumn("row", F.monotonically_increasing_id()), "repeat-input")
+    """(row, id, text): every row of ``df`` with a number that stays its own in every job."""
+    return numbered_rows(df.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text")), "repeat-input").select("row", "id", "text")
 
 
 def texts_of(left: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:

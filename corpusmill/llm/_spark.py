@@ -7,6 +7,8 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from functools import reduce
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,6 +86,43 @@ def with_place(df: DataFrame, out: str, name: str) -> DataFrame:
     return materialize(df.withColumn(out, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name)
 
 
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """Add ``row``, a long that stays a row's own in every job: the number of its file, and its place in it.
+
+    The list of files is broadcast where it is under 64 MB. What is not a plain scan of Parquet files is written once, with numbers.
+    """
+    if not _scans_files(df):
+        return materialize(df.withColumn("row", F.monotonically_increasing_id()), name)
+    path = F.col("_metadata.file_path")
+    files = df.select(path.alias("_file")).distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file")).cast("long"))
+    files = materialize(files, "files")
+    files = F.broadcast(files) if plan_bytes(files) < 64 << 20 else files
+    x = df.withColumns({"_path": path, "_at": F.col("_metadata.row_index")}).join(files, F.col("_path") == F.col("_file"))
+    return x.withColumn("row", F.call_function("shiftleft", "_no", F.lit(40)) + F.col("_at")).drop("_path", "_at", "_file", "_no")
+
+
+BITS = 1 << 26
+
+
+def bit(key: str) -> Column:
+    """The place of a key in a bitmap of :func:`bitmap`."""
+    return F.pmod(F.xxhash64(key), F.lit(BITS)).alias("_bit")
+
+
+def bitmap(keys: DataFrame, key: str) -> Broadcast:
+    """A broadcast bitmap of fixed size in which the places of all ``keys`` are set; see :func:`marked`."""
+    at = keys.select(bit(key))
+    word = at.groupBy(F.expr("_bit div 32").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_bit") % 32).cast("int"))).alias("m")).toArrow()
+    words = np.zeros(BITS // 32, np.uint32)
+    words[word.column("w").to_numpy()] = word.column("m").to_numpy().astype(np.uint32)
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def marked(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the places are set: true for all keys of the bitmap, and for some others."""
+    return (words[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``: file bytes for a scan, with no job run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

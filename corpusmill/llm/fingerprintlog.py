@@ -1,9 +1,10 @@
 """Substring dedup with a log-structured fingerprint index (operator 7).
 
 The index keeps fingerprints of historical windows: the anchors that ``_repeats`` chooses, at least one in every
-window of 35 words. A run is an immutable table sorted by fingerprint: (key, n). A new batch becomes a run;
-it is merge-joined with the runs before it, which tells what has occurred before, and runs are compacted when
-there are ``fanout`` of them. What the index reports is verified by the windows themselves: all 35 words of each candidate, by a hash of 128 bits of their bytes.
+window of 35 words. A run is an immutable table sorted by fingerprint: (key, n), in a folder of its own below the log's,
+named by the batches that it covers. A new batch is merge-joined with the runs there are, which tells what has occurred before; it then
+becomes a run itself, and runs are compacted when there are ``fanout`` of them. A log is opened again by its path. Keys that are known, or
+occur twice in their batch, are candidates; they are verified by the windows themselves: all 35 words of each, by a hash of 128 bits of their bytes.
 
 Cases: a null text has no words; texts of fewer words than a window stay as they are; repeated rows are copies of each other; very
 long texts are cut like others; an empty batch makes an empty run; an empty table gives no rows; other columns are not read.
@@ -12,6 +13,8 @@ long texts are cut like others; an empty batch makes an empty run; an empty tabl
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +22,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _repeats as R
-from corpusmill.llm._spark import discard, materialize
+from corpusmill.llm._spark import materialize, scratch_dir
 
 WINDOW, GRAM, BATCHES, FANOUT = 35, 6, 2, 2
 
 
 class FingerprintLog:
-    """Sorted immutable runs of fingerprints with their counts."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout = fanout
-        self.runs: list[DataFrame] = []
-
-    def append(self, keys: DataFrame) -> None:
-        """Add a batch: (key, n) with a row for every key, in any number of parts."""
-        run = keys.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key")
-        self.runs.append(materialize(run, "fingerprint-run"))
+    """Sorted immutable runs of fingerprints with their counts, below ``path``.
+
+    A run ``run-a-b`` holds batches a to b. It counts once it is written whole; a shorter run that it covers is left over from a
+    compaction and is deleted when the log is opened. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
+        self.spark, self.path, self.fanout = spark, path.rstrip("/"), fanout
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        top = self._path(self.path)
+        self.fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        found = [s.getPath().getName() for s in self.fs.listStatus(top)] if self.fs.exists(top) else []
+        spans = [tuple(map(int, n.split("-")[1:])) for n in found if n.startswith("run-") and self.fs.exists(self._path(f"{self.path}/{n}/_SUCCESS"))]
+        self.runs = sorted(s for s in spans if not any(o != s and o[0] <= s[0] and s[1] <= o[1] for o in spans))
+        for n in found:
+            if n.startswith("run-") and tuple(map(int, n.split("-")[1:])) not in self.runs:
+                self.fs.delete(self._path(f"{self.path}/{n}"), True)
+
+    def _run(self, span: tuple[int, int]) -> str:
+        return f"{self.path}/run-{span[0]:08d}-{span[1]:08d}"
+
+    def _read(self, span: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema("key long, n long").parquet(self._run(span))
+
+    def _write(self, rows: DataFrame, span: tuple[int, int]) -> None:
+        rows.sortWithinPartitions("key").write.mode("overwrite").option("compression", "zstd").parquet(self._run(span))
+
+    def append(self, keys: DataFrame) -> DataFrame:
+        """Add a batch: (key, n), a key in any number of rows. Gives the batch's keys that are known from before or that it has twice."""
+        at = self.runs[-1][1] + 1 if self.runs else 0
+        self._write(keys.groupBy("key").agg(F.sum("n").alias("n")), (at, at))
+        batch = self._read((at, at))
+        again = materialize(self.known(batch).select("key").unionByName(batch.where("n > 1").select("key")).distinct(), "fingerprint-known")
+        self.runs.append((at, at))
         if len(self.runs) >= self.fanout:
             self.compact()
+        return again
 
     def known(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` whose key is in a run."""
-        out = None
-        for run in self.runs:
-            hit = keys.join(run.select("key").hint("merge"), "key", "left_semi")
-            out = hit if out is None else out.unionByName(hit)
-        return out.distinct() if out is not None else keys.limit(0)
+        """The rows of ``keys`` whose key is in a run: a merge join with each."""
+        out = keys.limit(0)
+        for span in self.runs:
+            out = out.unionByName(keys.join(self._read(span).select("key").hint("merge"), "key", "left_semi"))
+        return out.distinct()
 
     def compact(self) -> None:
         """Merge all runs into one, pair by pair, and delete them."""
         while len(self.runs) > 1:
-            a, b = self.runs[-2].withColumnRenamed("n", "m").hint("merge"), self.runs[-1]
+            old = self.runs[-2:]
+            a, b = self._read(old[0]).withColumnRenamed("n", "m").hint("merge"), self._read(old[1])
             both = a.join(b, "key", "full").select("key", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"))
-            merged = materialize(both.sortWithinPartitions("key"), "fingerprint-run")
-            for old in self.runs[-2:]:
-                discard(old)
-            self.runs[-2:] = [merged]
+            self._write(both, (old[0][0], old[1][1]))
+            self.runs[-2:] = [(old[0][0], old[1][1])]
+            for span in old:
+                self.fs.delete(self._path(self._run(span)), True)
 
     def repeated(self) -> DataFrame:
         """Keys that have occurred at least twice, over all batches."""
         self.compact()
-        return self.runs[0].where("n > 1").select("key")
+        return self._read(self.runs[0]).where("n > 1").select("key") if self.runs else self.spark.createDataFrame([], "key long")
 
 
 def _kept(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple:
@@ -88,19 +116,19 @@ def repeated_words(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     kind = R.Kind(True, window, min(gram, window))
     docs = R.numbered(df, key, text)
     segments = materialize(R.segments_of(docs, kind), "log-segments")
-    log = FingerprintLog()
+    log = FingerprintLog(df.sparkSession, f"{scratch_dir(df.sparkSession)}/fingerprint-log-{uuid.uuid4().hex}")
+    again = []
     for k in range(batches):
         part = segments.where(F.pmod(F.xxhash64("row"), F.lit(batches)) == k)
-        log.append(part.select("key", F.when(F.col("inner"), 2).otherwise(1).cast("long").alias("n")))
-    cand = R.candidates(segments, log.repeated())
+        again.append(log.append(part.select("key", F.when(F.col("inner"), 2).otherwise(1).cast("long").alias("n"))))
+    cand = R.candidates(segments, reduce(DataFrame.unionByName, again).distinct())
     verdicts, open_ = R.groups(cand)
     open_ = materialize(open_, "log-open")
     size = open_.agg(F.sum("windows")).first()[0] or 0
     shards = max(8, -(-size // (1 << 18)))
     chunks = R.number_of_chunks(df)
-    asked = open_.withColumn("chunk", R.chunk_of(F.col("row"), chunks))
-    fetched = R.chunked(docs, chunks).groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_windows(kind, shards), R.COMPARE)
-    verified = fetched.groupBy("shard").applyInArrow(_verify, R.VERDICT)
+    fetched = R.fetch(docs, open_, chunks, _windows(kind, shards))
+    verified = materialize(fetched.groupBy("shard").applyInArrow(_verify, R.VERDICT), "log-verdicts")
     kind_of_key = df.schema[key].dataType.simpleString()
     return R.finish(docs, cand, verdicts.unionByName(verified), kind, chunks, f"{key} {kind_of_key}, n_words long, n_removed long, kept_sha256 string", _kept)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import components, discard, materialize
+from corpusmill.llm._spark import bit, bitmap, components, discard, marked, materialize
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, batch: int = 1 << 16) -> int:
@@ -106,6 +106,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     prints = materialize(fingerprints(df, key, text, shingle, seed), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("key").alias("key"))
     some = materialize(may_link(nodes.select("fp")), "simhash-candidates")
+    some = some.repartition(max(8, -(-some.count() // SPREAD)), "fp")  # each becomes some hundreds of rows
     roots = components(links(some), "simhash-links").select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("key").alias("component"))
@@ -212,25 +213,20 @@ def prefixes(df: DataFrame, key: str, text: str, shingle: int, least: float, com
     return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, id long, n long, sketch array<long>, prefix array<long>")
 
 
-BITS = 1 << 26
 HUBS = 32
+#: fingerprints that one task turns into points
+SPREAD = 4096
 
 
 def only(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text) of the rows whose key is in ``keys``, and of some others: by a bitmap of fixed size, so that no text is shuffled."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS))
-    word = keys.select(bit(key).alias("bit")).groupBy(F.expr("bit div 32").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 32).cast("int"))).alias("m")).toArrow()
-    words = np.zeros(BITS // 32, np.uint32)
-    words[word.column("w").to_numpy()] = word.column("m").to_numpy().astype(np.uint32)
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    shared = bitmap(keys, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(2).to_numpy()
-            hit = shared.value[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)
-            yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
+            yield b.select([0, 1]).filter(pa.array(marked(shared.value, b.column(2).to_numpy())))
 
-    return df.select(key, F.col(text).cast("binary").alias(text), bit(key).alias("_bit")).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {text} binary")
+    return df.select(key, F.col(text).cast("binary").alias(text), bit(key)).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {text} binary")
 
 
 def least_common(n: str, m: str, least: float) -> Column:
@@ -264,7 +260,7 @@ def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shing
     Texts with the same set of shingles are one node. All others that can be linked meet at the first shingle that they share, which
     lies in both prefixes, and so far in front that what comes after it suffices; and their sketches differ in few enough places.
     Of the nodes at a shingle one hub is compared with the others of other components; it is then done with, as what it was not compared with
-    is linked to it already. Rounds go on, with more hubs a shingle each, until all nodes left at a shingle are of
+    at this shingle is linked to it already or cannot be, or meets it at another shingle. Rounds go on, with more hubs a shingle each, until all nodes left at a shingle are of
     one component: no pair goes unverified, and a large group of near copies costs rows, not pairs.
     """
     found = materialize(prefixes(df, key, text, shingle, least, common_shingles(df, key, text, shingle, least)), "near-prefixes")

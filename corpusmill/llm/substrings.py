@@ -92,9 +92,8 @@ def repeated_bytes(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     size = open_.agg(F.sum(F.col("windows") + F.lit(window))).first()[0] or 0
     shards = max(8, -(-size // shard))
     chunks = R.number_of_chunks(df)
-    asked = open_.withColumn("chunk", R.chunk_of(F.col("row"), chunks))
-    fetched = R.chunked(docs, chunks).groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(_fetch(kind, shards, hot), R.COMPARE)
-    sorted_ = fetched.groupBy("shard").applyInArrow(_sort(window), R.VERDICT)
+    fetched = R.fetch(docs, open_, chunks, _fetch(kind, shards, hot))
+    sorted_ = materialize(fetched.groupBy("shard").applyInArrow(_sort(window), R.VERDICT), "suffix-verdicts")
     kind_of_key = df.schema[key].dataType.simpleString()
     return R.finish(docs, cand, verdicts.unionByName(sorted_), kind, chunks, f"{key} {kind_of_key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", _kept)
 

@@ -56,14 +56,29 @@ def test_hot_anchors_take_the_other_way_to_the_same_result(spark, folder):
     assert get(hot=1) == get() == get(shard=500)
 
 
-def test_fingerprint_log_counts_over_runs(spark):
-    log = fingerprintlog.FingerprintLog(fanout=2)
-    for keys in ([1, 2, 2], [2, 3], [], [3, 4]):
+def test_fingerprint_log_counts_over_runs(spark, tmp_path):
+    path, new = f"file://{tmp_path}/log", []
+    for keys in ([1, 2, 2], [2, 3], [], [3, 4], [4, 5]):  # opened anew for each batch
+        log = fingerprintlog.FingerprintLog(spark, path, fanout=3)
+        new.append({r.key for r in log.append(spark.createDataFrame([(k, 1) for k in keys], "key long, n long")).collect()})
+    assert new == [{2}, {2}, set(), {3}, {4}]
+    again = fingerprintlog.FingerprintLog(spark, path)
+    assert again.runs == log.runs and len(again.runs) < 3
+    assert {r.key for r in again.known(spark.createDataFrame([(1,), (4,), (9,)], "key long")).collect()} == {1, 4}
+    assert {r.key for r in again.repeated().collect()} == {2, 3, 4}
+    assert fingerprintlog.FingerprintLog(spark, f"{path}-none").repeated().count() == 0
+
+
+def test_fingerprint_log_skips_what_a_compaction_left_over(spark, tmp_path):
+    log = fingerprintlog.FingerprintLog(spark, f"file://{tmp_path}/log", fanout=9)
+    for keys in ([1], [1, 2]):
         log.append(spark.createDataFrame([(k, 1) for k in keys], "key long, n long"))
-    assert len(log.runs) < 3
-    assert {r.key for r in log.known(spark.createDataFrame([(1,), (4,), (9,)], "key long")).collect()} == {1, 4}
-    assert {r.key for r in log.repeated().collect()} == {2, 3}
-    assert [len(fingerprintlog.FingerprintLog().runs), len(log.runs)] == [0, 1]
+    both = log._read((0, 0)).unionByName(log._read((1, 1))).groupBy("key").agg(F.sum("n").alias("n"))
+    log._write(both, (0, 1))  # the job ended before the two were deleted
+    (tmp_path / "log" / "run-00000002-00000002").mkdir()  # and the next batch was not written whole
+    again = fingerprintlog.FingerprintLog(spark, log.path)
+    assert again.runs == [(0, 1)] and {r.key for r in again.repeated().collect()} == {1}
+    assert sorted(p.name for p in (tmp_path / "log").iterdir() if p.is_dir()) == ["run-00000000-00000001"]
 
 
 def test_more_batches_change_nothing(spark, folder):
@@ -100,13 +115,18 @@ def test_ball_hashing_finds_all_links_to_three_bits(spark):
 
 
 def test_rows_keep_their_numbers_when_a_scan_is_planned_anew(spark, folder):
-    docs = _repeats.numbered(spark.read.parquet(str(folder / "documents.parquet")), "doc_id", "text")
-    get = lambda: sorted(map(tuple, docs.select("row", "id", "text").collect()), key=repr)
-    before = get()
+    path = str(folder / "documents.parquet")
+    read = lambda: _repeats.numbered(spark.read.parquet(path), "doc_id", "text")
+    get = lambda x: sorted(map(tuple, x.select("row", "id", "text").collect()), key=repr)
+    docs = read()
+    before = get(docs)
+    place = lambda: {r.doc_id: tuple(r._place) for r in _spark.with_place(spark.read.parquet(path), "_place", "t").where("doc_id <> 3").collect()}
+    places = place()
     try:
         spark.conf.set("spark.sql.files.minPartitionNum", "1")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        assert get() == before and len({r[0] for r in before}) == len(before)
+        assert get(docs) == get(read()) == before and len({r[0] for r in before}) == len(before)
+        assert place() == places and len(set(places.values())) == len(places)
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
         spark.conf.unset("spark.sql.files.openCostInBytes")
