@@ -153,3 +153,42 @@ def op6(pages):
     for i, h in pages:
         best[h or ""] = max(best.get(h or "", i), i)
     return [(i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), "response" if best[h or ""] == i else "revisit", None if best[h or ""] == i else best[h or ""]) for i, h in pages]
+
+
+def op10_score(docs, share, discount=0.75):
+    """log10 probabilities by the model of words, bigrams and trigrams that the operator describes, from dictionaries."""
+    tok = [(i, re.findall(SPACE, lower(t or "")) + [None]) for i, t in docs]
+    train = [x for i, x in tok if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    one = collections.Counter(w for x in train for w in x)
+    total, once = sum(one.values()), sum(n == 1 for n in one.values())
+    least = max(1.0, share * total)
+    unknown = (once + 1) / (total + 2)
+    often = {w for w, n in one.items() if n >= least and w is not None}
+    two = collections.Counter((a, b) for x in train for a, b in zip(x, x[1:], strict=False) if a in often and b in often)
+    two = {g: n for g, n in two.items() if n >= max(2, least)}
+    three = collections.Counter(g for x in train for g in zip(x, x[1:], x[2:], strict=False) if g[:2] in two and g[2] in often)
+    three = {g: n for g, n in three.items() if n >= max(2, least)}
+    p1 = lambda w: one[w] / total * (1 - unknown) if one[w] else unknown
+    left1, left2 = collections.defaultdict(lambda: 1.0), collections.defaultdict(lambda: 1.0)
+    for (a, _), n in two.items():
+        left1[a] -= (n - discount) / one[a]
+    for (a, b, _), n in three.items():
+        left2[a, b] -= (n - discount) / two[a, b]
+
+    def p2(a, b):
+        own = (two[a, b] - discount) / one[a] if (a, b) in two else 0.0
+        return own + (left1[a] if a in often else 1.0) * p1(b)
+
+    def p3(a, b, c):
+        if (a, b) not in two:
+            return p2(b, c)
+        own = (three[a, b, c] - discount) / two[a, b] if (a, b, c) in three else 0.0
+        return own + left2[a, b] * p2(b, c)
+
+    out = []
+    for i, x in tok:
+        s = 0.0
+        for k, w in enumerate(x):
+            s += math.log10(p1(w) if k == 0 else p2(x[k - 1], w) if k == 1 else p3(x[k - 2], x[k - 1], w))
+        out.append((i, len(x), s))
+    return out

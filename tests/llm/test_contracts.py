@@ -9,7 +9,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import registry, secrets
+from corpusmill.llm import lmscore, registry, secrets
 
 QUERIES = registry.queries()
 
@@ -140,6 +140,17 @@ def test_op10(spark, folder, pairs):
     assert all(r.score < 0 for r in got)
 
 
+def test_op10_scores_are_those_of_the_plain_model(spark, folder, pairs):
+    docs = spark.read.parquet(str(folder / "documents.parquet")).select("doc_id", "text")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    got = lmscore.score_texts(docs, held, share=2.0**-11, chunk=4000)
+    have = sorted(((r.key, r.n_tokens, r.score) for r in got.collect()), key=repr)
+    want = sorted(brute.op10_score(pairs, 2.0**-11), key=repr)
+    assert len(have) == len(want) and sum(n for _, n, _ in want) > 10_000
+    for (i, n, a), (j, m, b) in zip(have, want, strict=True):
+        assert (i, n) == (j, m) and a == pytest.approx(b, abs=1e-9 + n * 4e-4)  # a level keeps log10 to 16 bits
+
+
 def test_op10_predicts_held_out_texts_better_than_the_base(spark, sf):
     held = [r for r in QUERIES["op10_lm_score"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
