@@ -68,11 +68,12 @@ def evaluated(build: Callable[[], DataFrame], name: str) -> DataFrame:
 def _scans_files(df: DataFrame) -> bool:
     """Whether the rows of ``df`` are those of Parquet files, one by one."""
     plan = df._jdf.queryExecution().analyzed()
-    if "_metadata" in df.columns or not plan.deterministic():
+    if not plan.deterministic():
         return False
     while plan.nodeName() == "Project":
         plan = plan.children().head()
-    return plan.nodeName().startswith(("LogicalRelation", "Relation")) and plan.toString().rstrip().endswith("parquet")
+    files = plan.nodeName().startswith(("LogicalRelation", "Relation")) and plan.toString().rstrip().endswith("parquet")
+    return files and "_metadata" not in [*df.columns, *plan.schema().fieldNames()]
 
 
 def with_place(df: DataFrame, out: str, name: str) -> DataFrame:
@@ -86,6 +87,19 @@ def with_place(df: DataFrame, out: str, name: str) -> DataFrame:
     return materialize(df.withColumn(out, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), name)
 
 
+def apart(df: DataFrame, core: tuple[str, ...], stage: Callable[[DataFrame], DataFrame], added: tuple[str, ...] = ()) -> DataFrame:
+    """``stage`` over the columns ``core``; all others go along in one struct, so that no name can clash with the stage's own.
+
+    Gives the columns of ``df``, then those ``added``, which replace columns of their names.
+    """
+    more = [c for c in df.columns if c not in core]
+    kept = [c for c in df.columns if c.lower() not in added]
+    if not more:
+        return stage(df).select(*kept, *added)
+    x = stage(df.select(*[c for c in df.columns if c in core], F.struct(*[F.col(f"`{c}`") for c in more]).alias("_more")))
+    return x.select(*[F.col(f"_more.`{c}`").alias(c) if c in more else F.col(c) for c in kept], *added)
+
+
 def numbered_rows(df: DataFrame, name: str) -> DataFrame:
     """Add ``row``, a long that stays a row's own in every job: the number of its file, and its place in it.
 
@@ -143,7 +157,7 @@ def running_offset(df: DataFrame, group: list[str], order: list[str], value: Col
 
     Rows of a group are dealt over ``buckets`` by a hash, so a group of any size is worked on by
     many tasks: sums by bucket, an offset for each bucket, and a running sum within each bucket.
-    The order is that of (bucket, ``order``): fixed, but not that of ``order`` alone. Buckets go by the columns ``deal``, else by ``order``.
+    Names that start with ``_off_`` are its own. The order is that of (bucket, ``order``): fixed, but not that of ``order`` alone. Buckets go by the columns ``deal``, else by ``order``.
     """
     x = df.withColumn("_off_bucket", F.pmod(F.xxhash64(*(deal or order)), F.lit(buckets)).cast("int")).withColumn("_off_value", value)
     sums = x.groupBy(*group, "_off_bucket").agg(F.sum("_off_value").alias("_off_sum"))

@@ -8,7 +8,7 @@ scanned against all documents, and findings are merged by row.
 
 Cases: a null text or item has no words and matches nothing; equal items all count, repeated item ids once, a null id as the
 empty string; documents may repeat, each row is its own; very long texts are scanned whole; an empty
-benchmark hits nothing; other columns pass through where rows are removed, under any name but ``_hit_*``.
+benchmark hits nothing; other columns pass through, under any name where rows are removed; where findings are added, they replace ``_hit_*``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import plan_bytes, with_place
+from corpusmill.llm._spark import apart, plan_bytes, with_place
 
 
 class Index:
@@ -92,6 +92,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, most_bytes: int) -> list
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = 10, most_bytes: int = 1 << 22) -> DataFrame:
     """``df`` with _hit_words (number of words), _hit_starts, _hit_ends (runs of hit words) and _hit_items."""
     spark = df.sparkSession
+    df = df.drop("_hit_words", "_hit_starts", "_hit_ends", "_hit_items", "_hit_row")
     blocks = _blocks(benchmark, item, item_text, most_bytes)
     kept = df.schema.fields
     names = ["_hit_words", "_hit_starts", "_hit_ends", "_hit_items"]
@@ -142,7 +143,7 @@ def hit_words() -> Column:
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``df`` without the rows whose text has any hit word."""
-    return find_contamination(df, benchmark, **options).where(F.size("_hit_starts") == 0).drop("_hit_words", "_hit_starts", "_hit_ends", "_hit_items")
+    return apart(df, (options.get("text", "text"),), lambda x: find_contamination(x, benchmark, **options).where(F.size("_hit_starts") == 0))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ document is taken more often. Seeds are parameters: reruns agree.
 
 Cases: null sources are one source, last in order; a null or empty text has size 0 and nothing to
 take; repeated rows are rows of their own; if all sizes are 0, targets are 0; an empty table gives an empty result;
-columns other than the id, text and source are not read.
+columns other than the id, text and source are not read, and go along under any name where texts are mixed.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm._spark import SPACE, materialize, pieces, running_offset, with_place
+from corpusmill.llm._spark import SPACE, apart, materialize, pieces, running_offset, with_place
 
 BLOCK, SLOTS, MOST, SEED, STRETCH = 32, 1 << 14, 3, 17, 1024
 
@@ -138,6 +138,10 @@ def mixed_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     A document of which a pass takes every word keeps its text as it is; otherwise its taken words are joined by spaces.
     """
+    return apart(df, (key, text, source), lambda x: _mixed(x, key, text, source, **options))
+
+
+def _mixed(df: DataFrame, key: str, text: str, source: str, **options) -> DataFrame:
     numbered = with_place(df, "_mix_row", "mix-input")
     rows, taken = mix(numbered.withColumn("_mix_key", F.col("_mix_row")), "_mix_key", text, source, order=F.xxhash64(key, text), **options)
     spans = taken.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("_mix_spans"), F.sum(F.col("end") - F.col("first")).alias("_mix_taken"))

@@ -9,8 +9,9 @@ groups without variation (the word length also has a lower limit, mirrored at th
 
 Cases: a null or empty text has no words, all counts 0, and fails; null languages and sources form
 groups of their own; repeated rows count as often as they occur; other columns pass through
-untouched, whatever they are called (the operator's own columns start with ``q_``); an empty table
-gives an empty result.
+untouched, but for those that start with ``q_``, which are the operator's own and are replaced; an empty table
+gives an empty result. The slack of a ratio is what a group without variation may stray: that of repeated lines is 400 in
+a thousand, as one line that comes again in a text of two or three is no sign of bad quality.
 """
 
 from __future__ import annotations

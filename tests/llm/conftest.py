@@ -40,6 +40,7 @@ def docs():
     rng = random.Random(8)
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["a", "a", "a", "b", "", None])) for i, t in enumerate(texts())]
     hit = " ".join(WORDS[:15])
+    rows += [(None, "a text without an id " + prose(rng, 70), "en", "a"), rows[7], rows[7], (None, None, None, None), (102, prose(rng, 170_000), "fr", "b")]
     rows += [(100, f"before {hit.upper()} after short item here; one", "en", "a"), (101, hit, "en", "é"), (3, "one more", None, None)]
     return rows
 
@@ -54,7 +55,7 @@ def folder(spark, docs, tmp_path_factory):
 
     d = tmp_path_factory.mktemp("tables")
     df = spark.createDataFrame(docs, DOC_SCHEMA)
-    df = df.withColumns({"n_chars": F.length("text").cast("long"), "row": F.lit("r"), "key": F.lit(1), "chunk": F.lit(2), "n": F.lit(3), "shard": F.lit(4), "fp": F.lit(5), "_b": F.lit(6), "component": F.lit(7), "size": F.lit("s"), "rank": F.lit(8), "_row": F.lit(9), "family": F.lit(10), "h": F.lit(11)})
+    df = df.withColumns({"n_chars": F.length("text").cast("long"), "row": F.lit("r"), "key": F.lit(1), "chunk": F.lit(2), "n": F.lit(3), "shard": F.lit(4), "fp": F.lit(5), "_b": F.lit(6), "component": F.lit(7), "size": F.lit("s"), "rank": F.lit(8), "_row": F.lit(9), "family": F.lit(10), "h": F.lit(11), "q_words": F.lit(12), "q_kept": F.lit(False), "_mix_row": F.lit(13), "_mix_taken": F.lit(14), "_off_base": F.lit(15), "_pipeline_row": F.lit(16), "_hit_words": F.lit(17), "_metadata": F.lit("m"), "_more": F.lit(18)})
     df.repartition(3).write.parquet(str(d / "documents.parquet"))
     df.limit(0).write.parquet(str(d / "none.parquet"))
     spark.createDataFrame(BENCHMARK, "item_id long, text string").withColumn("words", F.lit(0)).write.parquet(str(d / "benchmark.parquet"))

@@ -105,7 +105,7 @@ def test_op4(spark, folder, docs):
         open_ -= over or open_
     source = {(i, len(re.findall(brute.SPACE, t or ""))): s for i, t, _, s in docs}
     taken = collections.Counter()
-    assert sorted((r[0], r[1]) for r in got) == sorted((i, len(re.findall(brute.SPACE, t or ""))) for i, t, *_ in docs)
+    assert sorted(((r[0], r[1]) for r in got), key=repr) == sorted(((i, len(re.findall(brute.SPACE, t or ""))) for i, t, *_ in docs), key=repr)
     for i, n, whole, goal, took in got:
         s = source[i, n]
         assert whole == size[s] and goal == pytest.approx(target[s]) and 0 <= took <= 3 * n
@@ -117,7 +117,7 @@ def test_op4(spark, folder, docs):
 
 def test_op5(spark, folder, pairs):
     got = QUERIES["op5_sharding"](spark, str(folder)).collect()
-    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs)
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs), key=repr)
     slots = collections.defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)

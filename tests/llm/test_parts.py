@@ -114,8 +114,9 @@ def test_ball_hashing_finds_all_links_to_three_bits(spark):
     assert all(got.get(x, x) == find(x) for x in signed) and len(got) > 30
 
 
-def test_rows_keep_their_numbers_when_a_scan_is_planned_anew(spark, folder):
-    path = str(folder / "documents.parquet")
+def test_rows_keep_their_numbers_when_a_scan_is_planned_anew(spark, folder, tmp_path):
+    path = str(tmp_path / "documents.parquet")
+    spark.read.parquet(str(folder / "documents.parquet")).select("doc_id", "text").repartition(3).write.parquet(path)
     read = lambda: _repeats.numbered(spark.read.parquet(path), "doc_id", "text")
     get = lambda x: sorted(map(tuple, x.select("row", "id", "text").collect()), key=repr)
     docs = read()
