@@ -60,3 +60,16 @@ r AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n1, count(*) FILTER (kind
 SELECT doc_id, coalesce(n1, 0)::BIGINT AS n_assign, coalesce(n2, 0)::BIGINT AS n_access, coalesce(n3, 0)::BIGINT AS n_hex,
   sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (rid)
 """
+
+SUFFIXES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 400)) AS w FROM (SELECT rid, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d)),
+rep AS (SELECT rid, i FROM win JOIN (SELECT w FROM win GROUP BY w HAVING count(*) > 1) USING (w)),
+edge AS (SELECT rid, i, i + 200 AS z, max(i + 200) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM rep),
+run AS (SELECT rid, min(i) AS a, max(z) AS z FROM (SELECT rid, i, z, sum((prev IS NULL OR i > prev)::INT) OVER (PARTITION BY rid ORDER BY i) AS g FROM edge) GROUP BY rid, g),
+kept AS (SELECT rid, h, n, gone, list_aggregate(list_transform(range(0, n + 1), lambda k: substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE zs[k] END)::BIGINT + 1,
+    2 * ((CASE WHEN k = n THEN length(h) // 2 ELSE starts[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE zs[k] END))::BIGINT)), 'string_agg', '') AS rest
+  FROM (SELECT rid, h, count(a) AS n, coalesce(sum(z - a), 0)::BIGINT AS gone, list(a ORDER BY a) FILTER (a IS NOT NULL) AS starts, list(z ORDER BY a) FILTER (a IS NOT NULL) AS zs
+        FROM d LEFT JOIN run USING (rid) GROUP BY rid, h))
+SELECT doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, gone AS n_removed, n::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN kept USING (rid)
+"""

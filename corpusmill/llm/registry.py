@@ -27,4 +27,4 @@ def oracle_sql() -> dict[str, str]:
     from corpusmill.llm import oracles
     from corpusmill.llm.quality import ORACLE as quality
 
-    return {"op3_secrets": oracles.SECRETS, "op6_warc": oracles.WARC, "op7_substrings": oracles.SUBSTRINGS, "op8_decontamination": oracles.DECONTAMINATION, "op9_quality": quality}
+    return {"op1_suffix_dedup": oracles.SUFFIXES, "op3_secrets": oracles.SECRETS, "op6_warc": oracles.WARC, "op7_substrings": oracles.SUBSTRINGS, "op8_decontamination": oracles.DECONTAMINATION, "op9_quality": quality}
