@@ -192,3 +192,85 @@ def op10_score(docs, share, discount=0.75):
             s += math.log10(p1(w) if k == 0 else p2(x[k - 1], w) if k == 1 else p3(x[k - 2], x[k - 1], w))
         out.append((i, len(x), s))
     return out
+
+
+def op12(docs, labels):
+    """docs: (doc_id, text, part); labels: (doc_id, quality, toxic)."""
+    from itertools import permutations
+
+    good, bad = ({i for i, *x in labels if x[k] == 1 and i is not None} for k in (0, 1))
+    least = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    fails = []
+    for i, t, part in docs:
+        t = t or ""
+        w = re.findall(SPACE, t)
+        f = {"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and least[t] < i}
+        fails.append((part or "", {k for k, v in f.items() if v}, i in good, i in bad))
+    out = []
+    for part in {p for p, *_ in fails}:
+        own = [x[1:] for x in fails if x[0] == part]
+        gone = collections.Counter()
+        rows = []
+        for order in map("".join, permutations("ABCDE")):
+            left = own
+            for k, c in enumerate(order):
+                here = [x for x in left if c in x[0]]
+                left = [x for x in left if c not in x[0]]
+                gone[c] += len(here)
+                every = sum(c in x[0] for x in own)
+                rows.append((part, order, k + 1, len(left), len(here), every - len(here), sum(x[0] == {c} for x in own), sum(x[1] for x in here), sum(x[2] for x in here)))
+        out += [(*r, gone[r[1][r[2] - 1]]) for r in rows]
+    return out
+
+
+def op13(docs):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
+    found = []
+    for i, t in docs:
+        x = a.encode(" " + (t or ""), add_special_tokens=False)
+        y = b.encode(t or "")
+        xs = [bytes(byte[c] for c in a.id_to_token(k)) for k in x.ids]
+        ys = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x..>", p) else p.replace("▁", " ").encode() for p in map(b.id_to_piece, y)]
+        whole = (" " + (t or "")).encode()
+        if not t or b"".join(xs) != whole or b"".join(ys) != whole:
+            found.append((i, [], [], [], []))
+            continue
+        spans = []
+        for ids, parts in ((x.ids, xs), (y, ys)):
+            at, own = 0, []
+            for k, p in zip(ids, parts, strict=True):
+                own.append((k, at, at + len(p)))
+                at += len(p)
+            spans.append(own)
+        cuts = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        groups, links, last = [], [], 0
+        p = q = 0
+        for cut in cuts:
+            ga, gb = [], []
+            while p < len(spans[0]) and spans[0][p][2] <= cut:
+                ga.append(spans[0][p])
+                p += 1
+            while q < len(spans[1]) and spans[1][q][2] <= cut:
+                gb.append(spans[1][q])
+                q += 1
+            groups.append(",".join(str(k) for k, *_ in ga) + "|" + ",".join(str(k) for k, *_ in gb))
+            links += [(k, m) for k, s, e in ga for m, u, v in gb if s < v and u < e]
+            last = cut
+        assert last == len(whole)
+        found.append((i, x.ids, y, groups, links))
+    count = collections.Counter(x for *_, links in found for x in set(links))
+    top = collections.Counter()
+    for (k, _), n in count.items():
+        top[k] = max(top[k], n)
+    return [(i, len(x), len(y), len(g), len(k), sum(count[p] == top[p[0]] for p in k), sum(count[p] for p in k), sha(";".join(g).encode()) if g else "") for i, x, y, g, k in found]

@@ -67,5 +67,6 @@ def empty(spark, folder, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
     spark.read.parquet(str(folder / "none.parquet")).write.parquet(str(d / "documents.parquet"))
     spark.read.parquet(str(folder / "benchmark.parquet")).limit(0).write.parquet(str(d / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(d / "pages.parquet"))
     return d

@@ -9,7 +9,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import lmscore, registry, secrets
+from corpusmill.llm import alignment, lmscore, registry, secrets
 
 QUERIES = registry.queries()
 
@@ -80,7 +80,7 @@ def test_equals_sql(spark, sf, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = QUERIES[name](spark, sf)
     want = db.sql(registry.oracle_sql()[name])
@@ -154,3 +154,31 @@ def test_op10_scores_are_those_of_the_plain_model(spark, folder, pairs):
 def test_op10_predicts_held_out_texts_better_than_the_base(spark, sf):
     held = [r for r in QUERIES["op10_lm_score"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_op12(spark, folder, docs):
+    labels = [(i, i % 3 == 0, i % 2) for i in range(60)] + [(4, 1, None), (4, 0, 1), (None, 1, 1)]
+    labels = [(i, None if q is None else int(q), t) for i, q, t in labels]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("n", F.lit("n")).write.parquet(str(folder / "labels.parquet"))
+    got = QUERIES["op12_filter_audit"](spark, str(folder))
+    want = brute.op12([(i, t, lang) for i, t, lang, _ in docs], labels)
+    assert rows(got) == sorted(want, key=repr) and len(want) == 600 * 3
+
+
+OP13 = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def test_op13(spark, folder, pairs):
+    assert rows(QUERIES["op13_alignment"](spark, str(folder)), OP13) == sorted(brute.op13(pairs), key=repr)
+
+
+def test_op13_odd_texts_and_small_chunks(spark):
+    rng = random.Random(5)
+    part = ["a", "b", " ", " ", "  ", "\n", " \n", "\r\n", "\t", "é", "\u0301", "😀", "中文", "ﬁ", "▁", "<s>", "<|endoftext|>", "<0x41>", "'s", "don't", "x" * 30, "1234", "\x00", "\x1c", "...", "$"]
+    texts = [None, "", " ", "  ", "\n", "▁"] + ["".join(rng.choice(part) for _ in range(rng.randrange(1, 40))) for _ in range(500)] + ["z" * 50_000, " " * 50_000, "\n " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted(brute.op13(list(enumerate(texts))), key=repr)
+    assert rows(alignment.align_tokens(df, digest=True, chunk=2000)) == want
+    assert sum(r[1] > 0 for r in want) > 200 and sum(r[1] == 0 for r in want) > 20
+    plain = {r.key: r.groups for r in alignment.align_tokens(df).collect()}
+    assert all(brute.sha(plain[r[0]].encode()) == r[7] for r in want if r[1])
