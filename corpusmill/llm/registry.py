@@ -16,6 +16,7 @@ _WHERE = {
     "op8_decontamination": "decontamination",
     "op9_quality": "quality",
     "op10_lm_score": "lmscore",
+    "op11_jaccard_join": "jaccardjoin",
     "op12_filter_audit": "filteraudit",
     "op13_alignment": "alignment",
 }
@@ -28,6 +29,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from corpusmill.llm import oracles
     from corpusmill.llm.filteraudit import ORACLE as audit
+    from corpusmill.llm.jaccardjoin import ORACLE as jaccard
     from corpusmill.llm.quality import ORACLE as quality
 
-    return {"op1_suffix_dedup": oracles.SUFFIXES, "op3_secrets": oracles.SECRETS, "op6_warc": oracles.WARC, "op7_substrings": oracles.SUBSTRINGS, "op8_decontamination": oracles.DECONTAMINATION, "op9_quality": quality, "op12_filter_audit": audit}
+    return {"op1_suffix_dedup": oracles.SUFFIXES, "op3_secrets": oracles.SECRETS, "op6_warc": oracles.WARC, "op7_substrings": oracles.SUBSTRINGS, "op8_decontamination": oracles.DECONTAMINATION, "op9_quality": quality, "op11_jaccard_join": jaccard, "op12_filter_audit": audit}

@@ -274,3 +274,29 @@ def op13(docs):
     for (k, _), n in count.items():
         top[k] = max(top[k], n)
     return [(i, len(x), len(y), len(g), len(k), sum(count[p] == top[p[0]] for p in k), sum(count[p] for p in k), sha(";".join(g).encode()) if g else "") for i, x, y, g, k in found]
+
+
+def shingle_set(t, n):
+    w = re.findall(SPACE, lower(t or ""))
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def op11(docs, n=4, percent=85):
+    sets = [shingle_set(t, n) for _, t in docs]
+    group = list(range(len(docs)))
+
+    def find(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                group[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(docs):
+        r = find(a)
+        least[r] = i if r not in least or least[r] is None else least[r] if i is None else min(i, least[r])
+    return [(i, len(s), least[find(a)]) for a, ((i, _), s) in enumerate(zip(docs, sets, strict=True))]
