@@ -266,11 +266,16 @@ def _matches(t: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa.Reco
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85) -> DataFrame:
-    """(key, n, component) of every row: the size of its set, and the least key that links of ``percent`` or more lead to."""
-    docs = numbered_rows(df.select(key, text), "jaccard-rows")
-    found = materialize(signatures(docs, key, text, shingle, percent, common_shingles(df, text, shingle)), "jaccard-signatures")
+    """(row, key, n, component) of every row: the size of its set, and the least key that links of ``percent`` or more lead to."""
+    return similar_rows(numbered_rows(df.select(key, text), "jaccard-rows"), key, text, shingle, percent)
+
+
+def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, percent: int, apart: bool = True) -> DataFrame:
+    """The same, of rows that have a number of their own, ``row``. Without ``apart``, texts without words are one component."""
+    some = F.col("n") >= (1 if apart else 0)
+    found = materialize(signatures(docs, key, text, shingle, percent, common_shingles(docs, text, shingle)), "jaccard-signatures")
     rows = materialize(found.select("row", "key", "i", "j", "n"), "jaccard-ids")
-    nodes = materialize(rows.where("n > 0").groupBy("i", "j", "n").agg(F.min("row").alias("node"), F.min("key").alias("key")), "jaccard-nodes")
+    nodes = materialize(rows.where(some).groupBy("i", "j", "n").agg(F.min("row").alias("node"), F.min("key").alias("key")), "jaccard-nodes")
     sets = found.join(nodes.select(F.col("node").alias("row")).hint("merge"), "row", "left_semi").select(F.col("row").alias("node"), "n", "sketch", "prefix")
     sets = materialize(sets, "jaccard-sets")
     discard(found)
@@ -287,8 +292,8 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     named = nodes.join(root_of, "node").join(above, "root", "left").select("i", "j", "n", "key", F.coalesce("top", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("key").alias("component"))
     named = materialize(named.join(least.hint("merge"), "root").select("i", "j", "n", "component"), "jaccard-named")
-    apart = rows.where("n = 0").select("row", "key", "n", F.col("key").alias("component"))
-    return rows.where("n > 0").join(named.hint("merge"), ["i", "j", "n"]).select("row", "key", "n", "component").unionByName(apart)
+    alone = rows.where(~some).select("row", "key", "n", F.col("key").alias("component"))
+    return rows.where(some).join(named.hint("merge"), ["i", "j", "n"]).select("row", "key", "n", "component").unionByName(alone)
 
 
 def shared_places(sets: DataFrame, percent: int) -> DataFrame:

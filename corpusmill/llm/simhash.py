@@ -13,7 +13,7 @@ equal, so a fingerprint emits its ten pairs of blocks, and one that shares no pa
 filter drops no link.
 
 ``near_documents`` is for pipelines: it links texts by the similarity of their five-word shingles. Fingerprints would miss
-part of the texts near the limit, so candidates come from an exact prefix-filter join.
+part of the texts near the limit, so they are found by the exact join of operator 11.
 
 Cases: a null text is an empty one, with fingerprint zero; equal fingerprints are one node, however many
 documents carry it; null ids are never a component's id, unless there is no other (then null); repeated rows stay; other columns are not read.
@@ -22,7 +22,6 @@ documents carry it; null ids are never a component's id, unless there is no othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm import _seq
-from corpusmill.llm._spark import bit, bitmap, components, discard, marked, materialize
+from corpusmill.llm._spark import components, materialize, numbered_rows
+from corpusmill.llm.jaccardjoin import similar_rows
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, batch: int = 1 << 16) -> int:
@@ -114,186 +113,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return prints.join(named, "fp").select("key", "fp", "component")
 
 
-def _shingles(b: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For ranges a..z of the batch's texts: the distinct shingle hashes of each, sorted, and their text counted from a.
-
-    Shingles are of lower-cased words; a text of fewer words has one of them all, and one of none has none.
-    """
-    data, offs = _seq.buffers(b.column(1))
-    for a, z in _seq.cuts(offs, 1 << 20):
-        w = _seq.Words(_seq.LOWER[data[offs[a] : offs[z]]], offs[a : z + 1] - offs[a], _seq.NOT_SPACE)
-        words = np.diff(w.off)
-        n = np.where(words > 0, np.maximum(words - shingle + 1, 1), 0)
-        doc = np.repeat(np.arange(z - a), n)
-        at = w.off[:-1][doc] + np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-        h = _seq.Rolling(w.values(0), 0).of(at, np.minimum(at + shingle, w.off[1:][doc])).view(np.int64)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-        yield a, z, doc[new], h[new]
-
-
-def shingle_sets(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, s): hashes of the distinct shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, z, doc, h in _shingles(b, shingle):
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(z - a + 1)).astype(np.int32)), pa.array(h))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), lists], names=["key", "s"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, s array<long>")
-
-
-def common_shingles(df: DataFrame, key: str, text: str, shingle: int, least: float, passes: int = 3, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that occur most in prefixes, sorted, and how often; ``most`` of them at most. They only order shingles: no result hangs on them.
-
-    Prefixes are first taken in hash order; then again with the common ones put last, which brings up others that are common.
-    """
-    often = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for _ in range(passes):
-        found = prefixes(df, key, text, shingle, least, often).select(F.explode("prefix").alias("h"))
-        found = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 3"), "near-common")
-        times = found.groupBy("n").agg(F.count("*").alias("m")).toArrow()  # as many rows as there are counts
-        n, m = times.column("n").to_numpy(), times.column("m").to_numpy()
-        order = np.argsort(-n)
-        enough = n[order][np.cumsum(m[order]) <= most]
-        t = found.where(F.col("n") >= (int(enough[-1]) if len(enough) else 1 << 62)).toArrow()
-        discard(found)
-        h = np.concatenate([t.column("h").to_numpy(), often[0]])
-        n = np.concatenate([t.column("n").to_numpy(), often[1]])
-        h, first = np.unique(h, return_index=True)
-        keep = np.argsort(-n[first], kind="stable")[:most]
-        keep.sort()
-        often = h[keep], n[first][keep]
-    return often
-
-
-def prefixes(df: DataFrame, key: str, text: str, shingle: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, n, sketch, prefix): a 64-bit hash of the set of shingles, its size, sketch, and prefix in the order rare to common.
-
-    Sets of Jaccard similarity ``least`` or more have ``least`` of either one's shingles in common, so the shingles
-    left over in one, and one more, must hold a shared one; in one order for all, both prefixes hold the first of those.
-    A sketch is 512 parities of how many shingles fall to each of 512 places. Sketches of two sets differ in no more places than the
-    sets differ in shingles.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, times = shared.value
-        for b in batches:
-            for a, z, doc, h in _shingles(b, shingle):
-                first = np.searchsorted(doc, np.arange(z - a + 1))
-                n = np.diff(first)
-                has = np.flatnonzero(n)
-                ids = np.zeros(z - a, np.uint64)
-                if len(has):
-                    ids[has] = np.add.reduceat(_seq.mix(h.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)), first[:-1][has])
-                sketch = np.zeros((z - a, 8), np.uint64)
-                if len(has):
-                    place = _seq.mix(h.view(np.uint64))
-                    bit = np.uint64(1) << (place & np.uint64(63))
-                    for k in range(8):
-                        own = np.where((place >> np.uint64(6)) & np.uint64(7) == k, bit, np.uint64(0))
-                        sketch[has, k] = np.bitwise_xor.reduceat(own, first[:-1][has])
-                rank = np.zeros(len(h), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    rank = np.where(often[at] == h, times[at], 0)
-                order = np.lexsort((h, rank, doc))
-                most = np.where(n > 0, n - np.ceil(least * n - 1e-6).astype(np.int64) + 1, 0)
-                take = np.arange(len(h)) - first[:-1][doc] < most[doc]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(h[order][take]))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * (z - a) + 1, 8, np.int32)), pa.array(sketch.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(ids.view(np.int64)), pa.array(n.astype(np.int64)), flat, lists], names=["key", "id", "n", "sketch", "prefix"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("binary")).mapInArrow(run, f"key {kind}, id long, n long, sketch array<long>, prefix array<long>")
-
-
-HUBS = 32
 #: fingerprints that one task turns into points
 SPREAD = 4096
 
 
-def only(df: DataFrame, keys: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) of the rows whose key is in ``keys``, and of some others: by a bitmap of fixed size, so that no text is shuffled."""
-    shared = bitmap(keys, key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.select([0, 1]).filter(pa.array(marked(shared.value, b.column(2).to_numpy())))
-
-    return df.select(key, F.col(text).cast("binary").alias(text), bit(key)).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {text} binary")
-
-
-def least_common(n: str, m: str, least: float) -> Column:
-    """What sets of sizes ``n`` and ``m`` have in common at the least if their Jaccard similarity is ``least``."""
-    return F.ceil(least / (1 + least) * (F.col(n) + F.col(m)) - 1e-6)
-
-
-def differ(a: str, b: str) -> Column:
-    """What two sketches tell of how many shingles the sets differ in, at the least."""
-    return reduce(Column.__add__, [F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in map(F.lit, range(8))])
-
-
-def similar(pairs: DataFrame, names: DataFrame, df: DataFrame, key: str, text: str, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of sets that have ``least`` of their shingles in common (Jaccard); ``names``: (node, key), a text for each set."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    asked = materialize(names.join(asked.hint("merge"), "node").select("node", F.col("key").alias(key)), "near-asked")
-    sets = materialize(shingle_sets(only(df, asked, key, text), key, text, shingle), "near-shingles")
-    named = sets.join(asked.select("node", F.col(key).alias("key")).hint("merge"), "key").select("node", "s")
-    of = lambda c: named.select(F.col("node").alias(c), F.col("s").alias(f"{c}s")).hint("merge")
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    common = F.size(F.array_intersect("as", "bs"))
-    out = materialize(both.where(common >= least * (F.size("as") + F.size("bs") - common)).select("a", "b"), "near-links")
-    discard(sets)
-    df.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of jobs that are over go with the driver's garbage
-    return out
-
-
-def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, component), keys being unique: the components of all pairs that share ``least`` of their shingles (Jaccard), exactly.
+def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, numbered: bool = False) -> DataFrame:
+    """(key, component) of every row: the components of all pairs that share ``percent`` of their shingles (Jaccard), exactly.
 
-    Texts with the same set of shingles are one node. All others that can be linked meet at the first shingle that they share, which
-    lies in both prefixes, and so far in front that what comes after it suffices; and their sketches differ in few enough places.
-    Of the nodes at a shingle one hub is compared with the others of other components; it is then done with, as what it was not compared with
-    at this shingle is linked to it already or cannot be, or meets it at another shingle. Rounds go on, with more hubs a shingle each, until all nodes left at a shingle are of
-    one component: no pair goes unverified, and a large group of near copies costs rows, not pairs.
+    The join is that of :mod:`corpusmill.llm.jaccardjoin`. Texts with the same set of shingles, the empty one too, are one. ``numbered``: the
+    rows have numbers of their own, ``row``.
     """
-    found = materialize(prefixes(df, key, text, shingle, least, common_shingles(df, key, text, shingle, least)), "near-prefixes")
-    rows = materialize(found.select("key", "id"), "near-ids")
-    names = materialize(rows.groupBy(F.col("id").alias("node")).agg(F.min("key").alias("key")), "near-nodes")
-    at = Window.partitionBy("at")
-    own = found.select("n", "sketch", F.col("id").alias("node"), F.posexplode("prefix").alias("pos", "at"))
-    own = own.withColumns({"lo": F.min("node").over(at), "hi": F.max("node").over(at), "near": F.max(F.col("pos") <= F.col("n") - least_common("n", "n", least)).over(at)})
-    here = materialize(own.where("lo <> hi AND near").select("at", "node", "n", "pos", "sketch").dropDuplicates(["at", "node"]).withColumn("comp", F.col("node")), "near-rows")
-    discard(found)
-    links, roots, hubs = [], None, 1
-    while not here.isEmpty():
-        salt = F.pmod(F.xxhash64("node"), F.lit(hubs))
-        hub = materialize(here.groupBy("at", salt.alias("salt")).agg(F.min(F.struct("node", "n", "pos", "sketch", "comp")).alias("hub")).select("at", "hub"), "near-hubs")
-        need = least_common("n", "hub.n", least)
-        x = here.join(hub.hint("merge"), "at").where((F.col("comp") != F.col("hub.comp")) & (F.col("pos") <= F.col("n") - need) & (F.col("hub.pos") <= F.col("hub.n") - need) & (differ("sketch", "hub.sketch") <= F.col("n") + F.col("hub.n") - 2 * need))
-        pairs = materialize(x.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-pairs")
-        links.append(similar(pairs, names, df, key, text, shingle, least))
-        roots = materialize(components(reduce(DataFrame.unionByName, links), "near-links"), "near-roots")
-        rest = here.join(hub.select("at", F.col("hub.node").alias("node")).hint("merge"), ["at", "node"], "left_anti")
-        left = materialize(rest.join(roots, "node", "left").select("at", "node", "n", "pos", "sketch", F.coalesce("root", "comp").alias("comp")), "near-left")
-        near = F.max(F.col("pos") <= F.col("n") - least_common("n", "n", least))
-        open_ = left.groupBy("at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), near.alias("near")).where("lo <> hi AND near").select("at")
-        last, here = here, materialize(left.join(open_.hint("merge"), "at", "left_semi"), "near-open")
-        for t in (last, left, hub, pairs):
-            discard(t)
-        hubs *= HUBS
-    named = names.select(F.col("node").alias("id"), F.col("key").alias("component"))
-    if roots is not None:
-        least_key = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        first = least_key.groupBy("root").agg(F.min("key").alias("component"))
-        named = least_key.join(first.hint("merge"), "root").select(F.col("node").alias("id"), "component")
-    return rows.join(materialize(named, "near-components").hint("merge"), "id").select("key", "component")
+    docs = df if numbered else numbered_rows(df.select(key, text), "near-rows")
+    return similar_rows(docs, key, text, shingle, percent, apart=False).select("key", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
