@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusmill.functions.hashing import content_hash, label_of
 from corpusmill.functions.text import strip
+from corpusmill.operators import ordered
 
 # fixed values: categories of reviewed items
 REVIEW_LABELS = {"abst": "abstenção", "dist": "distintivo", "fato": "doutrina"}
@@ -57,14 +58,9 @@ def translated(rows: DataFrame, translations: DataFrame, key: str, pos: str | No
 
 
 def with_sequence_ids(rows: DataFrame, order: list[str], prefix: str, out: str = "id") -> DataFrame:
-    """Ids by rank in ``order``: ranks within each value of its first column, after the rows of the values before it."""
-    first = order[0]
-    n = rows.groupBy(F.col(first).alias("_f")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.col("_f").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    base = n.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    x = rows.withColumn("_r", F.row_number().over(Window.partitionBy(first).orderBy(*order)))
-    x = x.join(base, F.col(first).eqNullSafe(F.col("_f")))
-    return x.withColumn(out, F.format_string(prefix + "-%05d", F.col("_base") + F.col("_r"))).drop("_f", "_base", "_r")
+    """Ids by rank in ``order``, nulls first; ranks come from ranges of the order, so a source of any size is no task's burden."""
+    x = ordered.with_ranks(rows, order, "_rank")
+    return x.withColumn(out, F.format_string(prefix + "-%05d", "_rank")).drop("_rank")
 
 
 def overlong(rows: DataFrame, tokens: Column, most: int) -> DataFrame:

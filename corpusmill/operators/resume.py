@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.operators import ordered
+
 
 def remaining(prompts: DataFrame, results: DataFrame, key: str = "prompt_id", score: str = "judge_score") -> DataFrame:
     """Prompts without a scored result; a result without a score does not count as done."""
@@ -47,8 +49,10 @@ def presence(required: DataFrame, found: DataFrame, key: str) -> DataFrame:
 def within_budget(rows: DataFrame, cost: str, order: str, limit: float, run: list[str] | None = None) -> DataFrame:
     """Rows of each run up to the one at which the running total exceeds ``limit``; that row is not emitted.
 
-    The order within a run is a running sum, so a run is one task's work: name what tells runs apart.
+    A run is one window, so one task's work. Without ``run`` all rows are one, and scanned by ranges of the order (:mod:`ordered`).
     """
+    if not run:
+        return ordered.within_budget(rows, cost, [order], limit)
     w = Window.partitionBy(*(run or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     x = rows.withColumn("spent", F.sum(cost).over(w))
     over = F.max((F.col("spent") > limit).cast("int")).over(w)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.operators import ordered
 from corpusmill.operators.evaluation import mean_interval
 
 
@@ -139,12 +140,8 @@ def two_proportions(rows: DataFrame, k1: str, n1: str, k2: str, n2: str, tests:
 
 
 def false_discovery(tests: DataFrame, p: str, rate: float = 0.05) -> DataFrame:
-    """Benjamini and Hochberg's adjusted p, and whether it stays under ``rate``. Tests are few: one order of them all."""
-    upward = Window.orderBy(p)
-    x = tests.withColumn("rank", F.row_number().over(upward)).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    raw = F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("rank"))
-    x = x.withColumn("q", F.min(raw).over(Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)))
-    return x.withColumn("rejected", F.col("q") <= rate).drop("_m")
+    """Benjamini and Hochberg's adjusted p, and whether it stays under ``rate``; any number of tests."""
+    return ordered.false_discovery(tests, p, rate)
 
 
 def sample_size(p1: float, p2: float, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> int:
@@ -161,7 +158,9 @@ def best_step(history: DataFrame, loss: str = "eval_loss", step: str = "step") -
 
 
 def early_stop(history: DataFrame, patience: int, min_delta: float, loss: str = "eval_loss", step: str = "step", run: list[str] | None = None) -> DataFrame:
-    """Evaluations up to the one at which ``patience`` in a row have not improved on the best by ``min_delta``."""
+    """Evaluations up to the one at which ``patience`` in a row have not improved on the best by ``min_delta``; without ``run`` by ranges of steps."""
+    if not run:
+        return ordered.early_stop(history, patience, min_delta, loss, step)
     o = Window.partitionBy(*(run or [])).orderBy(step)
     best = F.min(loss).over(o.rowsBetween(Window.unboundedPreceding, -1))
     x = history.withColumn("improved", best.isNull() | (F.col(loss) < best - min_delta))
