@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.plans import corpus, evaluation, more, ordered, statistics
+from corpusmill.plans import corpus, evaluation, more, ordered, runs, statistics
 from corpusmill.plans.tables import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "more", "ordered", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "more", "ordered", "runs", "statistics"]

@@ -50,6 +50,19 @@ def texts(spark: SparkSession, path: str, pattern: str = "*", least: int = 0) ->
     return x.where(F.length("text") >= least)
 
 
+def sidecar_texts(spark: SparkSession, path: str, least: float, suffix: str = ".md", score: str = "quality_score", stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+    """(stem, text, sidecar, score) of texts whose JSON sidecar of the same stem has a score of ``least`` or more.
+
+    A text without a sidecar stays; a sidecar without a score, or one that cannot be read, counts as 0. ``stem`` tells from a path what pairs. Sidecars
+    under the limit are found first, and their texts are never joined: only the short list of stems is.
+    """
+    text = texts(spark, path, "*" + suffix).select(F.regexp_extract("path", stem, 1).alias("stem"), "text")
+    side = texts(spark, path, "*.json").select(F.regexp_extract("path", stem, 1).alias("stem"), F.col("text").alias("sidecar"))
+    side = side.withColumn("score", F.coalesce(F.get_json_object("sidecar", f"$.{score}").try_cast("double"), F.lit(0.0)))
+    low = side.where(F.col("score") < least).select("stem")
+    return text.join(low, "stem", "left_anti").join(side.where(F.col("score") >= least), "stem", "left")
+
+
 def reviewed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REVIEWED).option("multiLine", "true").json(path)
 
