@@ -84,3 +84,21 @@ def test_pairs_of_tiles_are_those_of_all_rows():
             if ok and sum((p ^ q).bit_count() for p, q in zip(x["sketch"], y["sketch"], strict=True)) <= x["n"] + y["n"] - 2 * need:
                 want.append((i, j))
     assert got == want and len(want) > 50
+
+
+def test_bitmaps_bound_the_difference_at_any_two_lengths(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(9000)]
+    base = rng.sample(words, 9000)
+    docs = [(k, " ".join(base[:n])) for k, n in enumerate((3, 60, 1000, 1030, 1200, 2040, 2060, 4000, 4200, 8100, 9000))]
+    docs.append((99, " ".join(rng.sample(words, 4100))))
+    df = spark.createDataFrame(docs, "row long, text string").withColumn("key", jaccardjoin.F.col("row")).coalesce(1)
+    t = jaccardjoin.signatures(df, "key", "text", 1, 85, jaccardjoin.common_shingles(df, "text", 1)).toArrow().sort_by("row")
+    bits = jaccardjoin.Bitmaps(t.column("sketch").combine_chunks())
+    assert set(bits.words) == {16, 32, 64, 128, 256}
+    i, j = (x.ravel() for x in np.meshgrid(range(len(docs)), range(len(docs))))
+    sets = [set(x.split()) for _, x in docs]
+    real = np.array([len(sets[a] ^ sets[b]) for a, b in zip(i, j, strict=True)])
+    found = bits.differ(i, bits, j, 40)
+    assert (found <= real).all() and ((real - found) % 2 == 0).all() and found[(i == 10) & (j == 9)] > 800
+    assert not jaccardjoin.may_link(np.array([4100]), np.array([4000]), bits.differ(np.array([11]), bits, np.array([7])), 85)[0]
