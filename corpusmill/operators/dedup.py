@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators.semantic import unit_vectors
+
 
 def first_wins(rows: DataFrame, key: Column, pos: list[str], keep_empty: bool = False) -> DataFrame:
     """The first row of each key by ``pos``. Rows with an empty key are all kept if ``keep_empty``.
@@ -53,22 +55,22 @@ def semantic_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "
     """Pairs (a < b, cosine) of vectors at ``least`` or more: an exact search, in blocks.
 
     Rows are numbered and fall into blocks; every pair of blocks is one task's work, so a task holds two blocks
-    whatever the size of the table. The work is that of a flat index: it grows with the square of the rows.
+    whatever the size of the table. The work is that of a flat index: it grows with the square of the rows; :mod:`semantic` searches below that.
+    Vectors that are not as long as most are, that have nulls or nothing but zeros, match nothing.
     """
     import numpy as np
     import pyarrow as pa
 
     unit = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    size = unit.agg(F.coalesce(F.mode(F.size("v"), deterministic=True), F.lit(0))).first()[0]
     n_blocks = max(1, -(-unit.count() // block))
     placed = unit.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int"))
     sides = placed.select("k", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("o"))
     sides = sides.select("k", "v", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
 
     def near(t: pa.Table) -> pa.Table:
-        k, b = t.column("k").to_numpy(), t.column("b").to_numpy()
-        v = np.array(t.column("v").to_pylist(), np.float64)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        v, at = unit_vectors(t.column("v"), size)
+        k, b = t.column("k").to_numpy()[at], t.column("b").to_numpy()[at]
         x, y = (np.flatnonzero(b == side) for side in (t.column("x")[0].as_py(), t.column("y")[0].as_py()))
         cos = v[x] @ v[y].T
         i, j = np.nonzero(cos >= least)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import hashing as H
 from corpusmill.functions import text as X
-from corpusmill.operators import chunking, curation, dedup, eda, records, resume, sampling
+from corpusmill.operators import chunking, curation, dedup, eda, records, resume, sampling, semantic
 from corpusmill.operators.parsers import parse_all
 from corpusmill.plans.tables import query, table
 
@@ -339,6 +339,10 @@ TURNED_SQL = """SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
 NEAR_SQL = "SELECT a.vec_id AS a, b.vec_id AS b FROM ({0}) a JOIN ({0}) b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {1}"
 
 
+#: numbers of a vector of the table
+SIZE = 64
+
+
 def _turned(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     turned = F.transform("embedding", lambda v, i: 2 * v + F.when(i == 0, 0.1).otherwise(0.0))
@@ -355,6 +359,13 @@ def semantic_links(spark: SparkSession, d: str) -> DataFrame:
     return dedup.semantic_duplicates(_turned(spark, d), least=0.6).select("a", "b")
 
 
+@query("semantic_search")
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of the vectors whose id 20 divides, by an index of all; its recall is held against brute force in the tests."""
+    x = semantic.neighbours(_turned(spark, d), F.col("vec_id") % 20 == 0, SIZE)
+    return x.select("query", "key", F.round("cosine", 9).alias("cosine"))
+
+
 @query(
     "parse_sections",
     """SELECT 'WSC_' || item_id AS source, 'What of ' || item_id || '?' AS question,
