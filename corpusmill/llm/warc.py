@@ -13,6 +13,9 @@ WARC header; otherwise the magic was compressed data and the piece continues the
 such a false magic into the next range is put together afterwards, from the few pieces that tasks could not place, by
 file and range.
 
+Archives of other writers are read too: any version of the format, header names in any case, values on several lines, several records in one member. What
+cannot be read as a record, or is left over behind a member, is an error: no record is lost without one.
+
 Cases: a null payload is an empty one; repeated rows and equal ids are records of their own; empty tables give no files and no rows;
 a record is read whole; columns other than those named are not read.
 """
@@ -21,9 +24,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +39,12 @@ from corpusmill.llm._spark import materialize, scratch_dir, with_place
 SALTS = 32
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
+HEAD = re.compile(rb"WARC/\d[\d.]*[\x20\t]*\r?\n")
+# fixed values: the format's own header names
+NAMES = """WARC-Record-ID Content-Length WARC-Date WARC-Type Content-Type WARC-Concurrent-To WARC-Block-Digest WARC-Payload-Digest WARC-IP-Address WARC-Refers-To
+WARC-Refers-To-Target-URI WARC-Refers-To-Date WARC-Target-URI WARC-Truncated WARC-Warcinfo-ID WARC-Filename WARC-Profile WARC-Identified-Payload-Type
+WARC-Segment-Number WARC-Segment-Origin-ID WARC-Segment-Total-Length""".split()
+OWN = {n.lower(): n for n in [*NAMES, "X-Key", "X-Payload-Length", "WARC-Refers-To-Key"]}
 
 
 def member(data: bytes, level: int = 6) -> bytes:
@@ -48,11 +59,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, key: str, uri: str, payload: bytes, size: int, sha1: str, refers: str | None) -> bytes:
+def record(kind: str, key: str, uri: str, payload: bytes, size: int, sha1: str, refers: str | None, place: str, date: str) -> bytes:
+    """``place`` tells the row from all others, equal ones too: it makes the record's id."""
     body = payload if kind == "response" else b""
     head = [
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {uri} {sha1}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {uri} {sha1} {place}')}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{sha1}",
         f"X-Payload-Length: {size}",
@@ -64,10 +77,29 @@ def record(kind: str, key: str, uri: str, payload: bytes, size: int, sha1: str,
     return VERSION + "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head[len(VERSION) :].decode("utf-8", "replace").split("\r\n"))
-    return fields, rest[: int(fields["Content-Length"])]
+def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """Fields and payload of every record of a member. The format's own names come as it spells them, others as they are written."""
+    out, at = [], 0
+    while at < len(data):
+        begin = HEAD.match(data, at)
+        end = re.compile(rb"\r?\n\r?\n").search(data, begin.end() - 2) if begin else None
+        if end is None:
+            raise ValueError("no record where one should begin")
+        lines = re.sub(r"\r?\n[\x20\t]+", " ", data[begin.end() : end.start()].decode("utf-8", "replace"))
+        fields = {}
+        for line in filter(None, re.split(r"\r?\n", lines)):
+            name, colon, value = line.partition(":")
+            if not colon:
+                raise ValueError(f"no header field: {line[:80]!r}")
+            fields[OWN.get(name.strip().lower(), name.strip())] = value.strip()
+        size = int(fields["Content-Length"])
+        if end.end() + size > len(data):
+            raise ValueError("a record is shorter than its length says")
+        out.append((fields, data[end.end() : end.end() + size]))
+        at = end.end() + size
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+    return out
 
 
 def mark_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0) -> DataFrame:
@@ -84,14 +116,15 @@ def mark_revisits(pages: DataFrame, key: str, payload: str, least_bytes: int = 0
     on = (F.col("sha") == F.col("_sha")) & (F.pmod(F.xxhash64("row"), F.lit(SALTS)) == F.col("_salt")) & (F.col("size") >= least_bytes)
     x = x.join(first, on, "left")
     revisit = F.col("best").isNotNull() & (F.col("best.r") != F.col("row"))
-    return x.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers", F.when(revisit, F.col("best.k").cast("string"))).drop("_sha", "best", "sha", "row", "_salt")
+    return x.withColumn("kind", F.when(revisit, "revisit").otherwise("response")).withColumn("refers", F.when(revisit, F.col("best.k").cast("string"))).drop("_sha", "best", "sha", "_salt")
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0) -> None:
-    """Write one record for each row of ``pages`` to gzip-compressed WARC files under ``path``."""
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = 0, date: str | None = None) -> None:
+    """Write one record for each row of ``pages`` to gzip-compressed WARC files under ``path``. ``date``: of all records, else the time of the call."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     x = pages.select(F.col(key).alias("key"), F.coalesce(F.col(uri), F.lit("")).alias("uri"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     x = with_place(x, "row", "warc-input")
-    x = mark_revisits(x, "key", "payload", least_bytes).select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "uri", F.when(F.col("kind") == "response", F.col("payload")).alias("payload"), "size", F.col("kind"), "refers", F.base64(F.unhex(F.sha1("payload"))).alias("sha"))
+    x = mark_revisits(x, "key", "payload", least_bytes).select(F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"), "uri", F.when(F.col("kind") == "response", F.col("payload")).alias("payload"), "size", F.col("kind"), "refers", F.concat_ws("-", "row.file", "row.at").alias("place"), F.base64(F.unhex(F.sha1("payload"))).alias("sha"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,7 +133,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", uri: str =
                 for r in b.slice(a, 64).to_pylist():
                     uri = r["uri"].replace("\r", "%0D").replace("\n", "%0A")
                     sha1 = base64.b32encode(base64.b64decode(r["sha"])).decode()
-                    m = member(record(r["kind"], r["key"], uri, r["payload"] or b"", r["size"], sha1, r["refers"]))
+                    m = member(record(r["kind"], r["key"], uri, r["payload"] or b"", r["size"], sha1, r["refers"], r["place"], date))
                     out.append(m[:-1] if m[-1] == 0 else m + EMPTY[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
 
@@ -114,13 +147,15 @@ def _inflate(data: bytes, whole: bool) -> bytes | None:
         out = d.decompress(data) if whole else d.decompress(data, 4096)
     except zlib.error:
         return None
+    if whole and d.unused_data.strip(b"\0"):
+        raise ValueError("bytes behind a member that are no record")
     return out if d.eof or not whole else None
 
 
 def is_member(piece: bytes) -> bool:
     """Whether a record, or an empty member, starts here: its header inflates to that of a record."""
     got = _inflate(piece[: 1 << 16], False)
-    return got is not None and (got.startswith(VERSION) or (got == b"" and piece[:20] == EMPTY))
+    return got is not None and (HEAD.match(got) is not None or (got == b"" and piece[:20] == EMPTY))
 
 
 def stitch(pieces: list[bytes], keep_open: bool) -> tuple[list[bytes], list[bytes], bytes | None]:
@@ -183,7 +218,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             first = False
             carry = last or b""
             rows += [{"file": at[0], "begin": at[1], "orphan": True, "piece": b"".join(orphans)}] if orphans else []
-            rows += [{"fields": list(f.items()), "payload": p} for f, p in map(parse, whole)]
+            rows += [{"fields": list(f.items()), "payload": p} for m in whole for f, p in parse(m)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
         if carry:
@@ -205,7 +240,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     held = b""
         if held:
             raise ValueError("broken member in archive")
-        return pa.Table.from_pylist([{"fields": list(f.items()), "payload": p} for f, p in map(parse, out)], schema=pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]))
+        return pa.Table.from_pylist([{"fields": list(f.items()), "payload": p} for m in out for f, p in parse(m)], schema=pa.schema([("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]))
 
     torn = seen.where("piece IS NOT NULL").select("file", "begin", "orphan", "piece").groupBy("file").applyInArrow(join, "fields map<string,string>, payload binary")
     return seen.where("piece IS NULL").select("fields", "payload").unionByName(torn)

@@ -266,6 +266,51 @@ def test_archives_are_plain_gzip_and_false_magic_is_no_record(spark, tmp_path):
     assert {want[k] for k, t, _ in got if t == "response"} == set(want.values())
 
 
+def _foreign(version, k, body, names=str, line="\r\n"):
+    head = [f"{names('WARC-Type')}: response", f"{names('WARC-Record-ID')}:<urn:uuid:{k}>", f"{names('Content-Length')}:   {len(body)}", f"{names('WARC-Target-URI')}: http://x/", "\thttp-folded", f"X-Own: {k}"]
+    return f"WARC/{version}{line}".encode() + line.join(head).encode() + (line * 2).encode() + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("part", ["700", "20000", "100000000"])
+def test_archives_of_other_writers_are_read_whole(spark, tmp_path, part):
+    rng = random.Random(9)
+    names = [str, str.lower, str.upper]
+    bodies = [rng.randbytes(rng.choice([0, 50, 3000])) + b"WARC/1.0\r\n" * rng.randrange(3) for _ in range(60)]
+    records = [_foreign(rng.choice(["1.0", "1.1", "0.18"]), k, b, rng.choice(names)) for k, b in enumerate(bodies)]
+    one = b"".join(gzip.compress(r, mtime=0) for r in records[:40])
+    two = gzip.compress(b"".join(records[40:50]), mtime=0) + b"".join(gzip.compress(r, mtime=0) for r in records[50:])
+    for n, data in enumerate((one, two)):
+        (tmp_path / f"{n}.txt").write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+    try:
+        got = warc.read_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((int(r.fields["X-Own"]), bytes(r.payload)) for r in got) == list(enumerate(bodies))
+    assert all(r.fields["WARC-Target-URI"] == "http://x/ http-folded" and r.fields["WARC-Record-ID"] == f"<urn:uuid:{r.fields['X-Own']}>" for r in got)
+
+
+def test_what_is_no_record_is_an_error(spark, tmp_path):
+    good = gzip.compress(_foreign("1.0", 1, b"body"), mtime=0)
+    bad = {"torn": good[:-12], "other": good + gzip.compress(b"not a record"), "only other": gzip.compress(b"no record at all"), "behind": good + b"left over", "short": gzip.compress(_foreign("1.0", 1, b"body")[:-6]), "nameless": gzip.compress(b"WARC/1.0\r\nno field\r\n\r\n")}
+    for name, data in bad.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_bytes(data)
+        with pytest.raises(Exception, match="record|member|field"):
+            warc.read_records(spark, str(tmp_path / name)).collect()
+    (tmp_path / "padded").mkdir()
+    (tmp_path / "padded" / "a.txt").write_bytes(good + b"\0" * 512)
+    assert warc.read_records(spark, str(tmp_path / "padded")).count() == 1
+
+
+def test_records_have_a_date_and_ids_of_their_own(spark, tmp_path):
+    warc.write_archives(spark.createDataFrame([(1, "u", "x")] * 6 + [(None, None, None)] * 2, "page_id long, url string, html string").repartition(2), str(tmp_path / "w"), date="2024-02-29T12:00:00Z")
+    got = warc.read_records(spark, str(tmp_path / "w")).collect()
+    assert len({r.fields["WARC-Record-ID"] for r in got}) == len(got) == 8
+    assert {r.fields["WARC-Date"] for r in got} == {"2024-02-29T12:00:00Z"}
+
+
 def test_benchmark_in_blocks(spark, folder):
     df = spark.read.parquet(str(folder / "documents.parquet"))
     bench = spark.read.parquet(str(folder / "benchmark.parquet"))
