@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,9 +75,18 @@ def placement(summary: DataFrame) -> DataFrame:
     return summary.withColumn("placed", why.isNull()).withColumn("placement_note", why)
 
 
+def _status(a: str, b: str) -> Column:
+    of = lambda c: F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return F.when(~(of("judge_model") & of("judge_max_tokens")), "incomparable").when(~of("served"), "snapshot drift").otherwise("comparable").alias("status")
+
+
+def comparability_by(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, status) of the summaries that both sides have: whether they may be compared; another served snapshot is a warning only."""
+    side = lambda d, name: d.select(*by, F.struct("judge_model", "judge_max_tokens", "served").alias(name))
+    return side(a, "a").join(side(b, "b"), by).select(*by, _status("a", "b"))
+
+
 def comparability(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: whether two one-row summaries may be compared; another served snapshot is a warning only."""
-    x = a.select("judge_model", "judge_max_tokens", "served", b.select(F.struct("judge_model", "judge_max_tokens", "served")).scalar().alias("b"))
-    same = F.col("judge_model").eqNullSafe(F.col("b.judge_model")) & F.col("judge_max_tokens").eqNullSafe(F.col("b.judge_max_tokens"))
-    drift = ~F.col("served").eqNullSafe(F.col("b.served"))
-    return x.select(F.when(~same, "incomparable").when(drift, "snapshot drift").otherwise("comparable").alias("status"))
+    """One row: the same of two one-row summaries."""
+    side = F.struct("judge_model", "judge_max_tokens", "served")
+    return a.select(side.alias("a"), b.select(side).scalar().alias("b")).select(_status("a", "b"))

@@ -24,15 +24,33 @@ def markdown(title: str, sections: dict[str, DataFrame], most: int = 1000) -> st
     return "\n".join(out)
 
 
+def _table(cols: list[str], rows: list[list[str]]) -> str:
+    line = lambda tag, r: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in r) + "</tr>"
+    return "<table>" + line("th", cols) + "".join(line("td", r) for r in rows) + "</table>"
+
+
 def page(title: str, sections: dict[str, DataFrame], most: int = 1000) -> str:
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, table in sections.items():
-        cols, rows = _rows(table, most)
-        line = lambda tag, r: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in r) + "</tr>"
-        out.append(f"<h2>{html.escape(name)}</h2><table>" + line("th", cols) + "".join(line("td", r) for r in rows) + "</table>")
+        out.append(f"<h2>{html.escape(name)}</h2>" + _table(*_rows(table, most)))
     return "\n".join([*out, "</body></html>"])
 
 
+def comparison_page(title: str, paired: DataFrame, shares: DataFrame, direction: DataFrame, goals: DataFrame, said: DataFrame) -> str:
+    """The page that sets two runs side by side: tests, shares, directions, goals, and a box with what the run says."""
+    import math
+
+    cols, rows = _rows(paired, 1000)
+    at = cols.index("z")
+    shown = lambda z: "—" if z == "—" else f"{math.erfc(abs(float(z)) / math.sqrt(2)):.2e}"
+    tests = _table([*cols, "p"], [[*r, shown(r[at])] for r in rows])
+    parts = [("Paired results", tests), *[(n, _table(*_rows(t, 1000))) for n, t in (("Shares", shares), ("Directions", direction), ("Goals", goals))]]
+    _, items = _rows(said.orderBy("place").select("label", "text"), 100)
+    box = "".join(f"<li><b>{html.escape(a)}:</b> {html.escape(b)}</li>" for a, b in items)
+    body = "".join(f"<h2>{k}. {html.escape(n)}</h2>{t}" for k, (n, t) in enumerate(parts, 1))
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{body}<div class='conclusions'><h2>Conclusions</h2><ul>{box}</ul></div></body></html>"
+
+
 def console(title: str, table: DataFrame, most: int = 100) -> str:
     cols, rows = _rows(table, most)
     wide = [max(len(x) for x in c) for c in zip(cols, *rows, strict=True)]
