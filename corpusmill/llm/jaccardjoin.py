@@ -5,11 +5,12 @@ of all shingles, rare ones first, both prefixes of (100 - p) percent of the set
 a prefix shingle is cut into tiles by bands of sizes: only equal or neighbouring bands can link. Tiles of sizes alone would compare all pairs of
 texts of like length.
 
-Each set has a bitmap of 1,024 hashed parities. Two bitmaps differ in no more places than the sets differ in shingles, so their bit
-count bounds the overlap from above; what passes is decided by intersecting the sorted arrays of shingles.
+Each set has a bitmap of hashed parities: as many places as shingles, rounded up to a power of two, and 1,024 at least. A longer bitmap is folded to the
+length of a shorter one. Two bitmaps differ in no more places than the sets differ in shingles, so their bit count bounds the overlap from
+above; what passes is decided by intersecting the sorted arrays of shingles.
 
 Two rounds. The first compares every set with one hub of each tile it is in, so that large groups of near copies become components at the price
-of a pair for each copy. The second compares within tiles all sets of different components; large tiles are cut into blocks, pairs of which
+of a pair for each copy. The second compares within tiles all sets of different components but the hubs, which are done; large tiles are cut into blocks, pairs of which
 are tasks of bounded size. No pair that could link two components goes without a look.
 
 Equal sets are one node from the start. A shingle is known by its 64-bit hash, a set by 128 bits and its size.
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import _seq
 from corpusmill.llm._spark import BITS, bit, bitmap, components, discard, marked, materialize, numbered_rows
 
-#: places of a bitmap, in words of 64 bits
+#: places of a bitmap at the least, in words of 64 bits
 WORDS = 16
 #: sets of one block of a tile, at most
 BLOCK = 1024
@@ -111,7 +111,9 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int, percent: int, c
                 for k, salt in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
                     if len(has):
                         ids[k, has] = np.add.reduceat(_seq.mix(h.view(np.uint64) ^ np.uint64(salt)), first[:-1][has])
-                odd = np.bincount(doc * (64 * WORDS) + (place % np.uint64(64 * WORDS)).astype(np.int64), minlength=(z - a) * 64 * WORDS) & 1
+                words = np.maximum(WORDS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(np.int64).clip(0))
+                ends = np.append(0, np.cumsum(words))
+                odd = np.bincount(64 * ends[doc] + (place & (64 * words[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=64 * int(ends[-1])) & 1
                 sketch = np.packbits(odd.astype(bool), bitorder="little").view("<i8")
                 rank = np.zeros(len(h), np.int64)
                 if len(often):
@@ -121,7 +123,7 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int, percent: int, c
                 most = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 take = np.arange(len(h)) - first[:-1][doc] < most[doc]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(h[order][take]))
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, WORDS * (z - a) + 1, WORDS, np.int32)), pa.array(sketch))
+                flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sketch))
                 cols = [b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), *[pa.array(x.view(np.int64)) for x in ids], pa.array(n.astype(np.int64)), flat, lists]
                 yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "i", "j", "n", "sketch", "prefix"])
 
@@ -140,12 +142,51 @@ def may_meet(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Col
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (pos <= n - need) & (at <= m - need)
 
 
+class Bitmaps:
+    """Bitmaps of different lengths, in one array."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.values = lists.flatten().to_numpy().view(np.uint64)
+        off = lists.offsets.to_numpy().astype(np.int64)
+        self.start, self.words = off[:-1] - off[0] if len(off) else off, np.diff(off)
+
+    def folded(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """The bitmaps of ``rows``, folded to ``words`` words each."""
+        out = np.empty((len(rows), words), np.uint64)
+        for w in np.unique(self.words[rows]):
+            k = np.flatnonzero(self.words[rows] == w)
+            whole = self.values[self.start[rows[k]][:, None] + np.arange(w)]
+            out[k] = np.bitwise_xor.reduce(whole.reshape(len(k), w // words, words), axis=1)
+        return out
+
+    def differ(self, i: np.ndarray, other: Bitmaps, j: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """In how many places the bitmaps of rows ``i`` differ from those of rows ``j`` of ``other``."""
+        out = np.zeros(len(i), np.int64)
+        least = np.minimum(self.words[i], other.words[j])
+        for w in np.unique(least):
+            at = np.flatnonzero(least == w)
+            for k in np.array_split(at, max(1, len(at) * int(w) // most)):
+                out[k] = np.bitwise_count(self.folded(i[k], w) ^ other.folded(j[k], w)).sum(1, dtype=np.int64)
+        return out
+
+
+def may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``n`` and ``m`` whose bitmaps differ in ``differ`` places can link."""
+    return differ <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+
+
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that their bitmaps do not rule out."""
     of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}s")).hint("merge")
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    differ = reduce(Column.__add__, [F.bit_count(F.get("as", F.lit(k)).bitwiseXOR(F.get("bs", F.lit(k)))) for k in range(WORDS)])
-    return both.where(differ <= F.col("an") + F.col("bn") - 2 * least_common(F.col("an"), F.col("bn"), percent)).select("a", "b")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "an", "bn", "as", "bs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = np.arange(b.num_rows)
+            differ = Bitmaps(b.column(4)).differ(every, Bitmaps(b.column(5)), every)
+            yield b.select([0, 1]).filter(pa.array(may_link(b.column(2).to_numpy(), b.column(3).to_numpy(), differ, percent)))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, df: DataFrame, text: str, shingle: int, percent: int) -> DataFrame:
@@ -192,9 +233,11 @@ def tile_pairs(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets of different components that meet in a tile and that places, sizes and bitmaps do not rule out."""
     both = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("own"))))
     rows = here.select("at", "node", "n", "pos", "comp", both.alias("t")).select("at", "node", "n", "pos", "comp", "t.*")
-    sizes = rows.groupBy("at", "tile").agg(F.count("*").alias("c"), F.count_if("own").alias("o"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = sizes.where("lo <> hi AND o > 0").select("at", "tile", F.ceil(F.col("c") / BLOCK).alias("blocks"))
-    x = rows.join(sizes.hint("merge"), ["at", "tile"])
+    # the hubs of both bands have been compared with all of the tile
+    hub = lambda c: F.min(F.when(c, F.col("node")))
+    sizes = rows.groupBy("at", "tile").agg(F.count("*").alias("c"), F.count_if("own").alias("o"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub(F.col("own")).alias("h"), hub(~F.col("own")).alias("g"))
+    sizes = sizes.where("lo <> hi AND (o > 2 OR (o = 2 AND c > 3))").select("at", "tile", F.ceil(F.col("c") / BLOCK).alias("blocks"), "h", F.coalesce("g", F.lit(-1)).alias("g"))
+    x = rows.join(sizes.hint("merge"), ["at", "tile"]).where("node <> h AND node <> g")
     own = F.pmod(F.xxhash64("node"), "blocks")
     x = x.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     x = x.join(sets.select("node", "sketch").hint("merge"), "node")
@@ -235,7 +278,7 @@ def _matches(t: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa.Reco
     """Pairs of whole block pairs: the sets of each one's largest component are only compared with the others, all others with all before."""
     at, tile, one, two, block, node, n, pos, comp = _numbers(t, "at", "tile", "first", "second", "block", "node", "n", "pos", "comp")
     own = np.asarray(t.column("own").to_pylist(), bool)
-    sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+    sketch = Bitmaps(t.column("sketch").combine_chunks())
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (tile[1:] != tile[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     of = np.cumsum(new) - 1
@@ -259,8 +302,8 @@ def _matches(t: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa.Reco
         i, j = i[ok], j[ok]
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
-        i, j, need = i[ok], j[ok], need[ok]
-        ok = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64) <= n[i] + n[j] - 2 * need
+        i, j = i[ok], j[ok]
+        ok = may_link(n[i], n[j], sketch.differ(i, sketch, j), percent)
         a, b = node[i[ok]], node[j[ok]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
