@@ -63,6 +63,13 @@ def with_sequence_ids(rows: DataFrame, order: list[str], prefix: str, out: str =
     return x.withColumn(out, F.format_string(prefix + "-%05d", "_rank")).drop("_rank")
 
 
+def stamped(rows: DataFrame, at: Column | None = None) -> DataFrame:
+    """``created_at`` in UTC as ISO 8601 with microseconds, and ``day``: of now, the same for all rows of a query, or of ``at``, an instant."""
+    at = F.current_timestamp() if at is None else at
+    utc = lambda f: F.date_format(F.to_utc_timestamp(at, F.current_timezone()), f)
+    return rows.withColumns({"created_at": F.concat(utc("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00")), "day": utc("yyyy-MM-dd")})
+
+
 def overlong(rows: DataFrame, tokens: Column, most: int) -> DataFrame:
     """Rows with ``kept``: false where the text has more than ``most`` tokens. Nothing is cut."""
     return rows.withColumn("n_tokens", tokens.cast("long")).withColumn("kept", F.col("n_tokens") <= most)

@@ -174,6 +174,18 @@ def experiment_config(path: str) -> dict:
     return out
 
 
+def matrix(spark: SparkSession, path: str, row: str = "row", cells: str = "cells") -> DataFrame:
+    """(row, col, value) of a file of JSON lines, each a row's name and its cells by column; cells that are null or absent are not there."""
+    kind = T.StructType([T.StructField(row, T.StringType()), T.StructField(cells, T.MapType(T.StringType(), T.DoubleType()))])
+    x = jsonl(spark, path, kind).select(F.col(row).alias("row"), F.explode(cells).alias("col", "value"))
+    return x.where("value IS NOT NULL")
+
+
+def pivoted(cells: DataFrame, columns: list[str]) -> DataFrame:
+    """A matrix with a column for each of ``columns``, null where there is no cell: one pass, as the columns are known."""
+    return cells.groupBy("row").agg(*[F.max(F.when(F.col("col") == c, F.col("value"))).alias(c) for c in columns])
+
+
 def leaderboard(spark: SparkSession, rows: list[tuple[str, float]]) -> DataFrame:
     """A public board as a table (model, value); its values are inputs, not part of this package."""
     return spark.createDataFrame(rows, "model string, value double")
