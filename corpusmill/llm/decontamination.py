@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import _seq
-from corpusmill.llm._spark import apart, plan_bytes, with_place
+from corpusmill.llm._spark import apart, with_place
 
 
 class Index:
@@ -81,12 +81,10 @@ class Index:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, most_bytes: int) -> list[DataFrame]:
-    b = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    if plan_bytes(benchmark) <= most_bytes:
-        return [b]
+    b = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text")).distinct()
     size = b.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))))).first()[0] or 0
-    n = -(-size // most_bytes) or 1
-    return [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+    n = max(1, -(-size // most_bytes))
+    return [b] if n == 1 else [b.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", gram: int = 10, most_bytes: int = 1 << 22) -> DataFrame:
