@@ -311,6 +311,21 @@ def test_records_have_a_date_and_ids_of_their_own(spark, tmp_path):
     assert {r.fields["WARC-Date"] for r in got} == {"2024-02-29T12:00:00Z"}
 
 
+def test_batches_of_a_log_are_held_against_all_before(spark, docs, tmp_path):
+    pairs = [(i, t) for i, t, *_ in docs if not t or len(t) < 100_000]
+    rng = random.Random(3)
+    rng.shuffle(pairs)
+    parts, log = [pairs[::3], pairs[1::3], [], pairs[2::3]], str(tmp_path / "log")
+    for k, part in enumerate(parts):
+        df = spark.createDataFrame(part, "doc_id long, text string").repartition(2)
+        got = sorted(map(tuple, fingerprintlog.repeated_words(df, log=log).collect()), key=repr)
+        before = [p for x in parts[:k] for p in x]
+        # the same as one call over all so far, for this batch's rows
+        want = sorted(brute.op7(before + part)[len(before) :], key=repr)
+        assert got == want
+    assert sum(r[2] for r in want) > 500
+
+
 def test_benchmark_in_blocks(spark, folder):
     df = spark.read.parquet(str(folder / "documents.parquet"))
     bench = spark.read.parquet(str(folder / "benchmark.parquet"))
