@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -144,11 +144,11 @@ def false_discovery(tests: DataFrame, p: str, rate: float = 0.05) -> DataFrame:
     return ordered.false_discovery(tests, p, rate)
 
 
-def sample_size(p1: float, p2: float, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> int:
-    """Rows a side that a two-proportion test needs."""
+def sample_size(p1: Column, p2: Column, z_alpha: float = 1.959963984540054, z_power: float = 0.8416212335729143) -> Column:
+    """Rows a side that a two-proportion test needs; null for equal proportions."""
     pool = (p1 + p2) / 2
-    top = z_alpha * math.sqrt(2 * pool * (1 - pool)) + z_power * math.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
-    return math.ceil(top * top / (p1 - p2) ** 2)
+    top = z_alpha * F.sqrt(2 * pool * (1 - pool)) + z_power * F.sqrt(p1 * (1 - p1) + p2 * (1 - p2))
+    return F.ceil(top * top / F.nullif((p1 - p2) * (p1 - p2), F.lit(0.0)))
 
 
 def best_step(history: DataFrame, loss: str = "eval_loss", step: str = "step") -> DataFrame:

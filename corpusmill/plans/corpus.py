@@ -286,7 +286,7 @@ def ablation_minus_source(spark: SparkSession, d: str) -> DataFrame:
 @query("translate_join", "SELECT b.item_id, '[' || text || ']' AS prompt, text AS prompt_en FROM benchmark b WHERE item_id % 2 = 0")
 def translate_join(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
-    return records.translated(b, b.where("item_id % 2 = 0").withColumn("prompt", F.concat(F.lit("["), "prompt", F.lit("]"))), "item_id")
+    return records.translated(b, b.where("item_id % 2 = 0").withColumn("prompt", F.concat(F.lit("["), "prompt", F.lit("]"))), "item_id", pos="item_id")
 
 
 @query("coverage_gap", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

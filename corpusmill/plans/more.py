@@ -132,6 +132,17 @@ def primary_metric(spark: SparkSession, d: str) -> DataFrame:
     return rounded(x.select("benchmark", "metric", "value", "leaderboard_comparable"))
 
 
+@query(
+    "primary_interval",
+    f"""SELECT 'cb' AS benchmark, round(avg(judge_score) - 1.959963984540054 * stddev_samp(judge_score) / sqrt(count(judge_score)), 9) AS low,
+  round(avg(judge_score) + 1.959963984540054 * stddev_samp(judge_score) / sqrt(count(judge_score)), 9) AS high, false AS leaderboard_comparable FROM ({results_sql()})""",
+)
+def primary_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The headline number's interval, of a translated run: it is not for the public board."""
+    x = evaluation.primary_metric(evaluation.summary_cb(results(spark, d)), "cb", "pt-BR", "noprompt")
+    return rounded(x.select("benchmark", "low", "high", "leaderboard_comparable"))
+
+
 @query("legacy_guard", f"SELECT count(*) AS n, count(judge_score) AS n_scored FROM ({results_sql()})")
 def legacy_guard(spark: SparkSession, d: str) -> DataFrame:
     """Rows of either schema, none of them old: all pass."""
@@ -140,7 +151,12 @@ def legacy_guard(spark: SparkSession, d: str) -> DataFrame:
     return resume.reject_legacy(x).agg(F.count("*").alias("n"), F.count("judge_score").alias("n_scored"))
 
 
-@query("comparability", "SELECT * FROM (VALUES ('same', 'comparable'), ('other snapshot', 'snapshot drift'), ('other judge', 'incomparable')) AS t(what, status)")
+@query(
+    "comparability",
+    """WITH s AS (SELECT list_sort(list(DISTINCT event_type)) AS served FROM events),
+o AS (SELECT 'same' AS what, served AS other, 'j' AS judge FROM s UNION ALL SELECT 'other snapshot', ['x'], 'j' UNION ALL SELECT 'other judge', served, 'k' FROM s)
+SELECT what, CASE WHEN judge <> 'j' THEN 'incomparable' WHEN other IS DISTINCT FROM served THEN 'snapshot drift' ELSE 'comparable' END AS status FROM o, s""",
+)
 def comparability(spark: SparkSession, d: str) -> DataFrame:
     one = evaluation.served_models(table(spark, d, "events"), "event_type").select(F.lit("j").alias("judge_model"), F.lit(1024).alias("judge_max_tokens"), "served")
     others = {"same": one, "other snapshot": one.withColumn("served", F.array(F.lit("x"))), "other judge": one.withColumn("judge_model", F.lit("k"))}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,9 +184,12 @@ def latest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "power_analysis",
-    """WITH t(p1, p2) AS (VALUES (0.1::DOUBLE, 0.2::DOUBLE), (0.2, 0.25), (0.5, 0.6)), q AS (SELECT *, (p1 + p2) / 2 AS m FROM t)
-SELECT p1, p2, ceil(pow(1.959963984540054::DOUBLE * sqrt(2 * m * (1 - m)) + 0.8416212335729143::DOUBLE * sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2) / pow(p1 - p2, 2))::BIGINT AS n_per_side FROM q""",
+    """WITH t AS (SELECT event_type, count(*) FILTER (user_id % 2 = 0 AND value > 20) / count(*) FILTER (user_id % 2 = 0) AS p1, count(*) FILTER (user_id % 2 = 1 AND value > 60) / count(*) FILTER (user_id % 2 = 1) AS p2 FROM events GROUP BY event_type),
+q AS (SELECT *, (p1 + p2) / 2 AS m FROM t WHERE p1 <> p2)
+SELECT event_type, ceil(pow(1.959963984540054::DOUBLE * sqrt(2 * m * (1 - m)) + 0.8416212335729143::DOUBLE * sqrt(p1 * (1 - p1) + p2 * (1 - p2)), 2) / pow(p1 - p2, 2))::BIGINT AS n_per_side FROM q""",
 )
 def power_analysis(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(a, b, stats.sample_size(a, b)) for a, b in ((0.1, 0.2), (0.2, 0.25), (0.5, 0.6))]
-    return spark.createDataFrame(rows, "p1 double, p2 double, n_per_side long").where(F.col("n_per_side") < math.inf)
+    """Rows a side that would tell apart, for each event type, the share of large values of even users from that of very large ones of odd users."""
+    share = lambda k, most: F.count_if((F.col("user_id") % 2 == k) & (F.col("value") > most)) / F.count_if(F.col("user_id") % 2 == k)
+    x = table(spark, d, "events").groupBy("event_type").agg(share(0, 20).alias("p1"), share(1, 60).alias("p2")).where("p1 <> p2")
+    return x.select("event_type", stats.sample_size(F.col("p1"), F.col("p2")).alias("n_per_side"))
