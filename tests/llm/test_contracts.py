@@ -151,6 +151,11 @@ def test_op10_scores_are_those_of_the_plain_model(spark, folder, pairs):
         assert (i, n) == (j, m) and a == pytest.approx(b, abs=1e-9 + n * 4e-4)  # a level keeps log10 to 16 bits
 
 
+def test_op10_takes_no_share_that_its_codes_cannot_hold(spark, folder):
+    with pytest.raises(ValueError, match="share"):
+        lmscore.score_texts(spark.read.parquet(str(folder / "documents.parquet")), F.lit(False), share=2.0**-21)
+
+
 def test_op10_predicts_held_out_texts_better_than_the_base(spark, sf):
     held = [r for r in QUERIES["op10_lm_score"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
