@@ -21,13 +21,16 @@ _made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set, one below the warehouse, which all executors share too."""
+    """The shared folder of the cluster; where none is set, one below the warehouse, if executors share that."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch")
+        home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if home.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(f"{home}/_scratch")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get().rstrip("/")
 
