@@ -20,7 +20,10 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from corpusmill.llm import _seq
 from corpusmill.llm._spark import materialize
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+# fixed value: what the byte-level pre-tokenizer splits by
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: a space behind a character that is no white space: no token of either side goes across
 PIECE = re.compile(r"(?<=\S) ")
 
@@ -54,11 +59,25 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace("▁", " ").encode()
 
 
+def byte_encoder(path: str):
+    """The bytes of each id of a byte-level BPE vocabulary, and an encoder by it. Merges must be numbered in their order, behind the single bytes."""
+    import tiktoken
+
+    with open(path) as f:
+        model = json.load(f)["model"]
+    table = byte_table(model["vocab"])
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if sorted(table[:256]) != [bytes([k]) for k in range(256)] or merged != list(range(256, 256 + len(merged))):
+        raise ValueError(f"{path}: not a byte-level vocabulary with merges in the order of ids")
+    ranks = {b: k for k, b in enumerate(table[: 256 + len(merged)])}
+    return table, tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+
+
 class Transducer:
     """Aligns token sequences of two vocabularies; transitions are kept by state and next token."""
 
     def __init__(self, a: list[bytes], b: list[bytes], most: int = 1 << 20):
-        self.bytes, self.most = (a, b), most
+        self.bytes, self.width, self.most = (a, b), len(b), most
         self.number: dict[tuple[int, bytes], int] = {}
         self.states: list[tuple[int, bytes]] = [(0, b"")]  # state 0: nothing dangles
         self.next: dict[int, int] = {}
@@ -81,98 +100,135 @@ class Transducer:
             return self.state(leader, residual[len(new) :])
         return self.state(1 - leader, new[len(residual) :]) if new.startswith(residual) else -1
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """Where groups end in ``a`` and ``b``, and the linked (a, b) ids, an entry for each pair of occurrences; None if bytes differ."""
-        if len(self.next) > self.most:
-            self.next.clear()
-        ends, links, kept = [], [], self.next
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
+        """Where groups end in ``a`` and ``b``, and the code of the linked ids, an entry for each pair of occurrences; None if bytes differ."""
+        kept, width, states = self.next, self.width, self.states
+        if len(kept) > self.most:
+            kept.clear()
+        ends, links = [], []
         i = j = state = x = y = 0
+        n, m = len(a), len(b)
         while True:
             if not state:
-                if i or j:
+                if i:
                     ends.append((i, j))
-                if i == len(a):
-                    return (ends, links) if j == len(b) else None
+                if i == n:
+                    return (ends, links) if j == m else None
                 x, i = a[i], i + 1
                 state = self.state(0, self.bytes[0][x])
                 continue
-            if self.states[state][0]:
-                if i == len(a):
+            if states[state][0]:
+                if i == n:
                     return None
                 token = x = a[i]
                 i += 1
             else:
-                if j == len(b):
+                if j == m:
                     return None
                 token = y = b[j]
                 j += 1
-            links.append((x, y))
+            links.append(x * width + y)
             key = state << 20 | token
-            if key not in kept:
-                kept[key] = self.step(state, token)
-            state = kept[key]
+            state = kept.get(key, -2)
             if state < 0:
-                return None
+                state = kept[key] = self.step(key >> 20, token)
+                if state < 0:
+                    return None
+
+
+#: what is kept of a piece: tokens of either side, groups (-1: bytes differ), codes of links as 32-bit numbers, and the groups as text
+Aligned = tuple[int, int, int, bytes, str]
 
 
 class Pieces:
-    """Tokens, groups and links of pieces of text, kept by piece."""
+    """Tokens, groups and links of pieces of text. What was asked for of late is kept: at most two generations of ``most`` pieces."""
 
-    def __init__(self, byte_bpe: str, piece_bpe: str, most: int = 1 << 18):
+    def __init__(self, byte_bpe: str, piece_bpe: str, most: int = 1 << 17):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
+        table, self.a = byte_encoder(byte_bpe)
         self.b = SentencePieceProcessor(model_file=piece_bpe)
-        with open(byte_bpe) as f:
-            table = byte_table(json.load(f)["model"]["vocab"])
         self.size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(k) for k in range(self.size)]
         self.space = pieces.index("▁")
+        self.digits = [str(k) for k in range(max(len(table), self.size))]
         self.transducer = Transducer(table, [piece_bytes(p) for p in pieces])
         self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.sizes: list[tuple[int, int, int, int]] = []  # tokens of either side, groups (-1: bytes differ), links
-        self.links: list[np.ndarray] = []
-
-    def learn(self, pieces: list[str]) -> None:
-        """Tokenize and align the pieces that are new; each has its space in front."""
-        if len(self.number) > self.most:
-            self.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-        b = [t if p else [self.space] for p, t in zip(new, self.b.encode(new, num_threads=1) if new else [], strict=True)]
-        for p, x, y in zip(new, a, b, strict=True):
-            # both sides must give the bytes of the piece; the transducer finds where they differ from each other
-            found = self.transducer.align(x, y) if b"".join([self.transducer.bytes[0][t] for t in x]) == (" " + p).encode() else None
-            self.number[p] = len(self.groups)
+        self.young: dict[str, Aligned] = {}
+        self.old: dict[str, Aligned] = {}
+
+    def all(self, pieces: list[str]) -> list[Aligned]:
+        """What each piece, its space in front, is aligned to."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = []
+        for p in pieces:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        if new:
+            young.update(zip(new, self._aligned(new), strict=True))
+        return [young[p] for p in pieces]
+
+    def _aligned(self, pieces: list[str]) -> Iterator[Aligned]:
+        encode, align, digits = self.a.encode_ordinary, self.transducer.align, self.digits
+        for p, y in zip(pieces, self.b.encode(pieces, num_threads=1), strict=True):
+            x = encode(" " + p)
+            y = y if p else [self.space]
+            found = align(x, y)  # the first side always gives the bytes of the piece
             if found is None:
-                self.groups.append("")
-                self.sizes.append((0, 0, -1, 0))
-                self.links.append(np.zeros(0, np.int32))
+                yield 0, 0, -1, b"", ""
                 continue
             ends, links = found
             text, i, j = [], 0, 0
             for k, m in ends:
-                text.append(",".join(map(str, x[i:k])) + "|" + ",".join(map(str, y[j:m])))
+                if k - i == 1 and m - j == 1:
+                    text.append(f"{digits[x[i]]}|{digits[y[j]]}")
+                else:
+                    text.append(",".join([digits[t] for t in x[i:k]]) + "|" + ",".join([digits[t] for t in y[j:m]]))
                 i, j = k, m
-            self.groups.append(";".join(text))
-            self.sizes.append((len(x), len(y), len(ends), len(links)))
-            self.links.append(np.array([s * self.size + t for s, t in links], np.int32))
-
-    def read(self, text: str) -> tuple[list[int], list[str], np.ndarray] | None:
-        """Numbers of tokens, groups and links, the groups as text by piece, and all links; None if the text has no tokens."""
-        at = list(map(self.number.__getitem__, PIECE.split(text)))
-        sizes = np.array([self.sizes[k] for k in at], np.int64)
-        if sizes[:, 2].min() < 0:
-            return None
-        return sizes.sum(0).tolist(), [self.groups[k] for k in at], np.concatenate([self.links[k] for k in at])
+            yield len(x), len(y), len(ends), array("i", links).tobytes(), ";".join(text)
+
+    def texts(self, texts: list[str | None]) -> Texts:
+        """Sizes, distinct links and groups of each text."""
+        split = [PIECE.split(t) if t else [] for t in texts]
+        place = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        found = self.all(list(place))
+        off = np.append(0, np.cumsum([len(x) for x in split]))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(off[-1]))
+        sizes = np.array([f[:3] for f in found], np.int64).reshape(-1, 3)
+        n_links = np.array([len(f[3]) // 4 for f in found], np.int64)
+        links = np.frombuffer(b"".join([f[3] for f in found]), np.int32)
+        first = np.cumsum(n_links) - n_links
+        doc = np.repeat(np.arange(len(texts)), np.diff(off))
+        odd = np.zeros(len(texts), bool)
+        odd[doc[sizes[at, 2] < 0]] = True
+        ok = ~odd[doc]
+        doc, used = doc[ok], at[ok]
+        total = np.stack([np.bincount(doc, v, len(texts)).astype(np.int64) for v in (*sizes[used].T, n_links[used])], 1)
+        size = n_links[used]
+        take = np.arange(int(size.sum())) + np.repeat(first[used] - (np.cumsum(size) - size), size)
+        pairs = np.sort(np.repeat(doc, size) << 32 | links[take])
+        new = np.ones(len(pairs), bool)
+        new[1:] = pairs[1:] != pairs[:-1]
+        start = np.flatnonzero(new)
+        pairs, times = pairs[start], np.diff(np.append(start, len(pairs)))
+        ids = at.tolist()
+        groups = ["" if odd[k] or not split[k] else ";".join([found[i][4] for i in ids[off[k] : off[k + 1]]]) for k in range(len(texts))]
+        return Texts(total, groups, np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)), (pairs & 0x7FFFFFFF).astype(np.int32), times.astype(np.int32))
+
+
+class Texts(NamedTuple):
+    """sizes: tokens of either side, groups and links of each text; pairs: the distinct links of each, sorted, from its ``off`` on; times: how often each."""
+
+    sizes: np.ndarray
+    groups: list[str]
+    off: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
 
 
 def _pieces(byte_bpe: str, piece_bpe: str) -> int:
@@ -188,44 +244,39 @@ def _chunks(df: DataFrame, key: str, text: str, byte_bpe: str, piece_bpe: str, c
     without sizes for each chunk of about ``chunk`` bytes of text, with its distinct links (codes) and how many of its documents hold each."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, chunk long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<int>, times array<int>"
-    gaps = lambda x: np.diff(x, prepend=np.int32(0)).astype(np.int32)
+    names = ["key", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = Pieces(byte_bpe, piece_bpe)
         part, no, held, own = TaskContext.get().partitionId(), 0, 0, []
-        types = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        names = ["key", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "times"]
 
         def close(key_type: pa.DataType) -> pa.RecordBatch:
             nonlocal no, held, own
             links, docs = np.unique(np.concatenate(own), return_counts=True)
-            row = [[part << 32 | no], [None], [None], [None], [None], [None], [links], [docs.astype(np.int32)]]
+            lists = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (links, docs)]
+            row = [pa.nulls(1, key_type), pa.array([part << 32 | no]), *[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.string()), *lists]
             no, held, own = no + 1, 0, []
-            return pa.RecordBatch.from_arrays([pa.nulls(1, key_type), *[pa.array(c, t) for c, t in zip(row, types, strict=True)]], names=names)
+            return pa.RecordBatch.from_arrays(row, names=names)
 
         for whole in batches:
             _, offs = _seq.buffers(whole.column(1))
             for lo, hi in _seq.cuts(offs, 1 << 22):
                 b = whole.slice(lo, hi - lo)
-                texts = b.column(1).to_pylist()
-                tools.learn([p for t in texts if t for p in PIECE.split(t)])
-                out: list[list] = [[] for _ in types]
-                for t in texts:
-                    found = tools.read(t) if t else None
-                    sizes, groups, links = found or ([0, 0, 0, 0], [], np.zeros(0, np.int32))
-                    pairs, times = np.unique(links, return_counts=True)
-                    if len(pairs):
-                        own.append(pairs)
-                    joined = ";".join(groups)
-                    row = [part << 32 | no, *sizes, (hashlib.sha256(joined.encode()).hexdigest() if digest else joined) if groups else "", gaps(pairs), times.astype(np.int32)]
-                    for c, v in zip(out, row, strict=True):
-                        c.append(v)
-                    held += len(t or "")
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], names=names)
+                x = tools.texts(b.column(1).to_pylist())
+                gaps = np.diff(x.pairs, prepend=np.int32(0)).astype(np.int32)
+                begins = x.off[:-1][np.diff(x.off) > 0]
+                gaps[begins] = x.pairs[begins]
+                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in x.groups] if digest else x.groups
+                lists = [pa.ListArray.from_arrays(pa.array(x.off.astype(np.int32)), pa.array(v)) for v in (gaps, x.times)]
+                cols = [b.column(0), pa.array(np.full(hi - lo, part << 32 | no)), *[pa.array(v) for v in x.sizes.T], pa.array(groups, pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+                if len(x.pairs):
+                    own.append(x.pairs)
+                held += int(offs[hi] - offs[lo])
                 if held >= chunk and own:
                     yield close(b.column(0).type)
         if own:
-            yield close(b.column(0).type)
+            yield close(whole.column(0).type)
 
     return df.select(F.col(key).alias("key"), F.col(text)).mapInArrow(run, schema)
 
