@@ -9,9 +9,10 @@ Each set has a bitmap of hashed parities: as many places as shingles, rounded up
 length of a shorter one. Two bitmaps differ in no more places than the sets differ in shingles, so their bit count bounds the overlap from
 above; what passes is decided by intersecting the sorted arrays of shingles.
 
-Two rounds. The first compares every set with one hub of each tile it is in, so that large groups of near copies become components at the price
-of a pair for each copy. The second compares within tiles all sets of different components but the hubs, which are done; large tiles are cut into blocks, pairs of which
-are tasks of bounded size. No pair that could link two components goes without a look.
+Three rounds. The first compares every set with one hub of each tile it is in, so that large groups of near copies become components at the price
+of a pair for each copy. The second compares it within a tile with the one set of another component before it whose bitmap is nearest, which joins groups
+whose hub is far from most. The last compares within tiles all sets that are still of different components but the hubs, which are done. Large tiles are cut
+into blocks, pairs of which are tasks of bounded size. No pair that could link two components goes without a look.
 
 Equal sets are one node from the start. A shingle is known by its 64-bit hash, a set by 128 bits and its size.
 
@@ -229,8 +230,8 @@ def hub_pairs(here: DataFrame, percent: int) -> DataFrame:
     return x.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct()
 
 
-def tile_pairs(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different components that meet in a tile and that places, sizes and bitmaps do not rule out."""
+def tile_pairs(here: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """All pairs of sets of different components that meet in a tile and that places, sizes and bitmaps do not rule out; of each set only one if ``nearest``."""
     both = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("own"))))
     rows = here.select("at", "node", "n", "pos", "comp", both.alias("t")).select("at", "node", "n", "pos", "comp", "t.*")
     # the hubs of both bands have been compared with all of the tile
@@ -251,10 +252,10 @@ def tile_pairs(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
             last = _last_tile(t)
             if last:
-                yield from _matches(t.slice(0, last), percent)
+                yield from _matches(t.slice(0, last), percent, nearest)
             rest = t.slice(last)
         if rest is not None and rest.num_rows:
-            yield from _matches(rest, percent)
+            yield from _matches(rest, percent, nearest)
 
     return x.mapInArrow(run, "a long, b long").distinct()
 
@@ -274,8 +275,11 @@ def _last_tile(t: pa.Table) -> int:
     return int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
 
 
-def _matches(t: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole block pairs: the sets of each one's largest component are only compared with the others, all others with all before."""
+def _matches(t: pa.Table, percent: int, nearest: bool, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole block pairs: the sets of each one's largest component are only compared with the others, all others with all before.
+
+    ``nearest``: of each set's pairs only the one whose bitmaps differ least.
+    """
     at, tile, one, two, block, node, n, pos, comp = _numbers(t, "at", "tile", "first", "second", "block", "node", "n", "pos", "comp")
     own = np.asarray(t.column("own").to_pylist(), bool)
     sketch = Bitmaps(t.column("sketch").combine_chunks())
@@ -303,7 +307,12 @@ def _matches(t: pa.Table, percent: int, most: int = 1 << 20) -> Iterator[pa.Reco
         need = -(-percent * (n[i] + n[j]) // (100 + percent))
         ok = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (pos[i] <= n[i] - need) & (pos[j] <= n[j] - need)
         i, j = i[ok], j[ok]
-        ok = may_link(n[i], n[j], sketch.differ(i, sketch, j), percent)
+        differ = sketch.differ(i, sketch, j)
+        ok = may_link(n[i], n[j], differ, percent)
+        if nearest:
+            order_of = np.flatnonzero(ok)
+            order_of = order_of[np.lexsort((differ[order_of], j[order_of]))]
+            ok = order_of[np.append(True, j[order_of][1:] != j[order_of][:-1])[: len(order_of)]]
         a, b = node[i[ok]], node[j[ok]]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -325,14 +334,16 @@ def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, percent: in
     here = materialize(shared_places(sets, percent), "jaccard-places")
     links = verified(materialize(bounded(hub_pairs(here, percent), sets, percent), "jaccard-hubs"), docs, text, shingle, percent)
     roots = materialize(components(links, "jaccard-star"), "jaccard-roots")
-    left = here.join(roots.hint("merge"), "node", "left").select("at", "band", "node", "n", "pos", F.coalesce("root", "node").alias("comp"))
-    more = materialize(tile_pairs(left, sets, percent), "jaccard-tiles")
+    root_of = materialize(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-components")
+    for nearest in (True, False):
+        left = here.join(root_of.hint("merge"), "node").select("at", "band", "node", "n", "pos", F.col("root").alias("comp"))
+        more = verified(materialize(tile_pairs(left, sets, percent, nearest), "jaccard-tiles"), docs, text, shingle, percent)
+        of = lambda c, r: root_of.select(F.col("node").alias(c), F.col("root").alias(r)).hint("merge")  # noqa: B023, E731
+        ends = more.join(of("a", "x"), "a").join(of("b", "y"), "b")
+        above = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-star").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        root_of = materialize(root_of.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "jaccard-components")
     discard(here)
-    more = verified(more, docs, text, shingle, percent)
-    root_of = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    ends = more.join(root_of.select(F.col("node").alias("a"), F.col("root").alias("x")).hint("merge"), "a").join(root_of.select(F.col("node").alias("b"), F.col("root").alias("y")).hint("merge"), "b")
-    above = materialize(components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-star"), "jaccard-above").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = nodes.join(root_of, "node").join(above, "root", "left").select("i", "j", "n", "key", F.coalesce("top", "root").alias("root"))
+    named = nodes.join(root_of, "node").select("i", "j", "n", "key", "root")
     least = named.groupBy("root").agg(F.min("key").alias("component"))
     named = materialize(named.join(least.hint("merge"), "root").select("i", "j", "n", "component"), "jaccard-named")
     alone = rows.where(~some).select("row", "key", "n", F.col("key").alias("component"))

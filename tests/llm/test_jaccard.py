@@ -39,6 +39,8 @@ def texts():
         out.append(" ".join(base[:k] + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([12, 14, 20]))] + base[k:]))
     line = " ".join(rng.choices(words, k=30))
     out += [line + " " + " ".join(rng.choices(words, k=k % 20)) for k in range(60)]
+    far = rng.choices(words, k=100)  # copies of a text: most of them link with each other, few with the first
+    out += [" ".join(rng.choices(words, k=9) + far[9:])] + family(rng, far, 40, 4)
     # a chain: each links with the next only
     chain = rng.choices(words, k=120)
     for k in range(12):
@@ -72,7 +74,7 @@ def test_pairs_of_tiles_are_those_of_all_rows():
     t = pa.table({"at": tile, "tile": tile * 0, "first": tile * 0, "second": (tile % 2), "block": rng.integers(0, 2, n) * (tile % 2), "own": rng.integers(0, 2, n) > 0, "node": np.arange(n), "n": rng.integers(90, 110, n), "pos": rng.integers(0, 12, n), "comp": rng.choice([7, 7, 7, 8, 9, 10], n)})
     bits = rng.integers(0, 2**63, (n, jaccardjoin.WORDS)) & rng.integers(0, 2**63, (1, jaccardjoin.WORDS)) & rng.integers(0, 2, (n, jaccardjoin.WORDS)) * 15
     t = t.append_column("sketch", pa.array(bits.tolist()))
-    got = sorted((a, b) for r in jaccardjoin._matches(t, 85, 500) for a, b in zip(*r.to_pydict().values(), strict=True))
+    got = sorted((a, b) for r in jaccardjoin._matches(t, 85, False, 500) for a, b in zip(*r.to_pydict().values(), strict=True))
     r = t.to_pylist()
     want = []
     for i in range(n):
@@ -84,6 +86,8 @@ def test_pairs_of_tiles_are_those_of_all_rows():
             if ok and sum((p ^ q).bit_count() for p, q in zip(x["sketch"], y["sketch"], strict=True)) <= x["n"] + y["n"] - 2 * need:
                 want.append((i, j))
     assert got == want and len(want) > 50
+    near = [(a, b) for r in jaccardjoin._matches(t, 85, True, 500) for a, b in zip(*r.to_pydict().values(), strict=True)]
+    assert set(near) <= set(want) and len(near) < len(want) and {(r[x]["at"], x) for p in near for x in p} <= {(r[x]["at"], x) for p in want for x in p}
 
 
 def test_bitmaps_bound_the_difference_at_any_two_lengths(spark):
