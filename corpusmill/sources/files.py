@@ -50,14 +50,30 @@ def texts(spark: SparkSession, path: str, pattern: str = "*", least: int = 0) ->
     return x.where(F.length("text") >= least)
 
 
-def sidecar_texts(spark: SparkSession, path: str, least: float, suffix: str = ".md", score: str = "quality_score", stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+def bundle(rows: DataFrame, path: str) -> None:
+    """Write files given as rows (path, content) as a bundle: a Parquet table of them, in a folder for each suffix.
+
+    A loose file costs a listing, an opening and a rename by the driver, however short it is; in a bundle it costs its bytes.
+    """
+    x = rows.select("path", F.col("content").cast("binary").alias("content"), F.regexp_extract("path", r"\.[^./]*$", 0).alias("suffix"))
+    x.write.partitionBy("suffix").option("compression", "zstd").parquet(path)
+
+
+def bundled_texts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """The same as :func:`texts`, of the files of a bundle that have the suffix, dot included; no other folder of it is read."""
+    x = spark.read.schema("path string, content binary, suffix string").parquet(path).where(F.col("suffix") == suffix)
+    return x.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def sidecar_texts(spark: SparkSession, path: str, least: float, suffix: str = ".md", score: str = "quality_score", stem: str = r"([^/]+)\.[^./]+$", bundled: bool = False) -> DataFrame:
     """(stem, text, sidecar, score) of texts whose JSON sidecar of the same stem has a score of ``least`` or more.
 
     A text without a sidecar stays; a sidecar without a score, or one that cannot be read, counts as 0. ``stem`` tells from a path what pairs. Sidecars
-    under the limit are found first, and their texts are never joined: only the short list of stems is.
+    under the limit are found first, and their texts are never joined: only the short list of stems is. Files are loose below ``path``, or ``bundled`` there.
     """
-    text = texts(spark, path, "*" + suffix).select(F.regexp_extract("path", stem, 1).alias("stem"), "text")
-    side = texts(spark, path, "*.json").select(F.regexp_extract("path", stem, 1).alias("stem"), F.col("text").alias("sidecar"))
+    read = (lambda end: bundled_texts(spark, path, end)) if bundled else (lambda end: texts(spark, path, "*" + end))
+    text = read(suffix).select(F.regexp_extract("path", stem, 1).alias("stem"), "text")
+    side = read(".json").select(F.regexp_extract("path", stem, 1).alias("stem"), F.col("text").alias("sidecar"))
     side = side.withColumn("score", F.coalesce(F.get_json_object("sidecar", f"$.{score}").try_cast("double"), F.lit(0.0)))
     low = side.where(F.col("score") < least).select("stem")
     return text.join(low, "stem", "left_anti").join(side.where(F.col("score") >= least), "stem", "left")

@@ -157,3 +157,22 @@ def test_sidecars(spark, tmp_path):
     got = {r.stem: (r.text, r.score) for r in files.sidecar_texts(spark, str(tmp_path), 93).collect()}
     assert got == {"a": ("kept", 95.0), "d": ("no sidecar", None), "f": ("é\n\nlong " * 9000, 93.0)}
     assert {r.stem for r in files.sidecar_texts(spark, str(tmp_path), 0).collect()} == set("abcdef")
+
+
+def test_sidecars_in_a_bundle(spark, tmp_path):
+    rows = [("t/1.txt", "kept"), ("s/1.json", '{"quality_score": 95}'), ("t/2.txt", "low"), ("s/2.json", '{"quality_score": 92.9}'), ("t/3.txt", "no sidecar"), ("t/4.txt", "torn"), ("s/4.json", "{"), ("t/5", "no suffix"), ("t/6.txt", "")]
+    files.bundle(spark.createDataFrame(rows, "path string, content string"), str(tmp_path / "b"))
+    got = {r.stem: (r.text, r.score) for r in files.sidecar_texts(spark, str(tmp_path / "b"), 93, suffix=".txt", bundled=True).collect()}
+    assert got == {"1": ("kept", 95.0), "3": ("no sidecar", None), "6": ("", None)}
+
+
+def test_sidecar_scan_writes_no_file_for_each_document(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import runs
+
+    spark.createDataFrame([(i, f"text {i}\n") for i in range(60)] + [(7, "again"), (None, "no id"), (61, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)] + [(None, 0, 0), (9, None, 0), (13, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(runs, "scratch_path", lambda *_: str(tmp_path / "written"))
+    got = sorted((r.doc_id is None, r.doc_id, r.score) for r in runs.sidecar_scan(spark, str(tmp_path)).collect())
+    want = [(False, i, 100.0 if i % 3 == 0 else None) for i in [*range(60), 7] if i != 13 and (i % 3 or i % 2)] + [(True, None, None)]
+    assert got == sorted(want)
+    assert len(list((tmp_path / "written").rglob("part-*"))) < 30
