@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.semantic import unit_vectors
+from corpusmill.sources.scratch import written
+
+#: blocks of a file of :func:`semantic_duplicates`
+FILE_BLOCKS = 8
 
 
 def first_wins(rows: DataFrame, key: Column, pos: list[str], keep_empty: bool = False) -> DataFrame:
@@ -54,29 +63,57 @@ def lines_first_wins(lines: DataFrame, line: str, pos: str, key: Column) -> Data
 def semantic_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.92, block: int = 2048) -> DataFrame:
     """Pairs (a < b, cosine) of vectors at ``least`` or more: an exact search, in blocks.
 
-    Rows are numbered and fall into blocks; every pair of blocks is one task's work, so a task holds two blocks
-    whatever the size of the table. The work is that of a flat index: it grows with the square of the rows; :mod:`semantic` searches below that.
-    Vectors that are not as long as most are, that have nulls or nothing but zeros, match nothing.
+    Vectors are dealt into blocks of ``block`` rows, one row each, and written once; pairs of blocks are the Cartesian product of that table with itself, which
+    reads it again instead of shuffling it. So what is shuffled and written grows with the rows, and a task holds one file split and a few pairs of blocks.
+    The comparisons are those of a flat index: they grow with the square of the rows; :mod:`semantic` searches below that.
+    Vectors that are not as long as most are, that have nulls or nothing but zeros, match nothing; nor do those without a key.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    unit = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL")
-    size = unit.agg(F.coalesce(F.mode(F.size("v"), deterministic=True), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-unit.count() // block))
-    placed = unit.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(n_blocks)).cast("int"))
-    sides = placed.select("k", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("o"))
-    sides = sides.select("k", "v", "b", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"))
-
-    def near(t: pa.Table) -> pa.Table:
-        v, at = unit_vectors(t.column("v"), size)
-        k, b = t.column("k").to_numpy()[at], t.column("b").to_numpy()[at]
-        x, y = (np.flatnonzero(b == side) for side in (t.column("x")[0].as_py(), t.column("y")[0].as_py()))
-        cos = v[x] @ v[y].T
-        i, j = np.nonzero(cos >= least)
-        a, z = k[x[i]], k[y[j]]
-        ok = (a < z) if t.column("x")[0].as_py() == t.column("y")[0].as_py() else a != z
-        return pa.table({"a": np.minimum(a, z)[ok], "b": np.maximum(a, z)[ok], "cosine": cos[i, j][ok]})
-
-    return sides.groupBy("x", "y").applyInArrow(near, "a long, b long, cosine double")
-
+    unit = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+    size, n = unit.agg(F.coalesce(F.mode(F.size("v"), deterministic=True), F.lit(0)), F.count("*")).first()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, no, held = TaskContext.get().partitionId(), 0, []
+
+        def out(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            k, v = (np.concatenate(x) for x in zip(*rows, strict=True))
+            cols = [pa.array([(part << 32) | no], pa.int64()), pa.array([k.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, names=["b", "k", "v"])
+
+        for batch in batches:
+            v, at = unit_vectors(batch.column(1), size)
+            k = batch.column(0).to_numpy()[at]
+            while len(k):
+                take = block - sum(len(x) for x, _ in held)
+                held.append((k[:take], v[:take]))
+                k, v = k[take:], v[take:]
+                if sum(len(x) for x, _ in held) == block:
+                    yield out(held)
+                    no, held = no + 1, []
+        if held:
+            yield out(held)
+
+    dealt = unit.repartition(max(1, -(-n // (FILE_BLOCKS * block))), "k")
+    blocks = written(dealt.mapInArrow(packed, "b long, k binary, v binary"), "vector-blocks")
+    x, y = (blocks.select(*[F.col(c).alias(c + side) for c in ("b", "k", "v")]) for side in "xy")
+    # of two blocks' two pairs the one that spreads work over all splits; a block with itself once
+    once = (F.col("bx") == F.col("by")) | ((F.col("bx") < F.col("by")) == (F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by")) % 2 == 0))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bx, kx, vx, by, ky, vy = (batch.column(c)[row] for c in range(6))
+                kx, ky = (np.frombuffer(k.as_buffer(), np.int64) for k in (kx, ky))
+                vx, vy = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, size) for v in (vx, vy))
+                # single precision tells what is far below the limit; the rest is decided in double precision
+                i, j = np.nonzero(vx.astype(np.float32) @ vy.astype(np.float32).T >= least - 1e-4)
+                same = bx.as_py() == by.as_py()
+                for z in range(0, len(i), 1 << 16):
+                    p, q = i[z : z + (1 << 16)], j[z : z + (1 << 16)]
+                    ok = (kx[p] < ky[q]) if same else (kx[p] != ky[q])
+                    p, q = p[ok], q[ok]
+                    cos = np.einsum("ij,ij->i", vx[p], vy[q])
+                    ok = cos >= least
+                    a, b = kx[p[ok]], ky[q[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cos[ok])], names=["a", "b", "cosine"])
+
+    return x.crossJoin(y).where(once).mapInArrow(near, "a long, b long, cosine double")

@@ -57,3 +57,14 @@ def test_odd_vectors_match_nothing(spark):
     flat = dedup.semantic_duplicates(df.where("vec_id <> 2 OR embedding[1] = 0"))
     assert {(r.a, r.b) for r in flat.collect()} == {(1, 2)}
     assert semantic.neighbours(df.limit(0), F.lit(True), 2).count() == 0
+
+
+def test_flat_search_in_blocks_equals_brute_force_and_shuffles_no_block_pairs(spark):
+    v = np.concatenate([vectors(700), np.ones((90, 32)) + np.random.default_rng(3).standard_normal((90, 32)) * 0.01])
+    df = table(spark, v)
+    flat = dedup.semantic_duplicates(df.unionByName(df.limit(1).selectExpr("CAST(NULL AS long) AS vec_id", "embedding")), block=50)
+    want = {(a, b) for a, b in pairs(v, 0.92, 1) if a < b}
+    got = [(r.a, r.b) for r in flat.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 4000
+    plan = flat._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and ("CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan)
