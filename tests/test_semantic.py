@@ -68,3 +68,12 @@ def test_flat_search_in_blocks_equals_brute_force_and_shuffles_no_block_pairs(sp
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 4000
     plan = flat._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and ("CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan)
+
+
+def test_flat_search_at_a_lower_limit_writes_each_vector_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(dedup, "written", lambda df, name, write=dedup.written: made.append(write(df, name)) or made[-1])
+    v = vectors(500)
+    got = [(r.a, r.b) for r in dedup.semantic_duplicates(table(spark, v), least=0.6, block=40).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in pairs(v, 0.6, 1) if a < b}
+    assert sum(len(r.k) // 8 for r in made[0].collect()) == len(v)
