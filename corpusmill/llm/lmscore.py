@@ -2,14 +2,14 @@
 
 The model is a trigram model of words. Word counts of all training documents are exact; words outside of them count as
 one unknown word, whose probability is that of the words seen once. Bigrams and trigrams
-discount counts by ``DISCOUNT`` and back off; all three are proper distributions. Words, bigrams and trigrams go into
-the trie if they make up ``SHARE`` of all tokens or more: at most 1/SHARE of each order can, so the trie has a proven size
-bound and the same make at every size of corpus. A bigram that reaches the share consists of words that do, and a trigram
-of such bigrams, so only those are counted. Bigrams and trigrams seen once are left out at any size. Probabilities are smoothed at building time, quantised, and held in Elias-Fano levels
-(see ``eliasfano``), memory-mapped on the executors.
+discount counts by ``DISCOUNT`` and back off; all three are proper distributions. Every bigram and trigram that occurs twice or more in the training
+documents is in the model, at any size of corpus; those seen once are left out at any size. With a ``share``, only those that make up so much of all tokens are.
 
-Counts of the other words are never broadcast. Documents fall into chunks of about ``CHUNK`` bytes; each chunk lists its
-distinct words, counts are summed by word, and come back to the chunk, where its documents are scored.
+The model is never in one place. Documents fall into chunks of about ``CHUNK`` bytes. A chunk lists its distinct words, whose counts are summed and come back to
+it; then its distinct bigrams, each with the trigrams that go on from it, dealt into parts by the bigram's hash. A part sums up the counts of all chunks and what the kept
+trigrams take from each bigram, and answers in the order it was asked. So a chunk has all that its tokens can ask for: from that it builds its own part of the
+trie, whose levels are Elias-Fano sequences (see ``eliasfano``), memory-mapped, with 16-bit probabilities in steps that are the same in all chunks, and scores its documents.
+In n-grams a word is known by its 64-bit hash, as a bigram is.
 
 Cases: a null text is an empty one and has its end as only token; a null id counts as the empty string in choosing
 held-out rows; repeated rows train and score as often as they occur; an empty table gives no rows; with no training rows
@@ -27,13 +27,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from corpusmill.llm._spark import materialize
+from corpusmill.llm._seq import mix
+from corpusmill.llm._spark import discard, materialize
 from corpusmill.llm.eliasfano import Trie
 
 SHARE = 2.0**-20
 CHUNK = 32 << 20
+PIECE = 1 << 21
 BLOCK = 1 << 18  # tokens scored at a time
 DISCOUNT = 0.75
 END = b"\xff"  # not in UTF-8: the end of a text
@@ -58,17 +61,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
             yield (part << 24) | no, b.slice(a)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], col: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Batches cut to about ``most`` bytes of the column, so that memory does not hang on how many rows a batch has."""
-    for b in batches:
-        ends = np.cumsum([x or 0 for x in pc.binary_length(b.column(col)).to_pylist()] or [0])
-        a = 0
-        while a < b.num_rows:
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-            yield b.slice(a, z - a)
-            a = z
-
-
 def _list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, word, n): the distinct words of each chunk, or of the part of it that a task reads, with their training count."""
     train: Counter = Counter()
@@ -98,89 +90,153 @@ def _number(most: int):
     return run
 
 
-def _grams_of_words(ids, known=None):
-    """Counts (code, n), for each task, of the bigrams of frequent words, or of the trigrams that ``known`` bigrams make up."""
+class Grams:
+    """The distinct bigrams and trigrams of a chunk's tokens, none with a word that is too rare, and the order in which parts are asked for them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = ids.value.get
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            codes = np.concatenate([c for c, _ in held] or [np.zeros(0, np.int64)])
-            n = np.concatenate([k for _, k in held] or [np.zeros(0, np.int64)])
-            u, inv = np.unique(codes, return_inverse=True)
-            held[:] = [(u, np.bincount(inv, n, len(u)).astype(np.int64))]
-            return held[0]
-
-        for b in _sliced(batches, 0):
-            seq: list[int] = []
-            for t in b.column(0):
-                seq += [get(w, -1) for w in tokens(t.as_py())]
-                seq.append(-1)
-            a = np.array(seq, np.int64)
-            two = (a[:-1] >= 0) & (a[1:] >= 0)
-            code = (a[:-1] << 20) | a[1:]
-            if known is None:
-                code = code[two]
-            else:
-                two[two] = np.isin(code[two], known.value)
-                code = ((code[:-1] << 20) | a[2:])[two[:-1] & two[1:]]
-            held.append(np.unique(code, return_counts=True))
-            if sum(len(c) for c, _ in held) > 1 << 20:
-                fold()
-        u, n = fold()
-        for k in range(0, len(u), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(n[k : k + (1 << 16)])], names=["code", "n"])
+    Tokens are places in the chunk's list of words; ``hashes`` are those of its words, ``often`` tells which of them n-grams are made of.
+    """
+
+    def __init__(self, token: np.ndarray, size: np.ndarray, train: np.ndarray, hashes: np.ndarray, often: np.ndarray, parts: int):
+        a = token.astype(np.int64)
+        inside = np.ones(max(len(a) - 1, 0), bool)
+        inside[np.cumsum(size)[:-1] - 1] = False
+        inside &= often[a[:-1]] & often[a[1:]]
+        at = np.flatnonzero(inside)
+        train = np.repeat(train, size)
+        self.two, which = np.unique((a[at] << 32) | a[at + 1], return_inverse=True)
+        self.n_two = np.bincount(which, train[at], len(self.two)).astype(np.int64)
+        number = np.full(len(a), -1, np.int64)
+        number[at] = which
+        at = at[number[np.minimum(at + 1, len(a) - 1)] >= 0]
+        self.three, which = np.unique((number[at] << 32) | a[at + 2 if len(at) else at], return_inverse=True)
+        self.n_three = np.bincount(which, train[at], len(self.three)).astype(np.int64)
+        self.context = self.three >> 32
+        first, last = hashes[self.two >> 32], hashes[self.two & 0xFFFFFFFF]
+        self.first, self.last = first, hashes[self.three & 0xFFFFFFFF]
+        self.key = mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(last))
+        part = (self.key % np.uint64(parts)).astype(np.int64)
+        self.order_two = np.argsort(part, kind="stable")
+        self.order_three = np.argsort(part[self.context], kind="stable")
+        self.ends_two = np.cumsum(np.bincount(part, minlength=parts))
+        self.ends_three = np.cumsum(np.bincount(part[self.context], minlength=parts))
+
+    def asked(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Of each part: keys of bigrams, hashes of their first words, their counts and how many trigrams go on from them; last words and counts of these."""
+        follow = np.bincount(self.context, minlength=len(self.two))
+        for p in np.flatnonzero(np.diff(self.ends_two, prepend=0)):
+            i = self.order_two[self.ends_two[p - 1] if p else 0 : self.ends_two[p]]
+            j = self.order_three[self.ends_three[p - 1] if p else 0 : self.ends_three[p]]
+            yield int(p), [self.key[i], self.first[i], self.n_two[i], follow[i], self.last[j], self.n_three[j]]
+
+
+ASKED = ("key", "first", "n", "follow", "last", "m")
+ANSWER = ("n", "took", "kinds", "m")
+
+
+def _encoded(parts: int, least: float, kind: pa.DataType):
+    """A chunk's documents as places in its list of words, in a row of part -1, and what it asks of each part."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        place = {w: i for i, w in enumerate(right.column("word").to_pylist())}
+        count, hashes = right.column("c").to_numpy().astype(np.int64), right.column("h").to_numpy().astype(np.int64).view(np.uint64)
+        held = np.asarray(left.column("held").to_pylist(), bool)
+        own = [np.fromiter(map(place.__getitem__, tokens(t.as_py())), np.int32) for t in left.column("text")]
+        size, token = np.fromiter(map(len, own), np.int64, len(own)), np.concatenate(own)
+        g = Grams(token, size, ~held, hashes, count >= least, parts)
+        rows = [(-1, [hashes, count, size, held, token, token[:0]]), *g.asked()]
+        keys = left.column("key").combine_chunks()
+        keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
+        lists = pa.ListArray.from_arrays(pa.array([0] + [len(keys)] * len(rows), pa.int32()), keys.cast(kind))
+        cols = {c: pa.array([x[k].tobytes() for _, x in rows], pa.binary()) for k, c in enumerate(ASKED)}
+        chunk = left.column("chunk")[0].as_py()
+        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "part": pa.array([p for p, _ in rows], pa.int64()), "keys": lists, **cols})
+
+    return run
+
+
+def _summed(least: float):
+    """Answers of a part to each chunk, and in a row of chunk -1 what kept bigrams take from their first words."""
+
+    def run(t: pa.Table) -> pa.Table:
+        lists = {c: [np.frombuffer(x.as_buffer(), np.uint64 if c in ("key", "first", "last") else np.int64) for x in t.column(c)] for c in ASKED}
+        ends_two, ends_three = (np.cumsum([0] + [len(x) for x in lists[c]]) for c in ("key", "last"))
+        key, first, n, follow, last, m = (np.concatenate(lists[c]) for c in ASKED)
+        two, at, which = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(which, n, len(two)).astype(np.int64)
+        context = np.repeat(which, follow)
+        order = np.lexsort((last, context))
+        new = np.ones(len(order), bool)
+        new[1:] = (context[order][1:] != context[order][:-1]) | (last[order][1:] != last[order][:-1])
+        three = np.add.reduceat(m[order], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+        three[three < least] = 0
+        of = context[order][new]
+        took, kinds = (np.bincount(of, x, len(two)).astype(np.int64) for x in (three, three > 0))
+        back = np.zeros(len(order), np.int64)
+        back[order] = three[np.cumsum(new) - 1]
+        total[total < least] = 0
+        kept = np.flatnonzero(total)
+        words, word = np.unique(first[at[kept]], return_inverse=True)
+        sums = [words, *(np.bincount(word, x, len(words)).astype(np.int64) for x in (total[kept], np.ones(len(kept))))]
+        rows = [[*[x[which[a:z]] for x in (total, took, kinds)], back[b:y]] for a, z, b, y in zip(ends_two, ends_two[1:], ends_three, ends_three[1:], strict=False)]
+        rows.append([*sums, back[:0]])
+        cols = {c: pa.array([x[k].tobytes() for x in rows], pa.binary()) for k, c in enumerate(ANSWER)}
+        part = t.column("part")[0].as_py()
+        return pa.table({"chunk": pa.array([*t.column("chunk").to_pylist(), -1], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), **cols})
 
     return run
 
 
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for row in zip(*b.columns, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in row], names=["h", "took", "kinds"])
+
+
 def unigram(count: np.ndarray, total: int, once: int) -> np.ndarray:
     """log10 probability of words with these counts; those of count 0 are all the unknown word (Good and Turing's estimate)."""
     unknown = (once + 1) / (total + 2)
     return np.log10(np.where(count > 0, count / max(total, 1) * (1 - unknown), unknown))
 
 
+def build_trie(log_one: np.ndarray, orders: list[tuple[np.ndarray, ...]]) -> Trie:
+    """Trie of a chunk's words and its kept bigrams and trigrams, with absolute discounting and backoff.
+
+    ``orders``: for words, bigrams and trigrams the parent's place in the order before, the last word, the count, and the sum and number of the counts that
+    kept n-grams one word longer have in the whole corpus; (parent, word) ascending.
+    """
+    trie = Trie(max(len(log_one), 1))
+    above_left = above_count = np.zeros(0)
+    for order, (parent, word, n, took, kinds) in enumerate(orders, 1):
+        if order == 1:
+            p = log_one
+        else:
+            node = word if order == 2 else trie.child(1, orders[1][1][parent], word)
+            base = log_one[word] if order == 2 else trie.log_prob(1, node) if len(node) else np.zeros(0)
+            p = np.log10(np.minimum((n - DISCOUNT) / above_count[parent] + above_left[parent] * 10.0**base, 1.0))
+        left = np.maximum(1 - (took - DISCOUNT * kinds) / np.maximum(n, 1), 1e-12)
+        trie.add(parent, word, p, np.log10(left))
+        above_left, above_count = left, n
+    return Trie.mapped(*trie.dump())
+
+
 def build_words(counts: np.ndarray, log_one: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> Trie:
-    """Trie of words 0..F-1 and their kept bigrams and trigrams, with absolute discounting and backoff."""
-    f = len(counts)
-    trie = Trie(max(f, 1))
-    trie.add(np.zeros(f, np.int64), np.arange(f), log_one, np.zeros(f))
-    codes, total = np.arange(f), counts
+    """Trie of words 0..F-1 from all their kept bigrams and trigrams (code of 20 bits a word, count); those without their context are left out."""
+    codes, orders = np.arange(len(counts)), [(np.zeros(len(counts), np.int64), np.arange(len(counts)), counts)]
     for order in (2, 3):
         code, n = grams[order]
         o = np.argsort(code)
         code, n = code[o], n[o]
-        context = code >> 20
-        at = np.minimum(np.searchsorted(codes, context), max(len(codes) - 1, 0))
-        ok = codes[at] == context if len(codes) and len(code) else np.zeros(len(code), bool)
-        code, n, at = code[ok], n[ok], at[ok]
-        own = (n - DISCOUNT) / total[at]
-        left = np.maximum(1 - np.bincount(at, own, len(codes)), 1e-12)
-        trie.back[-1] = Trie.quantised(np.log10(left))
-        short = code & ((1 << (20 * (order - 1))) - 1)
-        base = 10.0 ** words_log_prob(trie, short, order - 1, log_one)
-        p = np.minimum(own + left[at] * base, 1.0)
-        trie.add(at, code & ((1 << 20) - 1), np.log10(p), np.zeros(len(code)))
-        codes, total = code, n
-    return trie
-
-
-def words_log_prob(trie: Trie, codes: np.ndarray, order: int, log_one: np.ndarray) -> np.ndarray:
-    """log10 probability of the last of ``order`` frequent words (20 bits each) given those before it."""
-    word = [(codes >> (20 * j)) & ((1 << 20) - 1) for j in range(order)]
-    out = log_one[word[0]] if len(log_one) else np.zeros(len(codes))
-    for k in range(2, order + 1):
-        context = word[k - 1]
-        for d in range(1, k - 1):
-            context = trie.child(d, context, word[k - 1 - d])
-        out = backed_off(trie, k, context, trie.child(k - 1, context, word[0]), out)
-    return out
+        ok = np.isin(code >> 20, codes)
+        code, n = code[ok], n[ok]
+        orders.append((np.searchsorted(codes, code >> 20), code & ((1 << 20) - 1), n))
+        codes = code
+    below = [*orders[1:], (np.zeros(0, np.int64),) * 3]
+    return build_trie(log_one, [(*x, np.bincount(y[0], y[2], len(x[2])), np.bincount(y[0], minlength=len(x[2]))) for x, y in zip(orders, below, strict=True)])
 
 
 def backed_off(trie: Trie, order: int, context: np.ndarray, node: np.ndarray, out: np.ndarray) -> np.ndarray:
     """The order's own probability where it has the n-gram, the shorter one's by the context's weight where it has that alone."""
-    out = np.where(context >= 0, out + trie.log_back(order - 2, np.maximum(context, 0)), out)
+    out = np.where(context >= 0, out + trie.log_back(order - 2, np.maximum(context, 0)), out) if trie.levels[order - 2].n else out
     return np.where(node >= 0, trie.log_prob(order - 1, np.maximum(node, 0)), out) if trie.levels[order - 1].n else out
 
 
@@ -202,52 +258,62 @@ def text_log_prob(trie: Trie, frequent: np.ndarray, first: np.ndarray, out: np.n
     return out
 
 
-def _score(model, total: int, kinds: int, once: int):
-    cache: dict = {}
-
+def _score(total: int, kinds: int, once: int, least: float, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not cache:
-            cache["trie"] = Trie.mapped(*model.value["trie"])
-        words = right.column("word").to_pylist()
-        count = right.column("c").to_numpy().astype(np.int64)
-        place = {w: i for i, w in enumerate(words)}
-        get = model.value["ids"].get
-        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        raw = lambda c, t: np.frombuffer(left.column(c)[0].as_buffer(), t)
+        hashes, count, size, held, token = raw("key", np.uint64), raw("first", np.int64), raw("n", np.int64), raw("follow", bool), raw("last", np.int32)
         one = unigram(count, total, once)
+        often = count >= least
+        g = Grams(token, size, ~held, hashes, often, parts)
+        place = right.column("part").to_numpy()
+        answers = right.take(pa.array(np.flatnonzero(place >= 0)[np.argsort(place[place >= 0])]))
+        n2, took2, kinds2, n3 = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in answers.column(c))]) for c in ANSWER)
+        two = np.zeros((3, len(g.two)), np.int64)
+        two[:, g.order_two] = n2, took2, kinds2
+        three = np.zeros(len(g.three), np.int64)
+        three[g.order_three] = n3
+        sums = right.filter(pa.array(place < 0))
+        took = np.zeros((2, len(count)), np.int64)
+        if sums.num_rows:  # a chunk that tasks shared has some words twice, here and there
+            h = sums.column("h").to_numpy().astype(np.int64).view(np.uint64)
+            by = np.argsort(h)
+            at = by[np.minimum(np.searchsorted(h[by], hashes), len(h) - 1)]
+            for out, c in zip(took, ("s", "k"), strict=True):
+                out[:] = np.where(h[at] == hashes, sums.column(c).to_numpy().astype(np.int64)[at], 0)
+        k2, k3 = np.flatnonzero(two[0]), np.flatnonzero(three)
+        number = np.cumsum(two[0] > 0) - 1
+        none = np.zeros(len(k3))
+        words = (np.zeros(len(count), np.int64), np.arange(len(count)), count, *took)
+        trie = build_trie(one, [words, (g.two[k2] >> 32, g.two[k2] & 0xFFFFFFFF, *two[:, k2]), (number[g.context[k3]], g.three[k3] & 0xFFFFFFFF, three[k3], none, none)])
+        del g
+        known = np.where(often, np.arange(len(count)), -1)
         gain = np.log10(count + 1.0)
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-
-        def block(parts: list[np.ndarray]) -> None:
-            size = np.fromiter(map(len, parts), np.int64, len(parts))
-            a, begin = np.concatenate(parts), np.cumsum(size) - size
-            p = text_log_prob(cache["trie"], known[a], begin, one[a])
-            base = np.add.reduceat(gain[a], begin) - size * np.log10(total + 1.0 * (kinds + 1))
-            for out, v in zip(cols, (size, np.add.reduceat((count[a] > 0).astype(np.int64), begin), base, np.add.reduceat(p, begin)), strict=True):
+        cols: list[list[np.ndarray]] = [[], [], []]
+        end = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + BLOCK, "right")))
+            a, n = token[end[lo] - size[lo] : end[hi - 1]], size[lo:hi]
+            begin = np.cumsum(n) - n
+            p = text_log_prob(trie, known[a], begin, one[a])
+            base = np.add.reduceat(gain[a], begin) - n * np.log10(total + 1.0 * (kinds + 1))
+            for out, v in zip(cols, (np.add.reduceat((count[a] > 0).astype(np.int64), begin), base, np.add.reduceat(p, begin)), strict=True):
                 out.append(v)
-
-        parts, held = [], 0
-        for t in left.column("text"):
-            own = np.fromiter(map(place.__getitem__, tokens(t.as_py())), np.int32)
-            parts.append(own)
-            held += len(own)
-            if held >= BLOCK:
-                block(parts)
-                parts, held = [], 0
-        if parts:
-            block(parts)
-        return pa.table([left.column("key"), left.column("held"), *[np.concatenate(c) for c in cols]], names=["key", "held", "n_tokens", "n_known", "base_score", "score"])
+            lo = hi
+        keys = left.column("keys").combine_chunks()
+        return pa.table([(keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys).flatten(), pa.array(held), pa.array(size), *[np.concatenate(c) for c in cols]], names=["key", "held", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", share: float = SHARE, chunk: int = CHUNK) -> DataFrame:
+def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", share: float | None = None, chunk: int = CHUNK, piece: int = PIECE) -> DataFrame:
     """(key, held, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Texts are written once with their chunk's number, so that they keep it in all jobs. A ``share`` under 2**-20 is an error: words are numbered in 20 bits.
+    Texts are written once with their chunk's number, so that they keep it in all jobs. Without a ``share``, n-grams that occur twice are in the model;
+    a share under 2**-20 is an error. ``piece``: training tokens for each part that n-grams are dealt into.
     """
-    if share < SHARE:
+    if share is not None and share < SHARE:
         raise ValueError("share must be 2**-20 or more")
-    spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     kind = docs.schema["key"].dataType.simpleString()
     docs = materialize(docs.mapInArrow(_number(chunk), f"chunk long, key {kind}, text binary, held boolean"), "lm-input")
@@ -257,30 +323,27 @@ def score_texts(df: DataFrame, held_out: Column, key: str = "doc_id", text: str
     counted = materialize(counted, "lm-words")
     seen = F.col("first") & (F.col("c") > 0)
     total, kinds, once = (int(x or 0) for x in counted.agg(F.sum("n"), F.count_if(seen), F.count_if(seen & (F.col("c") == 1))).first())
-    least = max(1.0, share * total)
-
-    often = [(bytes(r[0]), r[1]) for r in counted.where(F.col("first") & (F.col("c") >= least)).select("word", "c").collect()]
-    often.sort(key=lambda r: (-r[1], r[0]))  # 1/share words at most
-    ids = {w: i for i, (w, _) in enumerate(often)}
-    counts = np.array([c for _, c in often], np.int64)
-    log_one = unigram(counts, total, once)
-    shared = spark.sparkContext.broadcast(ids)
-    train = docs.where(~F.col("held")).select("text")
-
-    def kept(run) -> tuple[np.ndarray, np.ndarray]:
-        rows = train.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, least)).toArrow()
-        return rows.column("code").to_numpy(), rows.column("n").to_numpy()
-
-    two = kept(_grams_of_words(shared))
-    three = kept(_grams_of_words(shared, spark.sparkContext.broadcast(np.sort(two[0]))))
-    trie = build_words(counts, log_one, {2: two, 3: three})
-    model = spark.sparkContext.broadcast({"trie": trie.dump(), "ids": ids})
+    least = 2.0 if share is None else max(2.0, share * total)
+    pieces = max(8, -(-total // piece))
 
     # as many partitions as twice the chunks: they do not pile up, however many there are
     parts = max(8, 2 * (docs.select("chunk").distinct().count()))
-    back = counted.select("chunk", "word", "c").repartition(parts, "chunk")
-    out = docs.repartition(parts, "chunk").groupBy("chunk").cogroup(back.groupBy("chunk"))
-    scored = out.applyInArrow(_score(model, total, kinds, once), f"key {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+    hashed = F.xxhash64("word").alias("h")
+    back = counted.select("chunk", "word", "c", hashed)
+    out = docs.repartition(parts, "chunk").groupBy("chunk").cogroup(back.repartition(parts, "chunk").groupBy("chunk"))
+    binaries = lambda names: ", ".join(f"{c} binary" for c in names)
+    asked = out.applyInArrow(_encoded(pieces, least, to_arrow_type(docs.schema["key"].dataType)), f"chunk long, part long, keys array<{kind}>, {binaries(ASKED)}")
+    asked = materialize(asked, "lm-asked")
+    discard(docs)
+    few = max(8, -(-pieces // 2))
+    answered = asked.where("part >= 0").drop("keys").repartition(few, "part").groupBy("part").applyInArrow(_summed(least), f"chunk long, part long, {binaries(ANSWER)}")
+    answered = materialize(answered, "lm-answers")
+    sums = answered.where("chunk < 0").select(*ANSWER[:3]).mapInArrow(_word_sums, "h long, took long, kinds long").groupBy("h").agg(F.sum("took").alias("s"), F.sum("kinds").alias("k"))
+    sums = materialize(sums, "lm-sums")
+    own = counted.where(F.col("c") >= least).select("chunk", hashed).join(sums, "h").select("chunk", F.lit(-1).cast("long").alias("part"), "h", "s", "k")
+    right = answered.where("chunk >= 0").unionByName(own, allowMissingColumns=True).repartition(parts, "chunk")
+    final = asked.where("part < 0").repartition(parts, "chunk").groupBy("chunk").cogroup(right.groupBy("chunk"))
+    scored = final.applyInArrow(_score(total, kinds, once, least, pieces), f"key {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 

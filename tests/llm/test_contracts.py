@@ -156,6 +156,42 @@ def test_op10_takes_no_share_that_its_codes_cannot_hold(spark, folder):
         lmscore.score_texts(spark.read.parquet(str(folder / "documents.parquet")), F.lit(False), share=2.0**-21)
 
 
+def test_op10_keeps_every_ngram_of_two_at_any_size(spark):
+    """Over 2**21 training tokens a share of 2**-20 asks for three occurrences; a pair and a triple that occur twice count all the same."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(90_000)) for _ in range(24)]
+    texts += ["one rare turn of phrase", "one rare turn of phrase", "the rare turn", "one rare turn of the phrase"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    train = [[*t.split(), None] for t in texts[:-1]]
+    one = Counter(w for x in train for w in x)
+    two = {g: n for g, n in Counter(g for x in train for g in zip(x, x[1:], strict=False)).items() if n > 1}
+    three = {g: n for g, n in Counter(g for x in train for g in zip(x, x[1:], x[2:], strict=False)).items() if n > 1}
+    total, once = sum(one.values()), sum(n == 1 for n in one.values())
+    assert total > 1 << 21
+    unknown = (once + 1) / (total + 2)
+    left1, left2 = Counter(), Counter()
+    for (a, _), n in two.items():
+        left1[a] += (n - 0.75) / one[a]
+    for (a, b, _), n in three.items():
+        left2[a, b] += (n - 0.75) / two[a, b]
+    p1 = lambda w: one[w] / total * (1 - unknown) if one[w] else unknown
+    p2 = lambda a, b: (two.get((a, b), 0.75) - 0.75) / max(one[a], 1) + (1 - left1[a]) * p1(b)
+    p3 = lambda a, b, c: (three.get((a, b, c), 0.75) - 0.75) / two[a, b] + (1 - left2[a, b]) * p2(b, c) if (a, b) in two else p2(b, c)
+    got = {}
+    for chunk in (1 << 20, 1 << 26):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got[chunk] = {r.key: r.score for r in lmscore.score_texts(df, F.col("doc_id") == len(rows) - 1, chunk=chunk).collect()}
+        for i in range(len(texts) - 5, len(texts)):
+            x = [*texts[i].split(), None]
+            want = sum(math.log10(p1(w) if k == 0 else p2(x[0], w) if k == 1 else p3(x[k - 2], x[k - 1], w)) for k, w in enumerate(x))
+            assert got[chunk][i] == pytest.approx(want, abs=1e-9 + len(x) * 4e-4)
+    assert got[1 << 20] == pytest.approx(got[1 << 26], abs=1e-6)
+
+
 def test_op10_predicts_held_out_texts_better_than_the_base(spark, sf):
     held = [r for r in QUERIES["op10_lm_score"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
