@@ -34,7 +34,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id, of equal ids the text with the least hash."""
+    """One document of each group of near-duplicates: the one with the smallest id, of equal ids the text with the least hash.
+
+    Groups are found by SimHash and verified; an exact join finds what fingerprints miss.
+    """
     return apart(docs, CORE, _first_of_each_group)
 
 

@@ -322,8 +322,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     return similar_rows(numbered_rows(df.select(key, text), "jaccard-rows"), key, text, shingle, percent)
 
 
-def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, percent: int, apart: bool = True) -> DataFrame:
-    """The same, of rows that have a number of their own, ``row``. Without ``apart``, texts without words are one component."""
+def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, percent: int, apart: bool = True, first: DataFrame | None = None) -> DataFrame:
+    """The same, of rows that have a number of their own, ``row``. Without ``apart``, texts without words are one component.
+
+    ``first``: pairs (a, b) of rows that another search has found; round one looks at them too.
+    """
     some = F.col("n") >= (1 if apart else 0)
     found = materialize(signatures(docs, key, text, shingle, percent, common_shingles(docs, text, shingle)), "jaccard-signatures")
     rows = materialize(found.select("row", "key", "i", "j", "n"), "jaccard-ids")
@@ -332,7 +335,13 @@ def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, percent: in
     sets = materialize(sets, "jaccard-sets")
     discard(found)
     here = materialize(shared_places(sets, percent), "jaccard-places")
-    links = verified(materialize(bounded(hub_pairs(here, percent), sets, percent), "jaccard-hubs"), docs, text, shingle, percent)
+    pairs = hub_pairs(here, percent)
+    if first is not None:
+        node_of = materialize(rows.join(nodes.select("i", "j", "n", "node").hint("merge"), ["i", "j", "n"]).select("row", "node"), "jaccard-node-of")
+        end = lambda c: node_of.select(F.col("row").alias(c), F.col("node").alias(f"{c}n"))
+        ends = first.join(end("a"), "a").join(end("b"), "b").where("an <> bn")
+        pairs = pairs.unionByName(ends.select(F.least("an", "bn").alias("a"), F.greatest("an", "bn").alias("b"))).distinct()
+    links = verified(materialize(bounded(pairs, sets, percent), "jaccard-hubs"), docs, text, shingle, percent)
     roots = materialize(components(links, "jaccard-star"), "jaccard-roots")
     root_of = materialize(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-components")
     for nearest in (True, False):

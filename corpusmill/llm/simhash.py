@@ -12,8 +12,9 @@ Before that, blocks of bits tell which fingerprints can link at all: 3 flips lea
 equal, so a fingerprint emits its ten pairs of blocks, and one that shares no pair with another is out. The
 filter drops no link.
 
-``near_documents`` is for pipelines: it links texts by the similarity of their five-word shingles. Fingerprints would miss
-part of the texts near the limit, so they are found by the exact join of operator 11.
+``near_documents`` is for pipelines: it links texts by the similarity of their five-word shingles. The same search finds texts whose fingerprints of
+those shingles are near, and each such pair is verified by its shingles. Fingerprints alone would miss
+part of the texts near the limit, so the rounds of the exact join of operator 11 follow on what is still apart.
 
 Cases: a null text is an empty one, with fingerprint zero; equal fingerprints are one node, however many
 documents carry it; null ids are never a component's id, unless there is no other (then null); repeated rows stay; other columns are not read.
@@ -100,13 +101,17 @@ def links(nodes: DataFrame, radius: int = 3, by: tuple[str, ...] = ()) -> DataFr
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _links_of(nodes: DataFrame) -> DataFrame:
+    """Links of the fingerprints of ``nodes`` that can have any."""
+    some = materialize(may_link(nodes.select("fp")), "simhash-candidates")
+    return links(some.repartition(max(8, -(-some.count() // SPREAD)), "fp"))  # each becomes some hundreds of rows
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """(key, fp, component): component is the smallest key among all rows that links lead to."""
     prints = materialize(fingerprints(df, key, text, shingle, seed), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("key").alias("key"))
-    some = materialize(may_link(nodes.select("fp")), "simhash-candidates")
-    some = some.repartition(max(8, -(-some.count() // SPREAD)), "fp")  # each becomes some hundreds of rows
-    roots = components(links(some), "simhash-links").select(F.col("node").alias("fp"), "root")
+    roots = components(_links_of(nodes), "simhash-links").select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("key").alias("component"))
     named = materialize(rooted.join(names, "root").select("fp", "component"), "simhash-components")
@@ -117,14 +122,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 SPREAD = 4096
 
 
+def near_prints(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """Pairs (a, b) of rows: each with the first row of its fingerprint, and the first rows of fingerprints that link."""
+    prints = materialize(fingerprints(docs, "row", text, shingle), "near-prints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("first")), "near-nodes")
+    of = lambda c: nodes.select(F.col("fp").alias(f"f{c}"), F.col("first").alias(c))
+    across = _links_of(nodes).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("a"), "fa").join(of("b"), "fb").select("a", "b")
+    return prints.join(nodes, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(across)
+
+
 def near_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, numbered: bool = False) -> DataFrame:
     """(key, component) of every row: the components of all pairs that share ``percent`` of their shingles (Jaccard), exactly.
 
-    The join is that of :mod:`corpusmill.llm.jaccardjoin`. Texts with the same set of shingles, the empty one too, are one. ``numbered``: the
+    Pairs of near fingerprints are verified first, then follow the rounds of :mod:`corpusmill.llm.jaccardjoin`. Texts with the same set of shingles, the empty one too, are one. ``numbered``: the
     rows have numbers of their own, ``row``.
     """
     docs = df if numbered else numbered_rows(df.select(key, text), "near-rows")
-    return similar_rows(docs, key, text, shingle, percent, apart=False).select("key", "component")
+    return similar_rows(docs, key, text, shingle, percent, apart=False, first=near_prints(docs, text, shingle)).select("key", "component")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

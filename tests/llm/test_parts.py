@@ -184,6 +184,27 @@ def test_near_documents_find_truncated_extended_and_edited_copies(spark):
     assert sum(got[i] != i for i in got) > 50
 
 
+def test_near_documents_are_found_by_their_fingerprints_and_verified(spark, monkeypatch):
+    from corpusmill.llm import jaccardjoin
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows, near = [(1000, "one"), (1001, "one two"), (1002, None)], {}
+    for i in range(0, 60, 2):
+        base = [word() for _ in range(1200)]
+        edited = list(base)
+        edited[rng.randrange(1200)] = word()
+        rows += [(i, " ".join(base)), (i + 1, " ".join(edited))]
+        a, b = (simhash.fingerprint(" ".join(x).encode(), 5) for x in (base, edited))
+        near[i + 1] = i if (a ^ b).bit_count() <= 3 else i + 1
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(jaccardjoin, "hub_pairs", lambda *_: none)  # the join's own rounds find nothing
+    monkeypatch.setattr(jaccardjoin, "tile_pairs", lambda *_: none)
+    got = dict(map(tuple, simhash.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert {i: got[i] for i in near} == near and sum(near[i] != i for i in near) > 10
+    assert all(got[i] == i for i in [*range(0, 60, 2), 1000, 1001, 1002])
+
+
 def test_near_documents_compare_the_pairs_behind_a_hub_that_fails(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
