@@ -35,8 +35,8 @@ from corpusmill.llm._spark import discard, materialize
 from corpusmill.llm.eliasfano import Trie
 
 SHARE = 2.0**-20
-CHUNK = 32 << 20
-PIECE = 1 << 21
+CHUNK = 8 << 20
+PIECE = 1 << 20
 BLOCK = 1 << 18  # tokens scored at a time
 DISCOUNT = 0.75
 END = b"\xff"  # not in UTF-8: the end of a text
@@ -90,6 +90,18 @@ def _number(most: int):
     return run
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Length and compressed bytes of an array: hashes of words come often and counts are small."""
+    raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(x: pa.BinaryScalar, kind: type) -> np.ndarray:
+    b = x.as_buffer()
+    n = int.from_bytes(b.slice(0, 8).to_pybytes(), "little")
+    return np.frombuffer(pa.Codec("zstd").decompress(b.slice(8), n) if n else b"", kind)
+
+
 class Grams:
     """The distinct bigrams and trigrams of a chunk's tokens, none with a word that is too rare, and the order in which parts are asked for them.
 
@@ -147,7 +159,7 @@ def _encoded(parts: int, least: float, kind: pa.DataType):
         keys = left.column("key").combine_chunks()
         keys = pa.concat_arrays(keys.chunks) if isinstance(keys, pa.ChunkedArray) else keys
         lists = pa.ListArray.from_arrays(pa.array([0] + [len(keys)] * len(rows), pa.int32()), keys.cast(kind))
-        cols = {c: pa.array([x[k].tobytes() for _, x in rows], pa.binary()) for k, c in enumerate(ASKED)}
+        cols = {c: pa.array([packed(x[k]) for _, x in rows], pa.binary()) for k, c in enumerate(ASKED)}
         chunk = left.column("chunk")[0].as_py()
         return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "part": pa.array([p for p, _ in rows], pa.int64()), "keys": lists, **cols})
 
@@ -158,7 +170,7 @@ def _summed(least: float):
     """Answers of a part to each chunk, and in a row of chunk -1 what kept bigrams take from their first words."""
 
     def run(t: pa.Table) -> pa.Table:
-        lists = {c: [np.frombuffer(x.as_buffer(), np.uint64 if c in ("key", "first", "last") else np.int64) for x in t.column(c)] for c in ASKED}
+        lists = {c: [unpacked(x, np.uint64 if c in ("key", "first", "last") else np.int64) for x in t.column(c)] for c in ASKED}
         ends_two, ends_three = (np.cumsum([0] + [len(x) for x in lists[c]]) for c in ("key", "last"))
         key, first, n, follow, last, m = (np.concatenate(lists[c]) for c in ASKED)
         two, at, which = np.unique(key, return_index=True, return_inverse=True)
@@ -179,7 +191,7 @@ def _summed(least: float):
         sums = [words, *(np.bincount(word, x, len(words)).astype(np.int64) for x in (total[kept], np.ones(len(kept))))]
         rows = [[*[x[which[a:z]] for x in (total, took, kinds)], back[b:y]] for a, z, b, y in zip(ends_two, ends_two[1:], ends_three, ends_three[1:], strict=False)]
         rows.append([*sums, back[:0]])
-        cols = {c: pa.array([x[k].tobytes() for x in rows], pa.binary()) for k, c in enumerate(ANSWER)}
+        cols = {c: pa.array([packed(x[k]) for x in rows], pa.binary()) for k, c in enumerate(ANSWER)}
         part = t.column("part")[0].as_py()
         return pa.table({"chunk": pa.array([*t.column("chunk").to_pylist(), -1], pa.int64()), "part": pa.array([part] * len(rows), pa.int64()), **cols})
 
@@ -189,7 +201,7 @@ def _summed(least: float):
 def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row in zip(*b.columns, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in row], names=["h", "took", "kinds"])
+            yield pa.RecordBatch.from_arrays([pa.array(unpacked(x, np.int64)) for x in row], names=["h", "took", "kinds"])
 
 
 def unigram(count: np.ndarray, total: int, once: int) -> np.ndarray:
@@ -260,14 +272,14 @@ def text_log_prob(trie: Trie, frequent: np.ndarray, first: np.ndarray, out: np.n
 
 def _score(total: int, kinds: int, once: int, least: float, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw = lambda c, t: np.frombuffer(left.column(c)[0].as_buffer(), t)
+        raw = lambda c, t: unpacked(left.column(c)[0], t)
         hashes, count, size, held, token = raw("key", np.uint64), raw("first", np.int64), raw("n", np.int64), raw("follow", bool), raw("last", np.int32)
         one = unigram(count, total, once)
         often = count >= least
         g = Grams(token, size, ~held, hashes, often, parts)
         place = right.column("part").to_numpy()
         answers = right.take(pa.array(np.flatnonzero(place >= 0)[np.argsort(place[place >= 0])]))
-        n2, took2, kinds2, n3 = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in answers.column(c))]) for c in ANSWER)
+        n2, took2, kinds2, n3 = (np.concatenate([np.zeros(0, np.int64), *(unpacked(x, np.int64) for x in answers.column(c))]) for c in ANSWER)
         two = np.zeros((3, len(g.two)), np.int64)
         two[:, g.order_two] = n2, took2, kinds2
         three = np.zeros(len(g.three), np.int64)
