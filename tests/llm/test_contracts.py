@@ -4,12 +4,14 @@ import collections
 import random
 import re
 import zlib
+from pathlib import Path
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import alignment, lmscore, registry, secrets
+from corpusmill.llm._spark import scratch_dir
 
 QUERIES = registry.queries()
 
@@ -192,6 +194,15 @@ def test_op10_keeps_every_ngram_of_two_at_any_size(spark):
     assert got[1 << 20] == pytest.approx(got[1 << 26], abs=1e-6)
 
 
+def test_op10_writes_no_more_than_twice_its_input(spark, tmp_path):
+    """Lists of n-grams with a hash or two an item took 3.6 times the input; texts and counts by numbers of words take about as much as it."""
+    before = set(Path(scratch_dir(spark).removeprefix("file:")).iterdir())
+    QUERIES["op10_lm_score"](spark, "/root/testdata/sf0.01").write.parquet(str(tmp_path / "out"))
+    made = set(Path(scratch_dir(spark).removeprefix("file:")).glob("lm-*")) - before
+    size = sum(f.stat().st_size for d in made for f in d.rglob("*.parquet"))
+    assert 0 < size < 2 * Path("/root/testdata/sf0.01/documents.parquet").stat().st_size
+
+
 def test_op10_predicts_held_out_texts_better_than_the_base(spark, sf):
     held = [r for r in QUERIES["op10_lm_score"](spark, sf).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
