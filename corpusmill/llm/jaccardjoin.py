@@ -337,10 +337,12 @@ def similar_rows(docs: DataFrame, key: str, text: str, shingle: int, percent: in
     here = materialize(shared_places(sets, percent), "jaccard-places")
     pairs = hub_pairs(here, percent)
     if first is not None:
+        # each search is written on its own: in one plan all their shuffles would be planned anew and run at once
+        pairs, first = materialize(pairs, "jaccard-hub-pairs"), materialize(first, "jaccard-first")
         node_of = materialize(rows.join(nodes.select("i", "j", "n", "node").hint("merge"), ["i", "j", "n"]).select("row", "node"), "jaccard-node-of")
         end = lambda c: node_of.select(F.col("row").alias(c), F.col("node").alias(f"{c}n"))
         ends = first.join(end("a"), "a").join(end("b"), "b").where("an <> bn")
-        pairs = pairs.unionByName(ends.select(F.least("an", "bn").alias("a"), F.greatest("an", "bn").alias("b"))).distinct()
+        pairs = materialize(pairs.unionByName(ends.select(F.least("an", "bn").alias("a"), F.greatest("an", "bn").alias("b"))).distinct(), "jaccard-pairs")
     links = verified(materialize(bounded(pairs, sets, percent), "jaccard-hubs"), docs, text, shingle, percent)
     roots = materialize(components(links, "jaccard-star"), "jaccard-roots")
     root_of = materialize(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "jaccard-components")

@@ -127,7 +127,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     placed = running_offset(rows_s.where("size > 0").select("row", "rank", "size", "sort"), ["rank"], ["sort", "row"], F.col("size"), "begin", pieces(df, 4, 256), ["sort"])
     part = placed.select("row", "rank", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(begin + size - 1) div {block}"))).alias("block_no"))
     part = part.select("row", "rank", "block_no", (F.greatest(F.col("block_no") * block, F.col("begin")) - F.col("begin")).alias("first"), (F.least((F.col("block_no") + 1) * block, F.col("begin") + F.col("size")) - F.col("begin")).alias("end"))
-    drawn = draw_blocks(sources, block, slots, most, seed, pieces(df, 8, 16))
+    # written, as are the spans of mixed texts: in one plan all their shuffles would be planned anew and run at once
+    drawn = materialize(draw_blocks(sources, block, slots, most, seed, pieces(df, 8, 16)), "mix-slots")
     # Catalyst takes what comes from Python for as small as what went in; a broadcast would grow with the corpus
     taken = part.join(drawn.hint("merge"), ["rank", "block_no"]).select("row", "shard", "pass_no", "first", "end")
     return rows_s.drop("sort"), taken
@@ -146,7 +147,8 @@ def _mixed(df: DataFrame, key: str, text: str, source: str, **options) -> DataFr
     rows, taken = mix(numbered.withColumn("_mix_key", F.col("_mix_row")), "_mix_key", text, source, order=F.xxhash64(key, text), **options)
     spans = taken.groupBy("row", "pass_no").agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("_mix_spans"), F.sum(F.col("end") - F.col("first")).alias("_mix_taken"))
     spans = spans.join(rows.select("row", F.col("key").alias("_mix_row"), F.col("size").alias("_mix_size")), "row").drop("row", "pass_no")
-    x = numbered.join(spans, "_mix_row")
+    spans = materialize(spans, "mix-spans")
+    x = numbered.join(spans.hint("merge"), "_mix_row")
     words = F.filter(F.split(F.col(text), SPACE), lambda w: w != "")
     some = F.get(F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_mix_spans", lambda s: F.slice(w, (s["first"] + 1).cast("int"), (s["end"] - s["first"]).cast("int")))), " ")), 0)
     return x.withColumn(text, F.when(F.col("_mix_taken") == F.col("_mix_size"), F.col(text)).otherwise(some)).drop("_mix_row", "_mix_spans", "_mix_taken", "_mix_size")

@@ -127,7 +127,8 @@ def near_prints(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     prints = materialize(fingerprints(docs, "row", text, shingle), "near-prints")
     nodes = materialize(prints.groupBy("fp").agg(F.min("key").alias("first")), "near-nodes")
     of = lambda c: nodes.select(F.col("fp").alias(f"f{c}"), F.col("first").alias(c))
-    across = _links_of(nodes).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("a"), "fa").join(of("b"), "fb").select("a", "b")
+    found = materialize(_links_of(nodes), "near-links")
+    across = found.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(of("a"), "fa").join(of("b"), "fb").select("a", "b")
     return prints.join(nodes, "fp").where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")).unionByName(across)
 
 

@@ -87,6 +87,19 @@ def test_more_batches_change_nothing(spark, folder):
     assert get(1) == get(4)
 
 
+def test_stars_need_no_round(spark, monkeypatch):
+    written = []
+    materialize = _spark.materialize
+    monkeypatch.setattr(_spark, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    stars = [(9, 1), (1, 5), (7, 1), (1, 9), (8, 2), (3, 3)]
+    find = lambda edges: sorted(tuple(r) for r in _spark.components(spark.createDataFrame(edges, "a long, b long"), "t").collect())
+    assert find(stars) == [(1, 1), (2, 2), (5, 1), (7, 1), (8, 2), (9, 1)]
+    assert len(written) == 1
+    chain = [(k, k + 1) for k in range(40)]
+    assert find(chain) == [(k, 0) for k in range(41)]
+    assert find(stars + [(9, 8)]) == [(k, 1) for k in (1, 2, 5, 7, 8, 9)]
+
+
 def test_ball_hashing_finds_all_links_to_three_bits(spark):
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(60)} | {0, (1 << 64) - 1}

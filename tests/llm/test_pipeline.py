@@ -55,5 +55,24 @@ def test_sharding_keeps_each_mixed_text_with_its_place(spark):
     assert len({(r.shard, r.slot) for r in out}) == len(rows)
 
 
+def test_no_plan_holds_many_shuffles(spark, folder, monkeypatch):
+    """The driver plans a query anew after each of its shuffles, and runs those that wait for none at once: its memory grows with their number."""
+    from corpusmill.llm import _spark, jaccardjoin, mixing, simhash
+
+    shuffles = {}
+
+    def written(df, name):
+        shuffles[name] = len(re.findall(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    for module in (_spark, jaccardjoin, mixing, simhash):
+        monkeypatch.setattr(module, "materialize", written)
+    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    for stage in (P.near_dedup, P.mixing):
+        written(stage(spark, docs, str(folder)), stage.__name__)
+    assert {"jaccard-hubs", "near_dedup", "mix-slots", "mixing"} <= set(shuffles)
+    assert max(shuffles.values()) <= 10, shuffles
+
+
 def test_empty(spark, empty):
     assert P.run(spark, str(empty)).count() == 0
